@@ -4,14 +4,15 @@
    many universal hash functions are its signature.
 2. Texts with equal sets collapse to one representative.
 3. Bands of the signature are bucket keys.  Each representative is compared
-   with the smallest one of each of its buckets: first by signature agreement,
-   then on the full sets.
+   with one leader of each of its buckets, which a hash chooses anew for every
+   bucket: first by signature agreement, then on the full sets.
 4. Components come from alternating large-star and small-star.
-5. Buckets that still hold several components are finished exactly: all pairs of
-   different components are compared by signature, in blocks of bounded size,
-   and those that agree enough on their full sets.
+5. Buckets that still hold several components are finished exactly, in blocks of
+   bounded size: rows with an agreeing partner in another component are gathered
+   with their texts, and such pairs are compared on their full sets until the
+   block's components no longer change.
 
-Only connectivity is asked for, so pairs within a component are never listed.
+Only connectivity is asked for, so no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ SHINGLE_WORDS = 5
 #: Link if PERCENT_DEN * intersection >= PERCENT * union.
 PERCENT, PERCENT_DEN = 75, 100
 BANDS, ROWS = 32, 4
-#: Least share of equal minima.  At similarity 0.75 the share of 128 minima falls below it once in ten million pairs.
-LEAST_AGREEMENT = 0.55
+#: Least share of equal minima.  At similarity 0.75 the share of 128 minima falls below it once in ten thousand pairs.
+LEAST_AGREEMENT = 0.60
 #: Rows of one side of a block comparison.
 BLOCK_ROWS = 512
 
@@ -136,16 +137,16 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """One row per representative and band: bucket key and rep."""
+    """One row per representative and band: bucket key, band and rep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 m = _matrix(b.column(1)).reshape(-1, BANDS, ROWS).astype(_U)
                 keys = _mixed((m * _BAND[None, :, :ROWS]).sum(axis=2, dtype=_U) + _BAND[None, :, ROWS])
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "rep"])
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "bucket long, rep long")
+    return reps.select("rep", "sig").mapInArrow(run, "bucket long, band int, rep long")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (u, v): the pairs whose full sets are similar enough.  ``texts``: one row per id with doc_id and text."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = materialize(texts.join(needed, "doc_id", "left_semi"), "minhash-texts")
+    wanted = materialize(texts.join(needed.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
     text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     rows = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
 
@@ -182,35 +183,76 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _partners(sig: np.ndarray, comp: np.ndarray, band: int, x: int, others: np.ndarray) -> np.ndarray:
+    """Rows of ``others`` in another component whose signatures agree enough with row x and share this band first."""
+    y = others[comp[others] != comp[x]]
+    y = y[(sig[y] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
+    if not len(y):
+        return y
+    same = (sig[y].reshape(-1, BANDS, ROWS) == sig[x].reshape(BANDS, ROWS)).all(axis=2)
+    return y[same.any(axis=1) & (same.argmax(axis=1) == band)]
+
+
+def _sides(part: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of part i with the rows of part j that it is compared with."""
+    second = np.flatnonzero(part == j)
+    for x in np.flatnonzero(part == i):
+        yield x, second[second > x] if i == j else second
+
+
 def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components and whose signatures agree enough."""
-    rows = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "n", "rep", F.coalesce("component_id", "rep").alias("comp"))
+    """Rows of blocks that have an agreeing partner in another component: bucket, i, j, part, band, rep, comp, sig."""
+    rows = members.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "band", "n", "rep", F.coalesce("component_id", "rep").alias("comp"))
     open_buckets = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    rows = rows.join(open_buckets, "bucket").join(reps.select("rep", "sig"), "rep")
+    rows = rows.join(open_buckets.hint("merge"), "bucket").join(reps.select("rep", "sig"), "rep")
     # a bucket of n rows is cut into ceil(n / BLOCK_ROWS) parts; each pair of parts is one block
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sig")
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "rep", "comp", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in sorted_groups(batches, 3):
-            part, rep, comp = (t.column(c).to_numpy() for c in (3, 4, 5))
+            part, band, comp = (t.column(c).to_numpy() for c in (3, 4, 6))
             if comp.min() == comp.max():
                 continue
-            sig = _matrix(t.column(6))
-            second = np.flatnonzero(part == j)
-            a, b = [], []
-            for x in np.flatnonzero(part == i):
-                y = second[comp[second] != comp[x]]
-                if i == j:
-                    y = y[y > x]
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-                a += [min(rep[x], r) for r in rep[y]]
-                b += [max(rep[x], r) for r in rep[y]]
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
+            sig = _matrix(t.column(7))
+            wanted = np.zeros(len(part), bool)
+            for x, others in _sides(part, i, j):
+                y = _partners(sig, comp, band[0], x, others)
+                wanted[y] = True
+                wanted[x] |= len(y) > 0
+            yield from t.filter(pa.array(wanted)).to_batches()
+
+    keys = ("bucket", "i", "j")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "bucket long, i long, j long, part long, band int, rep long, comp long, sig binary")
+
+
+def _finished(crossing: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u, v) between the components of each block, confirmed on full sets."""
+    rows = crossing.join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep").select(*crossing.columns, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), t in sorted_groups(batches, 3):
+            part, band, rep, comp = (t.column(c).to_numpy() for c in (3, 4, 5, 6))
+            sig, text = _matrix(t.column(7)), t.column(8)
+            comp, sets, u, v = comp.copy(), {}, [], []
+
+            def full(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingle_set(text[k].as_py())
+                return sets[k]
+
+            for x, others in _sides(part, i, j):
+                for y in _partners(sig, comp, band[0], x, others):
+                    if comp[x] != comp[y] and similar(full(x), full(y)):
+                        u.append(rep[x])
+                        v.append(rep[y])
+                        comp[comp == comp[y]] = comp[x]
+            if u:
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    keys = ("bucket", "i", "j")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -232,9 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = sigs.where("doc_id is not null and set_key is not null")
     reps = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "minhash-reps")
     bands = _band_rows(reps)
-    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(buckets, "bucket").select("bucket", "rep", "leader", "n"), "minhash-buckets")
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    buckets = bands.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("bucket", "rep")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(buckets.hint("merge"), "bucket").select("bucket", "band", "rep", "leader", "n"), "minhash-buckets")
+    stars = members.where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
     agreeing = materialize(_agreeing(stars, reps), "minhash-pairs")
     edges = materialize(_confirmed(agreeing, texts), "minhash-edges")
     # a doc_id with several texts has several sets: they are one document
@@ -245,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossing = materialize(_crossing(members, labels, reps), "minhash-crossing")
     discard(members)
     if crossing.limit(1).count():
-        more = materialize(_confirmed(crossing, texts), "minhash-edges")
+        more = materialize(_finished(crossing, texts), "minhash-edges")
         labels = connected_components(edges.unionAll(more), "minhash-components")
     rep_of = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")
