@@ -1,15 +1,508 @@
-"""Registry of the driver queries."""
+"""Driver queries of the sparse operators, each with equal DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import packing
+from .operators import algebra, layout, validate
+from .plans import solvers
+from .sources import files, fixtures, generator
+from .storage import new_path
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+BUY = "(SELECT o_custkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+_SUP = """pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+edges AS (SELECT a.l_suppkey AS row_id, b.l_suppkey AS col_id, -count(*)::DOUBLE AS value FROM pairs a JOIN pairs b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
+sup AS (SELECT * FROM edges UNION ALL SELECT s_suppkey, s_suppkey, coalesce(w, 0) + 1 FROM supplier LEFT JOIN (SELECT row_id, -sum(value) AS w FROM edges GROUP BY 1) ON row_id = s_suppkey)"""
+#: Literal rows with an empty row, a repeated entry, an explicit zero, a missing and a zero diagonal and a column out of range.
+EDGE_ROWS = ((0, 0, 2.0), (0, 1, 1.0), (0, 1, 3.0), (1, 1, 0.0), (2, 0, 5.0), (2, 9, 1.0), (4, 4, 1e-31), (4, 2, 0.0), (5, 5, 4.0), (5, 5, -1.0))
+EDGE = "(VALUES " + ", ".join(f"({r}, {c}, {v!r}::DOUBLE)" for r, c, v in EDGE_ROWS) + ") AS edge(row_id, col_id, value)"
+GRID, STEPS_PCG, STEPS_JACOBI = 512, 4, 5
+
+
+def edge(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(EDGE_ROWS, "row_id long, col_id long, value double")
+
+
+def _six(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _customers(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.ids(s, d, "customer", "c_custkey")
+
+
+def _parts(s: SparkSession, d: str, value: str = "cast(idx % 7 as double)") -> DataFrame:
+    return fixtures.ids(s, d, "part", "p_partkey").select("idx", F.expr(value).alias("value"))
+
+
+REGISTRY: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        REGISTRY[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+# Products -----------------------------------------------------------------
+
+_X = "(SELECT p_partkey AS idx, (p_partkey % 7)::DOUBLE AS value FROM part)"
+_AX = f"SELECT c_custkey AS idx, coalesce(v, 0.0) AS value FROM customer LEFT JOIN (SELECT row_id, sum(a.value * x.value) AS v FROM {BUY} a JOIN {_X} x ON col_id = idx GROUP BY 1) ON row_id = c_custkey"
+
+
+@query(_AX)
+def k1_spmv_buy(s, d):
+    return algebra.spmv(fixtures.purchases(s, d), _parts(s, d), _customers(s, d))
+
+
+@query(f"SELECT idx, value + idx AS value FROM ({_AX})")
+def k2_spmv_accumulate(s, d):
+    y = _customers(s, d).select("idx", F.col("idx").cast("double").alias("value"))
+    return algebra.spmv(fixtures.purchases(s, d), _parts(s, d), _customers(s, d), y=y)
+
+
+@query(_AX)
+def k3_spmv_slices(s, d):
+    a = fixtures.purchases(s, d)
+    # a slice's entries come back from its list; slices hold at most 64 x 64 entries
+    packed = a.groupBy(F.floor(F.col("row_id") / layout.SLICE), F.floor(F.col("col_id") / layout.SLICE)).agg(F.collect_list(F.struct("row_id", "col_id", "value")).alias("e"))
+    return algebra.spmv(packed.select(F.explode("e").alias("e")).select("e.*"), _parts(s, d), _customers(s, d))
+
+
+_TENTH = "cast(idx % 7 as double) / 10"
+
+
+@query(f"SELECT c_custkey AS idx, round(coalesce(v, 0.0), 4) AS value FROM customer LEFT JOIN (SELECT row_id, sum((a.value::FLOAT * (x.value / 10)::FLOAT)::DOUBLE) AS v FROM {BUY} a JOIN {_X} x ON col_id = idx GROUP BY 1) ON row_id = c_custkey")
+def k4_spmv_mixed(s, d):
+    return _six(algebra.spmv(fixtures.purchases(s, d), _parts(s, d, _TENTH), _customers(s, d), algebra.MIXED), "value", digits=4)
+
+
+@query(_AX)
+def k8_spmv_fp32(s, d):
+    return algebra.spmv(fixtures.purchases(s, d), _parts(s, d), _customers(s, d), algebra.FP32)
+
+
+@query(_AX)
+def k6_spmv_bitmap(s, d):
+    return algebra.spmv(layout.unblock(layout.bitmap_blocks(fixtures.purchases(s, d))), _parts(s, d), _customers(s, d))
+
+
+@query(f"WITH {_SUP} SELECT row_id AS idx, sum(-value * col_id) AS value FROM sup WHERE row_id <> col_id GROUP BY 1")
+def k14_negated_product(s, d):
+    rest = algebra.off_diagonal(fixtures.suppliers(s, d))
+    return algebra.touched_rows(rest, fixtures.supplier_rhs(s, d).select("idx", (-F.col("value")).alias("value")))
+
+
+@query(f"SELECT row_id AS idx, sum(value)::BIGINT AS total FROM {BUY} GROUP BY 1")
+def a17_touched_row_sum(s, d):
+    return fixtures.purchases(s, d).groupBy(F.col("row_id").alias("idx")).agg(F.sum("value").cast("long").alias("total"))
+
+
+# Conversions ---------------------------------------------------------------
+
+
+@query(f"SELECT row_id, col_id, value FROM {BUY}")
+def p1_csr_to_coo(s, d):
+    rows = algebra.csr_rows(fixtures.purchases(s, d))
+    return rows.select("row_id", F.explode("entries").alias("e")).select("row_id", "e.col_id", "e.value")
+
+
+@query(f"SELECT col_id, count(*)::BIGINT AS n, min(row_id) AS first_row, max(row_id) AS last_row, sum(value) AS total FROM {BUY} GROUP BY 1")
+def p2_coo_to_csc(s, d):
+    cols = algebra.csr_rows(algebra.transpose(fixtures.purchases(s, d)))
+    total = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e.value)
+    return cols.select(F.col("row_id").alias("col_id"), F.size("entries").cast("long").alias("n"), F.get("entries", F.lit(0)).col_id.alias("first_row"), F.element_at("entries", -1).col_id.alias("last_row"), total.alias("total"))
+
+
+_PTR = f"SELECT c_custkey AS row_id, (sum(coalesce(n, 0)) OVER (ORDER BY c_custkey) - coalesce(n, 0))::BIGINT AS \"begin\", (sum(coalesce(n, 0)) OVER (ORDER BY c_custkey))::BIGINT AS \"end\" FROM customer LEFT JOIN (SELECT row_id, count(*) AS n FROM {BUY} GROUP BY 1) ON row_id = c_custkey"
+
+
+@query(_PTR)
+def p3_csr_pointers(s, d):
+    return algebra.pointers(fixtures.purchases(s, d), _customers(s, d))
+
+
+@query(_PTR)
+def p4_prefix_scan(s, d):
+    return algebra.pointers(fixtures.purchases(s, d), _customers(s, d), block=64)
+
+
+@query("SELECT o_custkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity <> 0 GROUP BY 1, 2 HAVING sum(l_quantity) <> 0")
+def p5_merge_duplicates(s, d):
+    lines, orders = fixtures.table(s, d, "lineitem"), fixtures.table(s, d, "orders")
+    raw = lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("value"))
+    return algebra.merge_duplicates(raw)
+
+
+@query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
+def p6_symmetric_expansion(s, d):
+    return algebra.expand_symmetric(fixtures.suppliers(s, d).where("row_id >= col_id"))
+
+
+@query(f"WITH {_SUP} SELECT row_id AS idx, value FROM sup WHERE row_id = col_id")
+def p8_diagonal(s, d):
+    return algebra.diagonal(fixtures.suppliers(s, d))
+
+
+@query(f"WITH {_SUP} SELECT row_id AS idx, round(1 / value, 9) AS value FROM sup WHERE row_id = col_id")
+def p9_inverse_diagonal(s, d):
+    return algebra.diagonal(fixtures.suppliers(s, d)).select("idx", F.round(1 / F.col("value"), 9).alias("value"))
+
+
+@query(f"WITH {_SUP} SELECT row_id = col_id AS on_diagonal, count(*)::BIGINT AS n, sum(value) AS total FROM sup GROUP BY 1")
+def p10_split(s, d):
+    a = fixtures.suppliers(s, d)
+    diag = algebra.diagonal(a).select(F.lit(True).alias("on_diagonal"), "value")
+    both = diag.unionAll(algebra.off_diagonal(a).select(F.lit(False), "value"))
+    return both.groupBy("on_diagonal").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_extendedprice::FLOAT)::DOUBLE AS value FROM lineitem")
+def p11_narrowing(s, d):
+    return fixtures.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("value"))
+
+
+# Validation ----------------------------------------------------------------
+
+
+@query(f"""SELECT 0::BIGINT AS too_short, 0::BIGINT AS bad_first, 0::BIGINT AS bad_last, 0::BIGINT AS decreasing, count(*) FILTER (col_id < 0 OR col_id >= 6)::BIGINT AS bad_columns FROM {EDGE}""")
+def f1_pointer_violations(s, d):
+    rows = s.range(6).withColumnRenamed("id", "idx")
+    p = algebra.pointers(edge(s), rows)
+    ptr = p.select(F.col("row_id").alias("pos"), F.col("begin").alias("ptr")).unionAll(p.agg((F.max("row_id") + 1).alias("pos"), F.max("end").alias("ptr")))
+    return validate.pointer_violations(ptr, edge(s), 6)
+
+
+@query(f"SELECT row_id, col_id, value FROM {BUY} WHERE row_id < 50 AND col_id < 50")
+def f2_principal(s, d):
+    return algebra.principal(fixtures.purchases(s, d), 50)
+
+
+@query(f"SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, sum(value) AS value FROM {EDGE} WHERE value <> 0 GROUP BY 1, 2 HAVING sum(value) <> 0")
+def f3_drop_zeros(s, d):
+    return algebra.merge_duplicates(edge(s))
+
+
+@query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup WHERE row_id <> col_id")
+def f4_off_diagonal(s, d):
+    return algebra.off_diagonal(fixtures.suppliers(s, d))
+
+
+@query(f"SELECT count(*) FILTER (v IS NULL)::BIGINT AS missing, count(*) FILTER (abs(v) <= 1e-30)::BIGINT AS too_small FROM range(6) r(i) LEFT JOIN (SELECT row_id, sum(value) AS v FROM {EDGE} WHERE row_id = col_id GROUP BY 1) ON row_id = i")
+def f6_diagonal_violations(s, d):
+    return validate.diagonal_violations(edge(s), s.range(6).withColumnRenamed("id", "idx"))
+
+
+@query("SELECT i::BIGINT AS code, (i & 131072) <> 0 AS padding FROM range(130000, 133000) r(i)")
+def f9_padding(s, d):
+    return s.range(130000, 133000).select(F.col("id").alias("code"), packing.is_padding(F.col("id")).alias("padding"))
+
+
+# Layouts -------------------------------------------------------------------
+
+
+@query(f"SELECT col_id // 64 // 128 AS batch, count(*)::BIGINT AS n, sum(value) AS total FROM {BUY} GROUP BY 1")
+def l1_column_batches(s, d):
+    return layout.column_batches(fixtures.purchases(s, d)).groupBy("batch").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(f"SELECT slice_col, slice_row, n::BIGINT AS n, (sum(n) OVER (ORDER BY slice_col, slice_row) - n)::BIGINT AS \"offset\" FROM (SELECT col_id // 64 AS slice_col, row_id // 64 AS slice_row, count(*) AS n FROM {BUY} GROUP BY 1, 2)")
+def l2_slices(s, d):
+    return layout.slices(fixtures.purchases(s, d))
+
+
+@query("SELECT i::BIGINT AS row_id, ((i // 2 % 8) * 2 + i // 16 % 2) * 8 + i // 32 % 8 AS lane FROM range(5000) r(i)")
+def l3_lane_of_row(s, d):
+    return s.range(5000).select(F.col("id").alias("row_id"), packing.lane_of_row(F.col("id")).alias("lane"))
+
+
+@query(" UNION ALL ".join(f"SELECT {c}::INT AS channels, i::BIGINT AS row_id, ((i // 2 % 8) * {c // 8} + i // 16 % {c // 8}) * 8 + i // {2 * c} % 8 AS lane FROM range(3000) r(i)" for c in (8, 16, 24, 32)))
+def l4_lane_by_channels(s, d):
+    rows = F.array(*(F.struct(F.lit(c).alias("channels"), packing.lane_of_row(F.col("id"), c).alias("lane")) for c in (8, 16, 24, 32)))
+    return s.range(3000).select(F.col("id").alias("row_id"), F.explode(rows).alias("e")).select("e.channels", "row_id", "e.lane")
+
+
+@query("SELECT i::BIGINT AS row_id, i::BIGINT AS restored FROM range(20000) r(i)")
+def l5_restored_row(s, d):
+    r = F.col("id")
+    return s.range(20000).select(r.alias("row_id"), packing.global_row(packing.lane_of_row(r), packing.local_row(r)).cast("long").alias("restored"))
+
+
+@query(f"SELECT row_id, col_id, ((col_id % 8192) << 50) | (((row_id // 256) * 2 + row_id % 2) << 32) AS place FROM {BUY}")
+def l6_pack_place(s, d):
+    return fixtures.purchases(s, d).select("row_id", "col_id", packing.pack_place(F.col("col_id") % 8192, packing.local_row(F.col("row_id"))).alias("place"))
+
+
+_LANES = f"(SELECT *, ((row_id // 2 % 8) * 2 + row_id // 16 % 2) * 8 + row_id // 32 % 8 AS pe, col_id // 8192 AS batch FROM {BUY})"
+
+
+@query(f"SELECT row_id, col_id, value, batch, pe // 8 AS channel, pe % 8 AS lane, row_number() OVER (PARTITION BY batch, pe ORDER BY col_id, row_id) - 1 AS slot FROM {_LANES}")
+def l12_lane_slots(s, d):
+    return layout.lane_slots(fixtures.purchases(s, d))
+
+
+@query(f"SELECT batch, channel, max(n)::BIGINT AS beats FROM (SELECT batch, pe // 8 AS channel, pe, count(*) AS n FROM {_LANES} GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def l10_channel_beats(s, d):
+    return layout.lane_slots(fixtures.purchases(s, d)).groupBy("batch", "channel").agg((F.max("slot") + 1).alias("beats"))
+
+
+@query(f"SELECT row_id // 4 AS block_row, col_id // 4 AS block_col, bit_or((1 << (row_id % 4 * 4 + col_id % 4))::INT) AS mask, count(*)::BIGINT AS n, sum(value) AS total FROM {BUY} WHERE value <> 0 GROUP BY 1, 2")
+def l13_bitmap_blocks(s, d):
+    b = layout.bitmap_blocks(fixtures.purchases(s, d))
+    return b.select("block_row", "block_col", "mask", F.size("places").cast("long").alias("n"), F.aggregate("places", F.lit(0.0), lambda a, p: a + p.value).alias("total"))
+
+
+@query(f'SELECT block_col // 128 AS "window", block_row, count(*)::BIGINT AS n_blocks FROM (SELECT DISTINCT row_id // 4 AS block_row, col_id // 4 AS block_col FROM {BUY} WHERE value <> 0) GROUP BY 1, 2')
+def l14_window_blocks(s, d):
+    return layout.window_blocks(layout.bitmap_blocks(fixtures.purchases(s, d)))
+
+
+@query(f"""SELECT batch, sum("real")::BIGINT AS real_nnz, sum(lane_beats)::BIGINT AS lane_read_beats, (max(lane_beats) * 16)::BIGINT AS shared_read_beats, sum(ceil("real" / 8.0))::BIGINT AS compact_read_beats,
+  min("real")::BIGINT AS channel_real_min, max("real")::BIGINT AS channel_real_max, (sum(lane_beats) * 8 - sum("real"))::BIGINT AS padding_slots,
+  round(sum("real") / (sum(lane_beats) * 8), 6) AS density, round(sum("real") / (16 * max("real")), 6) AS channel_balance
+FROM (SELECT batch, pe // 8 AS channel, sum(n) AS "real", max(n) AS lane_beats FROM (SELECT batch, pe, count(*) AS n FROM {_LANES} GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""")
+def i13_pack_profile(s, d):
+    return _six(layout.pack_profile(fixtures.purchases(s, d)), "density", "channel_balance")
+
+
+@query(f"SELECT row_id, count(*)::BIGINT AS n FROM {BUY} GROUP BY 1 ORDER BY n DESC, row_id LIMIT 10")
+def o5_top_rows(s, d):
+    return fixtures.purchases(s, d).groupBy("row_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "row_id").limit(10)
+
+
+@query(f"SELECT row_id, col_id, value FROM {BUY} ORDER BY row_id, col_id LIMIT 24")
+def o7_first_entries(s, d):
+    return fixtures.purchases(s, d).orderBy("row_id", "col_id").limit(24)
+
+
+# Reductions ----------------------------------------------------------------
+
+
+@query(f"SELECT sum(a.value * a.value)::DOUBLE AS dot FROM ({_AX}) a")
+def a1_dot(s, d):
+    y = k1_spmv_buy(s, d)
+    return algebra.dot(y, y)
+
+
+@query(f"SELECT sqrt(sum(value * value)) AS norm FROM ({_AX})")
+def a4_norm(s, d):
+    return k1_spmv_buy(s, d).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+
+
+_RESIDUAL = f"(WITH {_SUP} SELECT s_suppkey AS idx, s_suppkey::DOUBLE - (SELECT sum(value * (col_id % 3)) FROM sup WHERE row_id = s_suppkey) AS r FROM supplier)"
+
+
+def _residual(s, d):
+    a, b = fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d)
+    ax = algebra.spmv(a, b.select("idx", (F.col("value") % 3).alias("value")), b)
+    return algebra.axpy(-1.0, ax, b).withColumnRenamed("value", "r")
+
+
+@query(f"SELECT sqrt(sum(r * r)) AS norm FROM {_RESIDUAL}")
+def a5_true_residual(s, d):
+    return _residual(s, d).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+
+
+@query(f"SELECT round(sqrt(sum(r * r)) / greatest(sqrt(sum(idx::DOUBLE * idx)), 1e-30), 9) AS relative FROM {_RESIDUAL}")
+def a6_relative_residual(s, d):
+    r = _residual(s, d).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("idx").cast("double") * F.col("idx")).alias("bb"))
+    return r.select(F.round(F.sqrt("rr") / F.greatest(F.sqrt("bb"), F.lit(1e-30)), 9).alias("relative"))
+
+
+@query(f"SELECT coalesce(max(abs(r)), 0.0) AS diff_max FROM {_RESIDUAL}")
+def a7_largest_change(s, d):
+    return _residual(s, d).agg(F.coalesce(F.max(F.abs("r")), F.lit(0.0)).alias("diff_max"))
+
+
+@query(f"SELECT max(abs(r)) AS max_abs_diff, round(max(abs(r) / greatest(abs(idx::DOUBLE), 1e-12)), 6) AS max_rel_diff FROM {_RESIDUAL} WHERE idx > 0")
+def a8_differences(s, d):
+    rel = F.abs("r") / F.greatest(F.abs(F.col("idx").cast("double")), F.lit(1e-12))
+    return _residual(s, d).where("idx > 0").agg(F.max(F.abs("r")).alias("max_abs_diff"), F.round(F.max(rel), 6).alias("max_rel_diff"))
+
+
+@query(f"SELECT count(*) FILTER (abs(r - idx) / (least(abs(r), abs(idx)) + 1e-4) > 1e-4)::BIGINT AS errors FROM {_RESIDUAL}")
+def a9_error_count(s, d):
+    gap = F.abs(F.col("r") - F.col("idx")) / (F.least(F.abs("r"), F.abs(F.col("idx").cast("double"))) + 1e-4)
+    return _residual(s, d).agg(F.count_if(gap > 1e-4).alias("errors"))
+
+
+@query(f"SELECT row_id, count(*)::BIGINT AS degree FROM {BUY} GROUP BY 1")
+def a10_row_degree(s, d):
+    return fixtures.purchases(s, d).groupBy("row_id").agg(F.count("*").alias("degree"))
+
+
+@query(f"WITH {_SUP} SELECT min(abs(value)) FILTER (row_id = col_id) AS min_diag, max(abs(value)) AS max_abs, count(*)::BIGINT AS nnz, round(count(*) / (count(DISTINCT row_id) * count(DISTINCT row_id))::DOUBLE, 9) AS density FROM sup")
+def a12_matrix_summary(s, d):
+    n = F.count_distinct("row_id")
+    a = fixtures.suppliers(s, d)
+    return a.agg(F.min(F.when(F.col("row_id") == F.col("col_id"), F.abs("value"))).alias("min_diag"), F.max(F.abs("value")).alias("max_abs"), F.count("*").alias("nnz"), F.round(F.count("*") / (n * n), 9).alias("density"))
+
+
+@query(f"SELECT min(n)::BIGINT AS least, max(n)::BIGINT AS most, round(avg(n), 6) AS mean, sum(n)::BIGINT AS total, round(sum(n) / (128.0 * max(n)), 6) AS efficiency FROM (SELECT pe, count(*) AS n FROM {_LANES} GROUP BY 1)")
+def a13_balance(s, d):
+    n = fixtures.purchases(s, d).groupBy(packing.lane_of_row(F.col("row_id")).alias("pe")).agg(F.count("*").alias("n"))
+    return n.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.sum("n").alias("total"), F.round(F.sum("n") / (128 * F.max("n")), 6).alias("efficiency"))
+
+
+@query(f"WITH {_SUP} SELECT row_id AS idx, -sum(value) AS degree FROM edges GROUP BY 1")
+def a14_weighted_degree(s, d):
+    return algebra.off_diagonal(fixtures.suppliers(s, d)).groupBy(F.col("row_id").alias("idx")).agg((-F.sum("value")).alias("degree"))
+
+
+# Generator -----------------------------------------------------------------
+
+_COLS = generator.grid_shape(GRID)[1]
+_NODES = f"(SELECT i, i // {_COLS} AS r, i % {_COLS} AS c FROM range({GRID}) q(i))"
+_CONTACT = "(0.08 + 0.03 * (1.0 + sin(0.23 * r + 0.19 * c)))"
+_GRID_SQL = f"""WITH n AS {_NODES}, e AS (
+  SELECT i, i + 1 AS j, greatest(0.35, 1.4 + 0.18 * sin(0.17 * r) + 0.11 * cos(0.09 * c) + CASE WHEN r // 9 % 2 = 0 THEN 0.22 ELSE -0.08 END) AS w FROM n WHERE c + 1 < {_COLS}
+  UNION ALL SELECT i, i + {_COLS}, greatest(0.25, 0.95 + 0.15 * cos(0.13 * r) + 0.14 * sin(0.11 * c) + CASE WHEN c // 11 % 3 = 1 THEN 0.20 ELSE 0.02 END) FROM n
+  UNION ALL SELECT i, i + {2 * _COLS + 1}, {_CONTACT} FROM n WHERE r % 13 = 5 AND c % 7 = 2 AND c + 1 < {_COLS}
+  UNION ALL SELECT i, i + {_COLS - 1}, 0.85 * {_CONTACT} FROM n WHERE r % 10 = 3 AND c % 9 = 4 AND c > 0),
+b AS (SELECT i AS row_id, j AS col_id, w FROM e WHERE j < {GRID} AND w > 0 UNION ALL SELECT j, i, w FROM e WHERE j < {GRID} AND w > 0),
+grid AS (SELECT row_id, col_id, -sum(w) AS value FROM b GROUP BY 1, 2
+  UNION ALL SELECT row_id, row_id, sum(w) FROM (SELECT row_id, w FROM b UNION ALL SELECT i, 0.18 + 0.04 * sin(0.07 * i) + 0.03 * cos(0.15 * r - 0.08 * c) FROM n) GROUP BY 1)"""
+
+
+@query(f"{_GRID_SQL} SELECT row_id, col_id, round(value::DOUBLE, 9) AS value FROM grid")
+def s17_grid_matrix(s, d):
+    return _six(generator.grid_matrix(s, GRID), "value", digits=9)
+
+
+_BUMP = f"0.28 * exp(-pow((i - {(GRID - 1) * 0.63}::DOUBLE) / {max(8.0, GRID * 0.07)}::DOUBLE, 2))"
+_SOLUTION = f"SELECT i AS idx, (0.75 + 0.18 * sin(0.06 * r) + 0.12 * cos(0.08 * c) + 0.0009 * i + {_BUMP})::DOUBLE AS value FROM {_NODES}"
+
+
+@query(f"SELECT idx, round(value, 9) AS value FROM ({_SOLUTION})")
+def s20_grid_solution(s, d):
+    return _six(generator.grid_solution(s, GRID), "value", digits=9)
+
+
+@query(f"SELECT i AS idx, round((0.09 * cos(0.04 * i) - 0.06 * sin(0.09 * r) + 0.03 * cos(0.21 * c))::DOUBLE, 9) AS value FROM {_NODES}")
+def s20_grid_guess(s, d):
+    return _six(generator.grid_guess(s, GRID), "value", digits=9)
+
+
+@query(f"SELECT i AS idx, round((0.75 + 0.18 * sin(0.013 * i) + 0.12 * cos(0.017 * i) + 0.0000009 * i + {_BUMP})::DOUBLE, 9) AS value FROM range({GRID}) q(i)")
+def s20_line_solution(s, d):
+    return _six(generator.line_solution(s, GRID), "value", digits=9)
+
+
+@query(f"{_GRID_SQL}, x AS ({_SOLUTION}) SELECT row_id AS idx, round(sum(grid.value * x.value)::DOUBLE, 8) AS value FROM grid JOIN x ON col_id = idx GROUP BY 1")
+def s21_manufactured_rhs(s, d):
+    x = generator.grid_solution(s, GRID)
+    return _six(algebra.spmv(generator.grid_matrix(s, GRID), x, x), "value", digits=8)
+
+
+@query(f"WITH {_SUP} SELECT row_id AS idx, sum(value) AS value FROM sup GROUP BY 1")
+def s22_row_sums(s, d):
+    return fixtures.suppliers(s, d).groupBy(F.col("row_id").alias("idx")).agg(F.sum("value").alias("value"))
+
+
+# Files ---------------------------------------------------------------------
+
+
+@query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
+def s1_csr_folder(s, d):
+    path = new_path(s, "csr")
+    files.write_csr_folder(fixtures.suppliers(s, d), fixtures.ids(s, d, "supplier", "s_suppkey"), path)
+    return files.load_matrix(s, path)
+
+
+@query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
+def s9_matrix_market(s, d):
+    path = new_path(s, "matrix") + ".mtx"
+    files.write_matrix_market(fixtures.suppliers(s, d), path, 1 << 20, 1 << 20)
+    return files.load_matrix(s, path)
+
+
+@query("SELECT 'report' AS tag, 'status' AS key, o_orderstatus AS value, count(*)::BIGINT AS n FROM orders GROUP BY 3 UNION ALL SELECT 'report', 'priority', string_split(o_orderpriority, ' ')[1], count(*)::BIGINT FROM orders GROUP BY 3")
+def s29_report_records(s, d):
+    lines = fixtures.table(s, d, "orders").select(F.concat(F.lit("[report] status="), "o_orderstatus", F.lit(" priority="), "o_orderpriority").alias("value"))
+    return files.report_records(lines).groupBy("tag", "key", "value").agg(F.count("*").alias("n"))
+
+
+# Updates and solvers -------------------------------------------------------
+
+
+def _unrolled_pcg(steps: int, term: str = "value * p") -> str:
+    """Chained CTEs of the first ``steps`` iterations from x = 0 on the supplier matrix."""
+    parts = [f"WITH {_SUP}", "s0 AS MATERIALIZED (SELECT row_id AS idx, value AS d, 0.0::DOUBLE AS x, row_id::DOUBLE AS r, row_id / value AS z, row_id / value AS p FROM sup WHERE row_id = col_id)"]
+    for k in range(steps):
+        parts.append(f"ap{k} AS MATERIALIZED (SELECT row_id AS idx, sum({term}) AS ap FROM sup JOIN s{k} ON col_id = idx GROUP BY 1)")
+        parts.append(f"al{k} AS MATERIALIZED (SELECT sum(r * z) AS rz, sum(r * z) / sum(p * ap) AS alpha FROM s{k} JOIN ap{k} USING (idx))")
+        parts.append(f"u{k} AS MATERIALIZED (SELECT idx, d, x + alpha * p AS x, r - alpha * ap AS r, (r - alpha * ap) / d AS z, p, rz FROM s{k} JOIN ap{k} USING (idx), al{k})")
+        parts.append(f"be{k} AS MATERIALIZED (SELECT sum(r * z) / any_value(rz) AS beta, sum(r * r) AS rr, sum(r * z) AS rz FROM u{k})")
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT idx, d, x, r, z, z + beta * p AS p FROM u{k}, be{k})")
+    return parts[0] + ",\n" + ",\n".join(parts[1:])
+
+
+def _pcg(s, d, policy=solvers.GOLDEN, mode=algebra.FP64):
+    return solvers.pcg(fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d), tau=1e-300, max_iters=STEPS_PCG, policy=policy, mode=mode)
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+def i1_pcg_solution(s, d):
+    return _pcg(s, d).solution.select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} " + " UNION ALL ".join(f"SELECT {k + 1}::INT AS iteration, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM al{k}, be{k}" for k in range(STEPS_PCG)))
+def i1_pcg_trace(s, d):
+    return _pcg(s, d).trace_table().select("iteration", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG, '(value::FLOAT * p::FLOAT)::DOUBLE')} SELECT idx, round(x, 3) AS x FROM s{STEPS_PCG}")
+def i4_pcg_mixed(s, d):
+    return _pcg(s, d, solvers.HOST, algebra.MIXED).solution.select("idx", F.round("value", 3).alias("x"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+def i7_pcg_kernel_policy(s, d):
+    return _pcg(s, d, solvers.KERNEL).solution.select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_unrolled_pcg(1)} SELECT idx, round(x, 6) AS x, round(r, 6) AS r, round(z, 6) AS z, round(p, 6) AS p FROM s1")
+def v2_first_step(s, d):
+    b = fixtures.supplier_rhs(s, d)
+    a = fixtures.suppliers(s, d)
+    start = b.select("idx", F.col("value").alias("r")).join(algebra.diagonal(a).withColumnRenamed("value", "d"), "idx").withColumn("z", F.col("r") / F.col("d"))
+    state = start.join(algebra.spmv(a, start.select("idx", F.col("z").alias("value")), b).withColumnRenamed("value", "ap"), "idx")
+    # two one-row aggregates
+    first = state.agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sum(F.col("z") * F.col("ap")).alias("pap"))
+    new = state.crossJoin(F.broadcast(first)).withColumn("alpha", F.col("rz") / F.col("pap")).select("idx", "d", "rz", (F.col("alpha") * F.col("z")).alias("x"), (F.col("r") - F.col("alpha") * F.col("ap")).alias("r"), F.col("z").alias("p"))
+    new = new.withColumn("z", F.col("r") / F.col("d"))
+    beta = new.agg((F.sum(F.col("r") * F.col("z")) / F.max("rz")).alias("beta"))
+    out = new.crossJoin(F.broadcast(beta)).select("idx", "x", "r", "z", (F.col("z") + F.col("beta") * F.col("p")).alias("p"))
+    return _six(out, "x", "r", "z", "p")
+
+
+_JACOBI = f"WITH {_SUP}, j0 AS (SELECT row_id AS idx, value AS d, 0.0::DOUBLE AS x FROM sup WHERE row_id = col_id), " + ", ".join(
+    f"j{k + 1} AS MATERIALIZED (SELECT idx, d, (idx - coalesce(rx, 0)) / d AS x FROM j{k} LEFT JOIN (SELECT row_id, sum(value * x) AS rx FROM sup JOIN j{k} ON col_id = idx WHERE row_id <> col_id GROUP BY 1) ON row_id = idx)" for k in range(STEPS_JACOBI)
+)
+
+
+@query(f"{_JACOBI} SELECT idx, round(x, 6) AS x FROM j{STEPS_JACOBI}")
+def i10_jacobi(s, d):
+    return solvers.jacobi(fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d), STEPS_JACOBI)[0].select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_JACOBI} SELECT round(max(abs(a.x - b.x)), 6) AS diff_max FROM j{STEPS_JACOBI} a JOIN j{STEPS_JACOBI - 1} b USING (idx)")
+def i11_jacobi_change(s, d):
+    change = solvers.jacobi(fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d), STEPS_JACOBI)[1]
+    return s.range(1).select(F.round(F.lit(change), 6).alias("diff_max"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
