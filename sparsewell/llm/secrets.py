@@ -166,19 +166,23 @@ def is_signed_token(candidate: str) -> bool:
 
 
 def _confirmed(text: str) -> Iterator[Span]:
+    armoured: list[Span] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             body = [x for x in m[2].splitlines() if ":" not in x]  # legacy header lines
             data = _decode64("".join("".join(body).split()))
             legacy = ":" in m[2] and data is not None and len(data) >= 32  # encrypted body has no structure of its own
             if data is not None and (legacy or is_der_private_key(data) or is_openssh_private_key(data)):
-                yield Span(m.start(), 3, m.end())
+                armoured.append(Span(m.start(), 3, m.end()))
+    yield from armoured
     if "eyJ" in text:
         for m in _JWT.finditer(text):
             if is_signed_token(m[0]):
                 yield Span(m.start(), 4, m.end())
     for m in _B64.finditer(text):
         run = m[0]
+        if any(a.start <= m.start() < a.end for a in armoured):
+            continue  # the block is reported as a whole
         if run[0] == "M":  # 0x30 as the first byte
             data = _decode64(run)
             if data is not None and is_der_private_key(data):
