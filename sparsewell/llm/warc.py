@@ -16,6 +16,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,19 +73,20 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             payloads = [(h or "").encode() for h in b.column(2).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "url", "html", "digest", "size"])
+            packed = pa.array([zlib.compress(p) for p in payloads], pa.binary())  # payloads go through a shuffle next
+            yield pa.record_batch([b.column(0), b.column(1), packed, pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "url", "packed", "digest", "size"])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
             # the text writer ends every value with the line feed left out here
-            yield pa.record_batch([pa.array([format_record(i, u, h or "", d, r)[:-1] for i, u, h, d, r in rows], pa.string())], names=["value"])
+            yield pa.record_batch([pa.array([format_record(i, u, zlib.decompress(h).decode(), d, r)[:-1] for i, u, h, d, r in rows], pa.string())], names=["value"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digests, "page_id long, url string, html string, digest string, size long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digests, "page_id long, url string, packed binary, digest string, size long")
     ids = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_only_digests, "page_id long, digest string")
     last = ids.groupBy("digest").agg(F.max("page_id").alias("last")).where("last is not null")
     refers = F.when((F.col("size") >= revisit_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
-    joined = rows.join(last, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    joined = rows.join(last.hint("merge"), "digest", "left").select("page_id", "url", "packed", "digest", refers.alias("refers_to"))
     joined.mapInArrow(records, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -139,11 +141,10 @@ _PARSED = "file string, block long, size long, here long, length long, succ long
 _RESULT = ("page_id", "payload_bytes", "payload_digest", "kind", "refers_to")
 
 
-def _candidates(spark: SparkSession, path: str) -> DataFrame:
+def _candidates(spark: SparkSession, path: str, with_body: bool) -> DataFrame:
     """A row per occurrence of the version line: place within its block, successor and fields.
 
-    ``here`` and ``succ`` count from the start of the block; the body is kept
-    only to put records together that reach over several occurrences.
+    ``here`` and ``succ`` count from the start of the block.
     """
     bounded_batches(spark)
     size = len(VERSION)
@@ -156,7 +157,7 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
                 if place != (file, block):
                     place, at = (file, block), 0
                 parsed = parse_record(body)
-                row = [file, block, total, at - size, len(body) + size, None, False, None, None, None, None, None, body]
+                row = [file, block, total, at - size, len(body) + size, None, False, None, None, None, None, None, body if with_body else None]
                 if parsed:
                     succ, fields = parsed
                     row[5], row[6] = at + succ, succ <= len(body)
@@ -180,13 +181,13 @@ def _reachable(links: DataFrame) -> DataFrame:
     jump = materialize(links, "warc-jump")
     while True:
         # known holds the first 2**k records of each file, jump leads 2**k records on
-        further = known.join(jump, ["file", "start"]).select("file", F.col("succ").alias("start"))
-        further = materialize(further.join(links.select("file", "start"), ["file", "start"], "left_semi"), "warc-further")
+        further = known.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("succ").alias("start"))
+        further = materialize(further.join(links.select("file", "start").hint("merge"), ["file", "start"], "left_semi"), "warc-further")
         if not further.limit(1).count():
             discard(jump)
             return known
         second = jump.select("file", F.col("start").alias("succ"), F.col("succ").alias("next"))
-        longer = materialize(jump.join(second, ["file", "succ"]).select("file", "start", F.col("next").alias("succ")), "warc-jump")
+        longer = materialize(jump.join(second.hint("merge"), ["file", "succ"]).select("file", "start", F.col("next").alias("succ")), "warc-jump")
         more = materialize(known.unionAll(further), "warc-known")
         for old in (jump, known, further):
             discard(old)
@@ -199,15 +200,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Returns page_id, payload_bytes, payload_digest, kind and refers_to.  Bytes
     behind a broken record are not reachable and not reported.
     """
-    parsed = materialize(_candidates(spark, path), "warc-candidates")
+    parsed = materialize(_candidates(spark, path, False), "warc-candidates")
     ends = parsed.groupBy("file", "block").agg(F.max(F.col("here") + F.col("length")).alias("bytes"))
     # a file has few blocks; here counts from a version line before the first body
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = ends.select("file", "block", F.coalesce(F.sum(F.col("bytes") + len(VERSION)).over(before), F.lit(0)).alias("base"))
-    placed = parsed.join(base, ["file", "block"]).withColumn("start", F.col("here") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
+    base = materialize(base, "warc-blocks")
+    placed = parsed.drop("body").join(base.hint("merge"), ["file", "block"]).withColumn("start", F.col("here") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
     links = materialize(placed.where("start >= 0 and succ is not null and succ <= size").select("file", "start", "succ"), "warc-links")
     known = _reachable(links)
-    small = placed.where("start >= 0").drop("body").join(known, ["file", "start"])
+    small = placed.where("start >= 0").join(known.hint("merge"), ["file", "start"])
     whole = small.where("complete").select(*_RESULT)
     parts = materialize(small.where("not complete").select("file", "start", "succ"), "warc-parts")
     if not parts.limit(1).count():
@@ -217,7 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     marked = placed.where("start >= 0").select("file", "start").join(files, "file", "left_semi").join(known.withColumn("own", F.col("start")), ["file", "start"], "left")
     owned = marked.select("file", "start", F.last("own", True).over(Window.partitionBy("file").orderBy("start")).alias("owner"))
     owned = owned.join(parts.select("file", F.col("start").alias("owner")), ["file", "owner"], "left_semi")
-    pieces = placed.select("file", "start", "body").join(owned, ["file", "start"]).repartition("file", "owner").sortWithinPartitions("file", "owner", "start").select("file", "owner", "body")
+    bodies = _candidates(spark, path, True).join(files, "file", "left_semi").join(base, ["file", "block"])
+    pieces = bodies.select("file", (F.col("here") + F.col("base")).alias("start"), "body").join(owned, ["file", "start"]).repartition("file", "owner").sortWithinPartitions("file", "owner", "start").select("file", "owner", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import sorted_groups
