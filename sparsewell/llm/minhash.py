@@ -12,7 +12,7 @@
    with their texts, and such pairs are compared on their full sets until the
    block's components no longer change.
 
-Only connectivity is asked for, so no list of pairs is ever made.
+Only connectivity is asked for, so the pairs of a group are never all listed.
 """
 
 from __future__ import annotations
