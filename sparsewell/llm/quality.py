@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,17 +130,16 @@ def _dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nd
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(BUCKETS), 0.0
     alpha = np.zeros(len(rows))
-    values = []
-    for r in rows:
-        v = ratio[r]
-        n = np.sqrt((v * v).sum())
-        values.append(v / n if n > 0 else v)
+    # only norms are kept: the scaled rows would take three times the memory of the rows
+    norms = np.array([np.sqrt((v * v).sum()) for v in (ratio[r] for r in rows)])
+    norms[norms == 0] = 1.0
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     most = PENALTY / (2 * np.where(y > 0, share[1], share[0]).clip(1e-9))
     for _ in range(EPOCHS):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = ratio[r] / norms[i]
             gradient = y[i] * (w[r] @ v + bias) - 1
             projected = min(gradient, 0.0) if alpha[i] <= 0 else max(gradient, 0.0) if alpha[i] >= most[i] else gradient
             worst = max(worst, abs(projected))
@@ -226,9 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
             grams = [gram_buckets(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(2).cast(pa.int32()), pa.array(grams, pa.binary())], names=["doc_id", "label", "grams"])
 
-    table = rows.mapInArrow(run, "doc_id long, label int, grams binary").toArrow().sort_by([("doc_id", "ascending"), ("grams", "ascending")])
-    grams = [np.frombuffer(g.as_buffer(), "<u4").astype(np.int64) for g in table.column("grams")]
-    return fit(grams, table.column("label").to_numpy())
+    table = rows.mapInArrow(run, "doc_id long, label int, grams binary").toArrow()
+    order = pc.sort_indices(table, [("doc_id", "ascending"), ("grams", "ascending")]).to_numpy()
+    column = table.column("grams")
+    grams = [np.frombuffer(column[i].as_buffer(), "<u4") for i in order.tolist()]  # views, not copies
+    model = fit(grams, table.column("label").to_numpy()[order])
+    del table, column, grams
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
