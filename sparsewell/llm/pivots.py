@@ -31,6 +31,8 @@ NEAREST, SHARED = 8, 2
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 #: Rows of one side of a block.
 BLOCK_ROWS = 1024
+#: Vector lengths that get pivots, the most frequent first; bounds the broadcast.  Others form one list each.
+PIVOT_LENGTHS = 16
 
 
 def _vectors(table: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: str = "<f8") -> np.ndarra
 
 
 def _describe(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
-    """One row per vector and pivot of its description."""
+    """One row per vector and pivot of its description; vectors of a length without pivots all stand in list 0."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
     bounded_batches(reps.sparkSession)
 
@@ -69,11 +71,13 @@ def _describe(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> D
         for b in batches:
             dims = b.column(2).to_numpy()
             for dim in np.unique(dims):
-                points = shared.value[int(dim)]
+                points = shared.value.get(int(dim))
                 part = b.filter(pa.array(dims == dim))
-                near = _matrix(part.column(3)) @ points.T
-                k = min(nearest, len(points))
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k].astype("<i4")
+                if points is None:
+                    order = np.zeros((part.num_rows, 1), "<i4")
+                else:
+                    order = np.argsort(-(_matrix(part.column(3)) @ points.T), axis=1, kind="stable")[:, :nearest].astype("<i4")
+                k = order.shape[1]
                 at = np.repeat(np.arange(part.num_rows), k)
                 seq = [order[i].tobytes() for i in range(part.num_rows)]
                 took = part.take(pa.array(at))
@@ -130,13 +134,16 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     vector.  Other columns are ignored; an empty table gives an empty table.
     Links below ``cosine`` are never made; a link is found if the descriptions
     share ``shared`` of ``nearest`` pivots (recall is measured in the tests).
+    Only the ``PIVOT_LENGTHS`` most frequent vector lengths get pivots; vectors of
+    any other length are compared exactly with all of their label and length, in
+    the same blocks.
     """
     spark = table.sparkSession
     vectors = materialize(_vectors(table), "pivot-vectors")
     valid = vectors.where("vec_id is not null and label is not null and vec is not null")
     copies = valid.groupBy("label", "dim", "vec", "vec_id").agg(F.lit(1).alias("one"))
     reps = materialize(copies.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "pivot-reps")
-    by_dim = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(16).collect()
+    by_dim = reps.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(PIVOT_LENGTHS).collect()
     pivots = {}
     for dim, n in by_dim:
         size = min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(2 * sqrt(n))))
@@ -145,7 +152,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     if not pivots:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     n_pivots = max(map(len, pivots.values()))
-    index = materialize(_describe(reps.where(F.col("dim").isin(*pivots)), pivots, nearest), "pivot-index")
+    index = materialize(_describe(reps, pivots, nearest), "pivot-index")
     key = ["label", "dim", "pivot"]
     sizes = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("parts"))
     rows = index.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("rep"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

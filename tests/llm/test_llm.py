@@ -165,6 +165,13 @@ def test_pivot_index_recall(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def test_pivot_index_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0 + k / 100] + [1.0] * n, 1) for n in range(20) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()}
+    assert got == {(i, 1, i - i % 2) for i in range(40)}
+
+
 def test_rules_counts(spark):
     texts = TEXTS[:5] + ["a b c a b c d\nx\nx\n \nX # *"] + [" ".join(f"w{k % 40}" for k in range(90))]
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
