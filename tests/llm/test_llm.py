@@ -326,3 +326,45 @@ def test_pipeline_stages(spark, tokenizer):
     assert {p.doc_id for p in pieces} == set(kept)
     assert {p.doc_id: p.doc_tokens for p in pieces} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
     assert not any(secrets.find_secrets(t) for t in kept.values())
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and extra columns named as the operators name theirs."""
+    good = spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good]
+    rows += rows[:3] + [(None, None, None, None, None), (None, rows[0][1], "en", "s", 1), (9001, None, "en", None, None), (9002, "", None, "s", 0), (9003, rows[1][1] * 400, "xx", "s", None), (9003, rows[2][1], "xx", "s", 1)]
+    extra = ("score", "predicted", "severity", "stratum", "kept", "component_id", "set_key", "sig", "spans", "ids", "start", "share", "_t", "label", "quality")
+    return spark.createDataFrame([(*r, *["clash"] * len(extra)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+
+
+def test_pipeline_stages_of_odd_rows(spark):
+    import corpus_pipeline
+
+    odd = odd_documents(spark)
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        rows = out.collect()
+        ids = {r.doc_id for r in rows}
+        if name == "packing":
+            assert ids == {r.doc_id for r in odd.select("doc_id").collect()}
+            assert sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+        else:
+            assert out.columns == plain, name
+        if name == "minhash_dedup":
+            assert sum(r.doc_id is None for r in rows) == 2 and len(ids) == len(rows) - 1
+        if name == "secret_scan":
+            assert len(rows) == odd.count()
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+
+
+def test_labels_with_nulls_and_repeats(spark):
+    odd = odd_documents(spark)
+    ids = [r.doc_id for r in odd.select("doc_id").collect()]
+    rows = [(i, k % 2) for k, i in enumerate(ids)] * 2 + [(None, 1), (ids[0], None), (ids[1], 7)]
+    labels = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "doc_id long, quality int, text string, lang string")
+    out = quality.score_documents(odd, quality.train(odd, labels)).collect()
+    assert len(out) == len(ids) and all(0 <= r.score <= 1 for r in out)
+    assert rules.judge_documents(odd, labels).count() == len(ids)
+    none = labels.limit(0)
+    assert {r.score for r in quality.score_documents(odd, quality.train(odd, none)).collect()} == {0.5}
