@@ -241,6 +241,13 @@ def l6_pack_place(s, d):
     return fixtures.purchases(s, d).select("row_id", "col_id", packing.pack_place(F.col("col_id") % 8192, packing.local_row(F.col("row_id"))).alias("place"))
 
 
+@query(f"SELECT row_id, col_id % 8192 AS local_col, (row_id // 256) * 2 + row_id % 2 AS code, value::FLOAT::DOUBLE AS value FROM {BUY}")
+def l6_element_round_trip(s, d):
+    word = packing.pack_element(F.col("col_id") % 8192, packing.local_row(F.col("row_id")), F.col("value"))
+    words = fixtures.purchases(s, d).select("row_id", word.alias("word"))
+    return words.select("row_id", packing.unpack_element(F.col("word")).alias("e")).select("row_id", "e.local_col", "e.code", F.col("e.value").cast("double").alias("value"))
+
+
 _LANES = f"(SELECT *, ((row_id // 2 % 8) * 2 + row_id // 16 % 2) * 8 + row_id // 32 % 8 AS pe, col_id // 8192 AS batch FROM {BUY})"
 
 
@@ -424,6 +431,55 @@ def s9_matrix_market(s, d):
     return files.load_matrix(s, path)
 
 
+@query(f"SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, value FROM {EDGE}")
+def s8_unmerged_entries(s, d):
+    path = new_path(s, "raw") + ".mtx"
+    files.write_matrix_market(edge(s), path, 6, 10)
+    return files.read_matrix_market(s, path, merged=False)
+
+
+@query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS idx, s_acctbal AS value FROM supplier")
+def s10_array_vector(s, d):
+    path = new_path(s, "vector")
+    files.write_matrix_market_vector(fixtures.table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_acctbal").alias("value")), path)
+    return files.read_matrix_market_vector(s, path)
+
+
+@query("SELECT i AS idx, (CASE WHEN i % 3 = 0 THEN i + 0.5 ELSE 0 END)::DOUBLE AS value FROM range(100) r(i)")
+def s10_coordinate_vector(s, d):
+    path = new_path(s, "vector")
+    i = F.col("id")
+    entries = s.range(100).where("id % 3 = 0").select(i.alias("row_id"), F.lit(0).alias("col_id"), (i + 0.5).alias("value"))
+    files.write_matrix_market(entries, path, 100, 1)
+    return files.read_matrix_market_vector(s, path)
+
+
+@query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
+def s14_read_through(s, d):
+    path, cache = new_path(s, "matrix") + ".mtx", new_path(s, "cache")
+    files.write_matrix_market(fixtures.suppliers(s, d), path, 1 << 20, 1 << 20)
+    files.read_through(s, path, cache)
+    return files.read_through(s, path, cache)
+
+
+@query(f"WITH {_SUP}, sums AS (SELECT row_id, sum(value) AS v FROM sup GROUP BY 1) SELECT row_number() OVER (ORDER BY row_id) - 1 AS pos, v AS value FROM sums")
+def s25_number_file(s, d):
+    path = new_path(s, "numbers")
+    files.write_numbers(s22_row_sums(s, d).withColumnRenamed("idx", "pos"), path)
+    return files.read_numbers(s, path)
+
+
+@query(f"SELECT max(row_id) + 1 AS n_rows, max(col_id) + 1 AS n_cols, count(*)::BIGINT AS nnz, max(row_id) = max(col_id) AS square FROM {BUY}")
+def s26_inferred_size(s, d):
+    return files.inferred_size(fixtures.purchases(s, d))
+
+
+@query("SELECT to_json({status: o_orderstatus, n: count(*)})::VARCHAR AS report FROM orders GROUP BY o_orderstatus")
+def s27_json_report(s, d):
+    counts = fixtures.table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return counts.select(F.to_json(F.struct("status", "n")).alias("report"))
+
+
 @query("SELECT 'report' AS tag, 'status' AS key, o_orderstatus AS value, count(*)::BIGINT AS n FROM orders GROUP BY 3 UNION ALL SELECT 'report', 'priority', string_split(o_orderpriority, ' ')[1], count(*)::BIGINT FROM orders GROUP BY 3")
 def s29_report_records(s, d):
     lines = fixtures.table(s, d, "orders").select(F.concat(F.lit("[report] status="), "o_orderstatus", F.lit(" priority="), "o_orderpriority").alias("value"))
@@ -469,6 +525,44 @@ def i7_pcg_kernel_policy(s, d):
     return _pcg(s, d, solvers.KERNEL).solution.select("idx", F.round("value", 6).alias("x"))
 
 
+@query(f"{_unrolled_pcg(STEPS_PCG)}, ax AS (SELECT row_id AS idx, sum(value * x) AS v FROM sup JOIN s{STEPS_PCG} ON col_id = idx GROUP BY 1) SELECT round(sqrt(sum((v - idx) * (v - idx))), 5) AS norm FROM ax")
+def i2_true_residual(s, d):
+    residual = solvers.true_residual(fixtures.suppliers(s, d), _pcg(s, d).solution, fixtures.supplier_rhs(s, d))
+    return residual.select(F.round("norm", 5).alias("norm"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+def i5_pcg_blocked(s, d):
+    a, b = fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d)
+    blocks = layout.bitmap_blocks(a)
+    out = solvers.pcg(a, b, tau=1e-300, max_iters=STEPS_PCG, multiply=lambda x, rows: algebra.spmv(layout.unblock(blocks), x, rows))
+    return out.solution.select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+def i9_pcg_split_policy(s, d):
+    return _pcg(s, d, solvers.SPLIT).solution.select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+def i14_pcg_exact_policy(s, d):
+    return _pcg(s, d, solvers.EXACT).solution.select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG} ORDER BY idx LIMIT 16")
+def o6_first_rows(s, d):
+    return _pcg(s, d).solution.orderBy("idx").limit(16).select("idx", F.round("value", 6).alias("x"))
+
+
+@query(f"WITH {_SUP}, s AS (SELECT row_id AS idx, row_id::DOUBLE AS r, row_id / value AS z FROM sup WHERE row_id = col_id), a AS (SELECT row_id AS idx, sum(value * z) AS ap FROM sup JOIN s ON col_id = idx GROUP BY 1) SELECT round(sum(r * z), 6) AS rz, round(sum(r * r), 6) AS rr, round(sum(z * ap), 6) AS pap FROM s JOIN a USING (idx)")
+def v1_start_sums(s, d):
+    a, b = fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d)
+    state = b.select("idx", F.col("value").alias("r")).join(algebra.diagonal(a), "idx").select("idx", "r", (F.col("r") / F.col("value")).alias("z"))
+    state = state.join(algebra.spmv(a, state.select("idx", F.col("z").alias("value")), b), "idx")
+    total = lambda x, y: F.round(F.sum(F.col(x) * F.col(y)), 6)
+    return state.agg(total("r", "z").alias("rz"), total("r", "r").alias("rr"), total("z", "value").alias("pap"))
+
+
 @query(f"{_unrolled_pcg(1)} SELECT idx, round(x, 6) AS x, round(r, 6) AS r, round(z, 6) AS z, round(p, 6) AS p FROM s1")
 def v2_first_step(s, d):
     b = fixtures.supplier_rhs(s, d)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType, LongType
 
 # Rows per packet, lanes per channel, checkers, and the bit positions of a word.
 ROWS_PER_PACKET, LANES, CHECKERS = 2, 8, 8
@@ -36,6 +39,27 @@ def pack_place(local_col: Column, code: Column) -> Column:
     return col.bitwiseOR(F.shiftleft(code.cast("long").bitwiseAND(F.lit(ROW_MASK).cast("long")), ROW_SHIFT))
 
 
+@F.pandas_udf(LongType())
+def _float_bits(value: pd.Series) -> pd.Series:
+    return pd.Series(value.to_numpy(np.float32).view(np.uint32).astype(np.int64))
+
+
+@F.pandas_udf(FloatType())
+def _bits_float(bits: pd.Series) -> pd.Series:
+    return pd.Series(bits.to_numpy(np.int64).astype(np.uint32).view(np.float32))
+
+
+def pack_element(local_col: Column, code: Column, value: Column) -> Column:
+    """Element word: column and row bits above the bits of the 32-bit value (SQL has no such cast)."""
+    return pack_place(local_col, code).bitwiseOR(_float_bits(value.cast("float")))
+
+
+def unpack_element(word: Column) -> Column:
+    """Struct (local_col, code, value) of an element word."""
+    bits = lambda shift, mask: F.shiftrightunsigned(word, shift).bitwiseAND(F.lit(mask).cast("long"))
+    return F.struct(bits(COL_SHIFT, COL_MASK).alias("local_col"), bits(ROW_SHIFT, ROW_MASK).alias("code"), _bits_float(bits(0, 0xFFFFFFFF)).alias("value"))
+
+
 def is_padding(code: Column) -> Column:
     """Whether a row code marks padding."""
     return code.bitwiseAND(F.lit(PADDING_BIT).cast("long")) != 0

@@ -8,6 +8,7 @@ the stop rules live in a ``Policy``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,7 +27,10 @@ class Policy:
     ``tau`` bounds the squared residual norm.  ``tiny`` is the least size of
     p.Ap and, if ``check_rz``, of r.z; ``inf_breaks`` counts infinities as
     breakdown besides NaN; ``raises`` turns breakdown into ArithmeticError;
-    ``divide`` computes z as r / d instead of r * (1 / d).
+    ``divide`` computes z as r / d instead of r * (1 / d).  ``rz_first`` tests
+    r.z before the product, so that a NaN at the start is a breakdown;
+    ``recheck_rz`` tests it after the update too, where the iteration counts.
+    Without ``strict_arguments`` bad arguments are a breakdown, not a ValueError.
     """
 
     tiny: float = 1e-30
@@ -36,12 +40,16 @@ class Policy:
     divide: bool = False
     auto_max: bool = True
     update_p_at_end: bool = True
+    rz_first: bool = False
+    recheck_rz: bool = False
+    strict_arguments: bool = True
 
 
 GOLDEN = Policy(tiny=2.2250738585072014e-308, check_rz=False, inf_breaks=False, raises=True, divide=True, update_p_at_end=False)
 HOST = Policy()
-KERNEL = Policy(inf_breaks=False, auto_max=False, update_p_at_end=False)
-GRAPH = Policy(inf_breaks=False)
+KERNEL = Policy(inf_breaks=False, auto_max=False, update_p_at_end=False, rz_first=True, strict_arguments=False)
+GRAPH = Policy(inf_breaks=False, strict_arguments=False)
+SPLIT = Policy(inf_breaks=False, auto_max=False, update_p_at_end=False, recheck_rz=True, strict_arguments=False)
 EXACT = Policy(check_rz=False, raises=True, auto_max=False, update_p_at_end=False)
 
 
@@ -62,11 +70,32 @@ def _broken(value: float, policy: Policy) -> bool:
     return math.isnan(value) or (policy.inf_breaks and math.isinf(value)) or abs(value) <= policy.tiny
 
 
-def pcg(matrix: DataFrame, b: DataFrame, x0: DataFrame | None = None, tau: float = 1e-10, max_iters: int = 0, policy: Policy = HOST, mode: str = FP64) -> Result:
-    """Solve A x = b; ``b`` holds every index.  max_iters 0 means max(4 n, 1000) unless the policy takes it as it is."""
-    if tau <= 0 or max_iters < 0:
-        raise ValueError("tau must be positive and max_iters not negative")
+def true_residual(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the norm of A x - b, computed anew."""
+    gap = spmv(matrix, x, b).join(b.select("idx", F.col("value").alias("b")), "idx").select((F.col("value") - F.col("b")).alias("g"))
+    return gap.agg(F.sqrt(F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0.0))).alias("norm"))
+
+
+def pcg(
+    matrix: DataFrame,
+    b: DataFrame,
+    x0: DataFrame | None = None,
+    tau: float = 1e-10,
+    max_iters: int = 0,
+    policy: Policy = HOST,
+    mode: str = FP64,
+    multiply: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> Result:
+    """Solve A x = b; ``b`` holds every index.  max_iters 0 means max(4 n, 1000) unless the policy takes it as it is.
+
+    ``multiply(x, rows)`` may replace the product of the edge table with x.
+    """
+    multiply = multiply or (lambda x, rows: spmv(matrix, x, rows, mode))
     n = b.count()
+    if tau <= 0 or max_iters < 0 or not n:
+        if policy.strict_arguments:
+            raise ValueError("tau must be positive, max_iters not negative and b not empty")
+        return Result(BREAKDOWN, 0, 0.0, b.select("idx", F.lit(0.0).alias("value")), [])
     limit = max(4 * n, 1000) if policy.auto_max and max_iters == 0 else max_iters
     start = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
     start = start.join(x0.withColumnRenamed("value", "x"), "idx", "left") if x0 is not None else start.withColumn("x", F.lit(0.0))
@@ -75,15 +104,18 @@ def pcg(matrix: DataFrame, b: DataFrame, x0: DataFrame | None = None, tau: float
     if bad:
         raise ValueError("missing or zero diagonal entry")
     precondition = lambda r: F.col(r) / F.col("d") if policy.divide else F.col(r) * (1 / F.col("d"))
-    ax = spmv(matrix, start.select("idx", F.col("x").alias("value")), b, mode)
+    ax = multiply(start.select("idx", F.col("x").alias("value")), b)
     state = start.join(ax.withColumnRenamed("value", "ax"), "idx").withColumn("r", F.col("b") - F.col("ax")).withColumn("z", precondition("r")).withColumn("p", F.col("z"))
     state = materialize(state.select("idx", "d", "x", "r", "z", "p"), "pcg")
     sums = (F.coalesce(F.sum(F.col("r") * F.col("z")), F.lit(0.0)), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)))
     rz, rr = state.agg(*sums).first()
     trace: list[tuple[int, float, float, float, float, float]] = []
     done, status = 0, None
-    while rr > tau and done < limit:
-        ap = spmv(matrix, state.select("idx", F.col("p").alias("value")), b, mode).withColumnRenamed("value", "ap")
+    while done < limit and (rr > tau or policy.rz_first and math.isnan(rr)):
+        if policy.rz_first and _broken(rz, policy):
+            status = BREAKDOWN
+            break
+        ap = multiply(state.select("idx", F.col("p").alias("value")), b).withColumnRenamed("value", "ap")
         with_ap = materialize(state.join(ap, "idx"), "pcg")
         pap = with_ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         if _broken(pap, policy) or policy.check_rz and _broken(rz, policy):
@@ -97,11 +129,15 @@ def pcg(matrix: DataFrame, b: DataFrame, x0: DataFrame | None = None, tau: float
         beta = new_rz / rz
         done += 1
         trace.append((done, alpha, beta, new_rz, rr, math.sqrt(rr) if rr >= 0 else math.nan))
+        broken = policy.recheck_rz and not rr <= tau and _broken(new_rz, policy)
         move = policy.update_p_at_end or not rr <= tau
         new = materialize(stepped.withColumn("p", F.col("z") + beta * F.col("p") if move else F.col("p")).select("idx", "d", "x", "r", "z", "p"), "pcg")
         discard(state)
         discard(with_ap)
         state, rz = new, new_rz
+        if broken:
+            status = BREAKDOWN
+            break
     return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace)
 
 

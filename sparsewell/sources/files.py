@@ -14,6 +14,20 @@ from ..operators.algebra import expand_symmetric, merge_duplicates, pointers
 from ..operators.validate import row_steps
 
 
+def _market_parts(spark: SparkSession, path: str) -> tuple[list[str], list[str], DataFrame]:
+    """Words of the banner, words of the size line, and the split entry lines (p, at) of a MatrixMarket file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    head = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
+    if head is None:
+        raise ValueError("no MatrixMarket banner")
+    parts = F.split(F.trim("value"), r"\s+")
+    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(parts.alias("p"), "file", "at")
+    first = body.where(F.col("file") == head.file).orderBy("at").first()  # the size line follows the banner
+    if first is None:
+        raise ValueError("no size line")
+    return head[0].lower().split(), list(first.p), body.where(F.col("at") != first.at).select("p", "at")
+
+
 def read_matrix_market(spark: SparkSession, path: str, merged: bool = True) -> DataFrame:
     """Coordinate matrix as an edge table.
 
@@ -21,24 +35,41 @@ def read_matrix_market(spark: SparkSession, path: str, merged: bool = True) -> D
     mirrored, complex ones keep their real part.  ``merged`` sums repeated
     entries and drops zeros.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    head = lines.where(F.col("value").startswith("%%MatrixMarket")).first()
-    if head is None:
-        raise ValueError("no MatrixMarket banner")
-    _, kind, storage, field, symmetry = head[0].lower().split()
+    banner, size, body = _market_parts(spark, path)
+    _, kind, storage, field, symmetry = banner
     if kind != "matrix" or storage != "coordinate" or field not in ("real", "integer", "pattern", "complex"):
-        raise ValueError(f"unsupported banner {head[0]}")
-    parts = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(parts.alias("p"), "file", "at")
-    first = body.where(F.col("file") == head.file).orderBy("at").first()  # the size line follows the banner
-    if first is None or len(first.p) != 3:
+        raise ValueError(f"unsupported banner {' '.join(banner)}")
+    if len(size) != 3:
         raise ValueError("no size line")
     value = F.lit(1.0) if field == "pattern" else F.col("p")[2].cast("double")
-    out = body.where(F.col("at") != first.at).select((F.col("p")[0].cast("long") - 1).alias("row_id"), (F.col("p")[1].cast("long") - 1).alias("col_id"), value.alias("value"))
+    out = body.select((F.col("p")[0].cast("long") - 1).alias("row_id"), (F.col("p")[1].cast("long") - 1).alias("col_id"), value.alias("value"))
     out = expand_symmetric(out) if symmetry in ("symmetric", "hermitian") else out
     return merge_duplicates(out) if merged else out
 
 
+def read_matrix_market_vector(spark: SparkSession, path: str) -> DataFrame:
+    """First column of a matrix file as a dense vector (idx, value).
+
+    Coordinate storage leaves 0.0 where there is no entry; of repeated entries the last counts.
+    """
+    banner, size, body = _market_parts(spark, path)
+    if banner[1] != "matrix" or banner[3] not in ("real", "integer"):
+        raise ValueError(f"unsupported banner {' '.join(banner)}")
+    n = int(size[0])
+    if banner[2] == "array":  # the two sizes stand in front of the values
+        numbers = read_numbers(spark, path, comment="%")
+        return numbers.where((F.col("pos") >= 2) & (F.col("pos") < n + 2)).select((F.col("pos") - 2).alias("idx"), "value")
+    entries = body.where(F.col("p")[1].cast("long") == 1).groupBy((F.col("p")[0].cast("long") - 1).alias("idx")).agg(F.max_by(F.col("p")[2].cast("double"), "at").alias("value"))
+    return spark.range(n).withColumnRenamed("id", "idx").join(entries, "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def write_matrix_market_vector(vector: DataFrame, path: str) -> None:
+    """Parts of an array file with one column: banner and sizes first, then the values in order of idx."""
+    head = vector.agg(F.count("*").alias("n")).select(F.concat(F.lit("%%MatrixMarket matrix array real general\n"), F.col("n").cast("string"), F.lit(" 1")).alias("value"))
+    body = vector.select("idx", F.format_string("%.17g", "value").alias("value"))
+    head.select(F.lit(-1).cast("long").alias("idx"), "value").unionAll(body).orderBy("idx").select("value").write.text(path)
+
+
 def write_matrix_market(matrix: DataFrame, path: str, n_rows: int, n_cols: int) -> None:
     """Parts of a coordinate file: the banner in its own part, then the entries."""
     head = matrix.agg(F.count("*").alias("n")).select(F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{n_rows} {n_cols} "), F.col("n").cast("string")).alias("value"))
@@ -46,7 +77,7 @@ def write_matrix_market(matrix: DataFrame, path: str, n_rows: int, n_cols: int)
     matrix.select(F.format_string("%d %d %.17g", F.col("row_id") + 1, F.col("col_id") + 1, "value").alias("value")).write.mode("append").text(path)
 
 
-def read_numbers(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
+def read_numbers(spark: SparkSession, path: str, kind: str = "double", comment: str | None = None) -> DataFrame:
     """(pos, value) of a whitespace-separated number file or folder of parts; an empty one is an error.
 
     Positions are prefix sums over file splits and inside each split, so files
@@ -54,6 +85,7 @@ def read_numbers(spark: SparkSession, path: str, kind: str = "double") -> DataFr
     """
     words = F.filter(F.split("value", r"\s+"), lambda x: x != "")
     lines = spark.read.text(path).select(words.alias("a"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = lines.where(~F.coalesce(F.get("a", F.lit(0)), F.lit("")).startswith(comment)) if comment else lines
     lines = lines.withColumn("n", F.size("a"))
     totals = lines.groupBy("file", "block").agg(F.sum("n").alias("total"))
     # one row per file split
@@ -128,6 +160,20 @@ def load_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path) if path.endswith(".parquet") else read_csr_folder(spark, path)
 
 
+def read_through(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """The matrix of ``path`` from its Parquet copy ``cache``, which the first call writes."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        load_matrix(spark, path).write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
+
+
+def inferred_size(matrix: DataFrame) -> DataFrame:
+    """One row: n_rows, n_cols, nnz and square of a matrix without metadata."""
+    size = matrix.agg(F.coalesce(F.max("row_id") + 1, F.lit(0)).alias("n_rows"), F.coalesce(F.max("col_id") + 1, F.lit(0)).alias("n_cols"), F.count("*").alias("nnz"))
+    return size.withColumn("square", F.col("n_rows") == F.col("n_cols"))
+
+
 def report_records(lines: DataFrame) -> DataFrame:
     """(tag, key, value) of report lines such as ``[tag] key=value key=value``."""
     tagged = lines.select(F.regexp_extract("value", r"^\[([^\]]+)\]", 1).alias("tag"), F.explode(F.regexp_extract_all("value", F.lit(r"(\w+=[^\s]+)"), F.lit(1))).alias("kv"))
