@@ -85,17 +85,22 @@ def pcg(
     policy: Policy = HOST,
     mode: str = FP64,
     multiply: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    stored: bool = False,
 ) -> Result:
     """Solve A x = b; ``b`` holds every index.  max_iters 0 means max(4 n, 1000) unless the policy takes it as it is.
 
-    ``multiply(x, rows)`` may replace the product of the edge table with x.
+    ``multiply(x, rows)`` may replace the product of the edge table with x.  The
+    matrix is written once, so that iterations read it instead of deriving it
+    again; ``stored`` says that it is a plain table already.
     """
-    multiply = multiply or (lambda x, rows: spmv(matrix, x, rows, mode))
     n = b.count()
     if tau <= 0 or max_iters < 0 or not n:
         if policy.strict_arguments:
             raise ValueError("tau must be positive, max_iters not negative and b not empty")
         return Result(BREAKDOWN, 0, 0.0, b.select("idx", F.lit(0.0).alias("value")), [])
+    copied = not stored and multiply is None
+    matrix = materialize(matrix, "matrix") if copied else matrix
+    multiply = multiply or (lambda x, rows: spmv(matrix, x, rows, mode))
     limit = max(4 * n, 1000) if policy.auto_max and max_iters == 0 else max_iters
     start = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
     start = start.join(x0.withColumnRenamed("value", "x"), "idx", "left") if x0 is not None else start.withColumn("x", F.lit(0.0))
@@ -138,11 +143,14 @@ def pcg(
         if broken:
             status = BREAKDOWN
             break
+    if copied:
+        discard(matrix)
     return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace)
 
 
-def jacobi(matrix: DataFrame, b: DataFrame, iterations: int) -> tuple[DataFrame, float]:
-    """A fixed number of Jacobi steps from x = 0: (solution, largest change of the last step)."""
+def jacobi(matrix: DataFrame, b: DataFrame, iterations: int, stored: bool = False) -> tuple[DataFrame, float]:
+    """A fixed number of Jacobi steps from x = 0: (solution, largest change of the last step).  ``stored`` as in ``pcg``."""
+    matrix = matrix if stored else materialize(matrix, "matrix")
     rest = off_diagonal(matrix)
     fixed = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
     if fixed.where("d is null or d = 0").limit(1).count():
@@ -156,4 +164,6 @@ def jacobi(matrix: DataFrame, b: DataFrame, iterations: int) -> tuple[DataFrame,
         discard(state)
         state = new.drop("diff")
         state._sparsewell_path = new._sparsewell_path
+    if not stored:
+        discard(matrix)
     return state.select("idx", F.col("x").alias("value")), change

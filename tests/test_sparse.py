@@ -60,6 +60,23 @@ def test_pcg_breakdown(spark):
         solvers.pcg(a, b, tau=0)
 
 
+def test_policies_of_bad_starts(spark):
+    a, b = matrix(spark, DENSE), vector(spark, [1, 2, 3])
+    nan = vector(spark, [float("nan"), 2, 3])
+    assert solvers.pcg(a, nan, max_iters=3, policy=solvers.KERNEL).status == solvers.BREAKDOWN
+    for policy in (solvers.KERNEL, solvers.GRAPH, solvers.SPLIT):
+        assert solvers.pcg(a, b, tau=-1.0, policy=policy).status == solvers.BREAKDOWN
+    out = solvers.pcg(a, b, tau=1e-12, multiply=lambda x, rows: algebra.spmv(layout.unblock(layout.bitmap_blocks(a)), x, rows), stored=True)
+    assert out.status == solvers.CONVERGED and solvers.true_residual(a, out.solution, b).first().norm < 1e-5
+
+
+def test_matrix_vectors(spark, tmp_path):
+    (tmp_path / "c.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% c\n4 2 4\n2 1 5\n2 1 6.5\n4 1 1\n3 2 9\n")
+    (tmp_path / "a.mtx").write_text("%%MatrixMarket matrix array real general\n% c\n3 2\n1\n2 3\n4\n5\n6\n")
+    assert values(files.read_matrix_market_vector(spark, f"{tmp_path}/c.mtx")).tolist() == [0, 6.5, 0, 1]
+    assert values(files.read_matrix_market_vector(spark, f"{tmp_path}/a.mtx")).tolist() == [1, 2, 3]
+
+
 def test_jacobi_uses_whole_old_vector(spark):
     x = np.zeros(3)
     for _ in range(3):
