@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
-A bounded sample of vectors serves as reference points (pivots).  Every vector
+A bounded sample of vectors, none near another, serves as reference points (pivots).  Every vector
 is described by its nearest pivots in order and stands in the inverted list of
 each of them.  Two vectors of one list are candidates if their descriptions
 share enough pivots; candidates are verified by their cosine in double
@@ -29,6 +29,12 @@ COSINE = 0.93
 NEAREST, SHARED = 8, 2
 #: Pivots grow with the square root of the rows between these bounds; the upper one bounds the broadcast.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
+#: Pivots are at most this close to each other: which of several near copies is nearest is noise and tells nothing about a vector.
+SPREAD = 0.8
+#: Sampled vectors for each pivot wanted, so that large groups of near copies leave enough others.
+SAMPLED = 4
+#: Cosines of whole blocks come from one matrix product; those this near to the threshold are computed again pair by pair.
+ROUNDING = 1e-9
 #: Rows of one side of a block.
 BLOCK_ROWS = 1024
 #: Vector lengths that get pivots, the most frequent first; bounds the broadcast.  Others form one list each.
@@ -62,6 +68,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dtype: str = "<f8") -> np.ndarra
     return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1)
 
 
+def _spread(sample: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` rows of the sample that are not within ``SPREAD`` of an earlier one."""
+    kept, n = np.empty((min(size, len(sample)), sample.shape[1])), 0
+    for v in sample:
+        if n == len(kept):
+            break
+        if not n or (kept[:n] @ v).max() < SPREAD:
+            kept[n] = v
+            n += 1
+    return kept[:n]
+
+
 def _describe(reps: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
     """One row per vector and pivot of its description; vectors of a length without pivots all stand in list 0."""
     shared = reps.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
@@ -109,10 +127,15 @@ def _verify(blocks: DataFrame, n_pivots: int, cosine: float, shared: int) -> Dat
             if pivot:
                 lower = hot[:, :pivot]
                 ok &= lower @ lower.T == 0
-            ok[ok] = np.einsum("ij,ij->i", vec[(at := np.nonzero(ok))[0]], vec[at[1]]) >= cosine
             np.fill_diagonal(ok, False)
             if i != j:  # pairs inside a part belong to that part's own block
                 ok &= part[:, None] != part[None, :]
+            cosines = vec @ vec.T  # of one block: any number of its pairs may be candidates
+            ok &= cosines >= cosine - ROUNDING
+            at, to = np.nonzero(ok & (cosines < cosine + ROUNDING))
+            for k in range(0, len(at), BLOCK_ROWS):
+                a, b = at[k : k + BLOCK_ROWS], to[k : k + BLOCK_ROWS]
+                ok[a, b] = np.einsum("ij,ij->i", vec[a], vec[b]) >= cosine
             n = ok @ m
             has = n > 0
             if has.any():
@@ -135,8 +158,9 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     Links below ``cosine`` are never made; a link is found if the descriptions
     share ``shared`` of ``nearest`` pivots (recall is measured in the tests).
     Only the ``PIVOT_LENGTHS`` most frequent vector lengths get pivots; vectors of
-    any other length are compared exactly with all of their label and length, in
-    the same blocks.
+    any other length, or of a length whose vectors leave no more than ``nearest``
+    spread pivots, are compared exactly with all of their label and length, in the
+    same blocks.
     """
     spark = table.sparkSession
     vectors = materialize(_vectors(table), "pivot-vectors")
@@ -147,11 +171,13 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     pivots = {}
     for dim, n in by_dim:
         size = min(MOST_PIVOTS, max(LEAST_PIVOTS, ceil(2 * sqrt(n))))
-        sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(size).select("vec").collect()
-        pivots[dim] = np.stack([np.frombuffer(bytes(r.vec), "<f8") for r in sample])
-    if not pivots:
+        sample = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLED * size).select("vec").collect()
+        points = _spread(np.stack([np.frombuffer(bytes(r.vec), "<f8") for r in sample]), size)
+        if len(points) > nearest:  # otherwise all descriptions are equal and one list does
+            pivots[dim] = points
+    if not by_dim:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n_pivots = max(map(len, pivots.values()))
+    n_pivots = max(map(len, pivots.values()), default=1)
     index = materialize(_describe(reps, pivots, nearest), "pivot-index")
     key = ["label", "dim", "pivot"]
     sizes = index.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("parts"))
