@@ -5,6 +5,7 @@ kinds are reported only if the candidate's structure holds up:
 
 * ``pem``    an armoured private-key block whose body decodes to a DER sequence with
   consistent nested lengths, or to an OpenSSH container with consistent field lengths;
+  its line ends and slashes may be escaped by backslashes;
 * ``jwt``    three base64url segments whose first is a JSON object with an ``alg``
   string and whose second is a JSON object;
 * ``der``    a bare base64 or hex run that decodes to a private key in DER form
@@ -43,9 +44,11 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)  # runs are maximal, so the least length can be asked for at once
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+_ESCAPED_END = re.compile(r"\\+[nr]")  # line ends of JSON and env files
+_ESCAPED_SLASH = re.compile(r"\\+/")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")  # from every segment on
+_B64 = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nr])|(?<=\\[nr]))[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
 #: First bytes of an OpenSSH private-key container (fixed value).
@@ -169,16 +172,18 @@ def _confirmed(text: str) -> Iterator[Span]:
     armoured: list[Span] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = [x for x in m[2].splitlines() if ":" not in x]  # legacy header lines
+            lines = _ESCAPED_SLASH.sub("/", _ESCAPED_END.sub("\n", m[2])).splitlines()
+            body = [x for x in lines if ":" not in x]  # legacy header lines
             data = _decode64("".join("".join(body).split()))
             legacy = ":" in m[2] and data is not None and len(data) >= 32  # encrypted body has no structure of its own
             if data is not None and (legacy or is_der_private_key(data) or is_openssh_private_key(data)):
                 armoured.append(Span(m.start(), 3, m.end()))
     yield from armoured
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if is_signed_token(m[0]):
-                yield Span(m.start(), 4, m.end())
+    end = 0
+    for m in _JWT.finditer(text):
+        if m.start() >= end and is_signed_token(m[1]):
+            end = m.end(1)
+            yield Span(m.start(), 4, end)
     for m in _B64.finditer(text):
         run = m[0]
         if any(a.start <= m.start() < a.end for a in armoured):
