@@ -10,6 +10,7 @@ are ever gathered in one place.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,16 +25,19 @@ from .common import bounded_batches, materialize, tokenizer_path
 
 WINDOW = 1024
 END_ID = 0
+#: tiktoken fails on white space runs of about a million characters; texts with a run of this length are encoded by the codec of op4.
+LONG_RUN = 1 << 16
+_LONG_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """Encoder of whole texts into id arrays, as the vocabulary file defines it, with tiktoken's merge loop."""
+    """Encoder of whole texts into id arrays, as the vocabulary file defines it, with tiktoken's merge loop where that can be used."""
     import json
 
     import tiktoken
 
-    from .bpe import PRE_SPLIT, _byte_alphabet
+    from .bpe import PRE_SPLIT, _byte_alphabet, codec
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -44,6 +48,8 @@ def _encoder(path: str):
     allowed = set(added)
 
     def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+            return np.frombuffer(codec(path).encode(text), "<u4")
         if any(a in text for a in allowed):
             return np.array(enc.encode(text, allowed_special=allowed), "<u4")
         return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False)
