@@ -119,7 +119,8 @@ def p1_csr_to_coo(s, d):
 def p2_coo_to_csc(s, d):
     cols = algebra.csr_rows(algebra.transpose(fixtures.purchases(s, d)))
     total = F.aggregate("entries", F.lit(0.0), lambda a, e: a + e.value)
-    return cols.select(F.col("row_id").alias("col_id"), F.size("entries").cast("long").alias("n"), F.get("entries", F.lit(0)).col_id.alias("first_row"), F.element_at("entries", -1).col_id.alias("last_row"), total.alias("total"))
+    parts = cols.select(F.col("row_id").alias("col_id"), F.size("entries").cast("long").alias("n"), F.get("entries", F.lit(0)).col_id.alias("first_row"), F.element_at("entries", -1).col_id.alias("last_row"), total.alias("total"))
+    return parts.groupBy("col_id").agg(F.sum("n").alias("n"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.sum("total").alias("total"))
 
 
 _PTR = f"SELECT c_custkey AS row_id, (sum(coalesce(n, 0)) OVER (ORDER BY c_custkey) - coalesce(n, 0))::BIGINT AS \"begin\", (sum(coalesce(n, 0)) OVER (ORDER BY c_custkey))::BIGINT AS \"end\" FROM customer LEFT JOIN (SELECT row_id, count(*) AS n FROM {BUY} GROUP BY 1) ON row_id = c_custkey"

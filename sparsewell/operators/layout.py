@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packing import lane_of_row
+from .algebra import with_positions
 
 # Fixed values of the layouts.
 SLICE, SLICES_PER_BATCH, BLOCK, WINDOW_BLOCKS, LANES = 64, 128, 4, 128, 8
@@ -48,8 +49,8 @@ def window_blocks(blocks: DataFrame) -> DataFrame:
 def lane_slots(matrix: DataFrame, channels: int = 16) -> DataFrame:
     """Entries with batch, channel, lane and slot: lanes hold their entries by column, then row, without gaps."""
     placed = column_batches(matrix).withColumn("pe", lane_of_row(F.col("row_id"), channels))
-    slot = F.row_number().over(Window.partitionBy("batch", "pe").orderBy("col_id", "row_id")) - 1
-    return placed.select("row_id", "col_id", "value", "batch", F.floor(F.col("pe") / LANES).alias("channel"), (F.col("pe") % LANES).alias("lane"), slot.cast("long").alias("slot"))
+    placed = with_positions(placed, ["batch", "pe"], F.col("col_id"), ["row_id"], "slot")
+    return placed.select("row_id", "col_id", "value", "batch", F.floor(F.col("pe") / LANES).alias("channel"), (F.col("pe") % LANES).alias("lane"), "slot")
 
 
 def pack_profile(matrix: DataFrame, channels: int = 16) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.algebra import expand_symmetric, merge_duplicates, pointers
+from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, with_positions
 from ..operators.validate import row_steps
 
 
@@ -107,7 +107,9 @@ def write_numbers(numbers: DataFrame, path: str) -> None:
 def read_csr_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Edge table of row_ptr.txt, col_idx.txt and values.txt."""
     ptr = read_numbers(spark, f"{folder}/row_ptr.txt", "long").withColumnRenamed("value", "ptr")
-    rows = row_steps(ptr).where("end > begin").select("row_id", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("pos"))
+    # a row of any length is cut into pieces, which are dealt over tasks
+    pieces = row_steps(ptr).where("end > begin").select("row_id", "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(COLUMN_BLOCK))).alias("at")).repartition("row_id", "at")
+    rows = pieces.select("row_id", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + COLUMN_BLOCK, "end") - 1)).alias("pos"))
     cols = read_numbers(spark, f"{folder}/col_idx.txt", "long").withColumnRenamed("value", "col_id")
     return rows.join(cols, "pos").join(read_numbers(spark, f"{folder}/values.txt"), "pos").select("row_id", "col_id", "value")
 
@@ -117,8 +119,8 @@ def write_csr_folder(matrix: DataFrame, rows: DataFrame, folder: str) -> None:
     ptr = pointers(matrix, rows)
     last = ptr.agg((F.max("row_id") + 1).alias("pos"), F.max("end").alias("value"))
     write_numbers(ptr.select(F.col("row_id").alias("pos"), F.col("begin").alias("value")).unionAll(last), f"{folder}/row_ptr.txt")
-    inside = F.row_number().over(Window.partitionBy("row_id").orderBy("col_id")) - 1
-    placed = matrix.join(ptr, "row_id").withColumn("pos", F.col("begin") + inside)
+    inside = with_positions(matrix, ["row_id"], F.floor(F.col("col_id") / COLUMN_BLOCK), ["col_id", "value"], "inside")
+    placed = inside.join(ptr, "row_id").withColumn("pos", F.col("begin") + F.col("inside"))
     write_numbers(placed.select("pos", F.col("col_id").alias("value")), f"{folder}/col_idx.txt")
     write_numbers(placed.select("pos", "value"), f"{folder}/values.txt")
 
