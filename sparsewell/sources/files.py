@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, with_positions
-from ..operators.validate import row_steps
+from ..operators.validate import pointer_violations, require_clean, row_steps
 
 
 def _market_parts(spark: SparkSession, path: str) -> tuple[list[str], list[str], DataFrame]:
@@ -104,14 +104,46 @@ def write_numbers(numbers: DataFrame, path: str) -> None:
     numbers.orderBy("pos").select((F.col("value").cast("string") if integer else F.format_string("%.17g", "value")).alias("value")).write.text(path)
 
 
-def read_csr_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Edge table of row_ptr.txt, col_idx.txt and values.txt."""
+def read_csr_folder(spark: SparkSession, folder: str, n_cols: int | None = None) -> DataFrame:
+    """Edge table of row_ptr.txt, col_idx.txt and values.txt.
+
+    Raises ValueError if the files do not agree: pointers that do not start at 0,
+    decrease or do not end at the number of entries, unequal numbers of columns
+    and values, or columns outside 0..n_cols-1 (a square matrix unless
+    ``n_cols`` is given).
+    """
     ptr = read_numbers(spark, f"{folder}/row_ptr.txt", "long").withColumnRenamed("value", "ptr")
     # a row of any length is cut into pieces, which are dealt over tasks
     pieces = row_steps(ptr).where("end > begin").select("row_id", "end", F.explode(F.sequence(F.col("begin"), F.col("end") - 1, F.lit(COLUMN_BLOCK))).alias("at")).repartition("row_id", "at")
     rows = pieces.select("row_id", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + COLUMN_BLOCK, "end") - 1)).alias("pos"))
     cols = read_numbers(spark, f"{folder}/col_idx.txt", "long").withColumnRenamed("value", "col_id")
-    return rows.join(cols, "pos").join(read_numbers(spark, f"{folder}/values.txt"), "pos").select("row_id", "col_id", "value")
+    values = read_numbers(spark, f"{folder}/values.txt")
+    n = n_cols if n_cols is not None else ptr.count() - 1
+    broken = pointer_violations(ptr, cols, n).crossJoin(cols.agg(F.count_if(F.col("col_id").isNull()).alias("null_columns"), F.count("*").alias("_n")))
+    sizes = values.agg(F.count_if(F.col("value").isNull()).alias("null_values"), F.count("*").alias("_m"))
+    require_clean(broken.crossJoin(sizes).withColumn("unequal_lengths", F.abs(F.col("_n") - F.col("_m"))).drop("_n", "_m"))
+    return rows.join(cols, "pos").join(values, "pos").select("row_id", "col_id", "value")
+
+
+def read_csr_vector(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """Vector (idx, value) of ``name``.txt in a CSR folder, such as b or x0; None if there is no such file.
+
+    Raises ValueError unless it has one number for each row of the matrix.
+    """
+    path = f"{folder}/{name}.txt"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return None
+    vector = read_numbers(spark, path).select(F.col("pos").alias("idx"), "value")
+    n, have = read_numbers(spark, f"{folder}/row_ptr.txt", "long").count() - 1, vector.count()
+    if have != n:
+        raise ValueError(f"{name}.txt has {have} numbers for {n} rows")
+    return vector
+
+
+def read_csr_system(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Matrix, right-hand side b and start x0 of a CSR folder; a vector without a file is None."""
+    return read_csr_folder(spark, folder), read_csr_vector(spark, folder, "b"), read_csr_vector(spark, folder, "x0")
 
 
 def write_csr_folder(matrix: DataFrame, rows: DataFrame, folder: str) -> None:
