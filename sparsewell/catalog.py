@@ -11,7 +11,7 @@ from .functions import packing
 from .operators import algebra, layout, validate
 from .plans import solvers
 from .sources import files, fixtures, generator
-from .storage import new_path
+from .storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ sup AS (SELECT * FROM edges UNION ALL SELECT s_suppkey, s_suppkey, coalesce(w, 0
 #: Literal rows with an empty row, a repeated entry, an explicit zero, a missing and a zero diagonal and a column out of range.
 EDGE_ROWS = ((0, 0, 2.0), (0, 1, 1.0), (0, 1, 3.0), (1, 1, 0.0), (2, 0, 5.0), (2, 9, 1.0), (4, 4, 1e-31), (4, 2, 0.0), (5, 5, 4.0), (5, 5, -1.0))
 EDGE = "(VALUES " + ", ".join(f"({r}, {c}, {v!r}::DOUBLE)" for r, c, v in EDGE_ROWS) + ") AS edge(row_id, col_id, value)"
-GRID, STEPS_PCG, STEPS_JACOBI = 512, 4, 5
+GRID, STEPS_JACOBI = 512, 5
 
 
 def edge(spark: SparkSession) -> DataFrame:
@@ -131,6 +131,19 @@ def p3_csr_pointers(s, d):
     return algebra.pointers(fixtures.purchases(s, d), _customers(s, d))
 
 
+@query(f"SELECT p_partkey AS col_id, (sum(coalesce(n, 0)) OVER (ORDER BY p_partkey) - coalesce(n, 0))::BIGINT AS \"begin\", (sum(coalesce(n, 0)) OVER (ORDER BY p_partkey))::BIGINT AS \"end\" FROM part LEFT JOIN (SELECT col_id, count(*) AS n FROM {BUY} GROUP BY 1) ON col_id = p_partkey")
+def p2_csc_pointers(s, d):
+    found = algebra.pointers(algebra.transpose(fixtures.purchases(s, d)), fixtures.ids(s, d, "part", "p_partkey"))
+    return found.withColumnRenamed("row_id", "col_id")
+
+
+@query("SELECT s_nationkey AS nation, width, ceil(n / width::DOUBLE)::BIGINT AS packets, (ceil(n / 1024.0) * 1024)::BIGINT AS padded, (ceil(n / 1024.0) * 1024 - n)::BIGINT AS padding FROM (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1), (VALUES (8), (16)) AS w(width)")
+def p12_packets(s, d):
+    n = fixtures.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    cut = F.array(*(F.struct(F.lit(w).alias("width"), layout.packets(F.col("n"), w).alias("p")) for w in (8, 16)))
+    return n.select("nation", F.explode(cut).alias("e")).select("nation", "e.width", "e.p.*")
+
+
 @query(_PTR)
 def p4_prefix_scan(s, d):
     return algebra.pointers(fixtures.purchases(s, d), _customers(s, d), block=64)
@@ -273,12 +286,89 @@ def l14_window_blocks(s, d):
     return layout.window_blocks(layout.bitmap_blocks(fixtures.purchases(s, d)))
 
 
+@query(f"""WITH {_SUP}, size AS (SELECT ((max(s_suppkey) + 4) // 4)::BIGINT AS nb, ((max(s_suppkey) + 512) // 512)::BIGINT AS nw FROM supplier), cells AS (SELECT w AS "window", r AS block_row FROM size, unnest(range(nw)) q(w), unnest(range(nb)) t(r)),
+blocks AS (SELECT DISTINCT row_id // 4 AS block_row, col_id // 4 AS block_col FROM sup WHERE value <> 0), n AS (SELECT block_col // 128 AS "window", block_row, count(*) AS n FROM blocks GROUP BY 1, 2)
+SELECT "window", block_row, (sum(coalesce(n, 0)) OVER o - coalesce(n, 0))::BIGINT AS "begin", (sum(coalesce(n, 0)) OVER o)::BIGINT AS "end" FROM cells LEFT JOIN n USING ("window", block_row) WINDOW o AS (ORDER BY "window", block_row)""")
+def l14_window_pointers(s, d):
+    n = fixtures.table(s, d, "supplier").agg(F.max("s_suppkey") + 1).first()[0]
+    return layout.window_pointers(layout.bitmap_blocks(fixtures.suppliers(s, d)), n, n)
+
+
+@query(_AX)
+def k7_spmv_windowed(s, d):
+    return layout.windowed_product(layout.bitmap_blocks(fixtures.purchases(s, d)), _parts(s, d), _customers(s, d))
+
+
 @query(f"""SELECT batch, sum("real")::BIGINT AS real_nnz, sum(lane_beats)::BIGINT AS lane_read_beats, (max(lane_beats) * 16)::BIGINT AS shared_read_beats, sum(ceil("real" / 8.0))::BIGINT AS compact_read_beats,
-  min("real")::BIGINT AS channel_real_min, max("real")::BIGINT AS channel_real_max, (sum(lane_beats) * 8 - sum("real"))::BIGINT AS padding_slots,
+  (CASE WHEN count(*) = 16 THEN min("real") ELSE 0 END)::BIGINT AS channel_real_min, max("real")::BIGINT AS channel_real_max, (sum(lane_beats) * 8 - sum("real"))::BIGINT AS padding_slots,
   round(sum("real") / (sum(lane_beats) * 8), 6) AS density, round(sum("real") / (16 * max("real")), 6) AS channel_balance
 FROM (SELECT batch, pe // 8 AS channel, sum(n) AS "real", max(n) AS lane_beats FROM (SELECT batch, pe, count(*) AS n FROM {_LANES} GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""")
 def i13_pack_profile(s, d):
-    return _six(layout.pack_profile(fixtures.purchases(s, d)), "density", "channel_balance")
+    own = ("batch", "real_nnz", "lane_read_beats", "shared_read_beats", "compact_read_beats", "channel_real_min", "channel_real_max", "padding_slots", "density", "channel_balance")
+    return _six(layout.pack_profile(fixtures.purchases(s, d)).select(*own), "density", "channel_balance")
+
+
+def _summary_sql(channels: int, source: str = BUY) -> str:
+    """One row of the gap-free layout for a number of channels."""
+    width, group = layout.slice_width(channels), channels // 8
+    lane = f"((row_id // 2 % 8) * {group} + row_id // 16 % {group}) * 8 + row_id // {2 * channels} % 8"
+    kinds = ("lane_batch", "lane_stream", "compact_batch", "compact_stream", "balanced")
+    return f"""SELECT {channels}::INT AS channels, {width}::INT AS slice_width, batches, real_nnz, matrix_len, matrix_len * {channels} AS read_beats, matrix_len * {channels * 8} - real_nnz AS padding_slots,
+  round(real_nnz / (matrix_len * {channels * 8}), 6) AS density, channel_real_min, channel_real_max, pe_real_min, pe_real_max, {", ".join(f"{k}_beats" for k in kinds)},
+  {", ".join(f"round(real_nnz / ({k}_beats * 8), 6) AS {k}_density" for k in kinds)}, {", ".join(f"matrix_len * {channels * 8} - {k}_beats * 8 AS {k}_savings_slots" for k in kinds)},
+  round(real_nnz / (channel_real_max * {channels}), 6) AS channel_balance, round(real_nnz / (pe_real_max * {channels * 8}), 6) AS pe_balance
+FROM (WITH l AS (SELECT col_id // {width} AS batch, {lane} AS pe, count(*) AS n FROM {source} GROUP BY 1, 2),
+  c AS (SELECT batch, pe // 8 AS channel, sum(n) AS r, max(n) AS m FROM l GROUP BY 1, 2), p AS (SELECT pe, sum(n) AS n FROM l GROUP BY 1), s AS (SELECT pe // 8 AS channel, sum(n) AS r, max(n) AS m FROM p GROUP BY 1)
+  SELECT (SELECT count(DISTINCT batch) FROM l)::BIGINT AS batches, (SELECT sum(n) FROM l)::BIGINT AS real_nnz, (SELECT sum(m) FROM (SELECT max(m) AS m FROM c GROUP BY batch))::BIGINT AS matrix_len,
+    (SELECT CASE WHEN count(*) = {channels} THEN min(r) ELSE 0 END FROM s)::BIGINT AS channel_real_min, (SELECT max(r) FROM s)::BIGINT AS channel_real_max,
+    (SELECT CASE WHEN count(*) = {channels * 8} THEN min(n) ELSE 0 END FROM p)::BIGINT AS pe_real_min, (SELECT max(n) FROM p)::BIGINT AS pe_real_max,
+    (SELECT sum(m) FROM c)::BIGINT AS lane_batch_beats, (SELECT sum(m) FROM s)::BIGINT AS lane_stream_beats, (SELECT sum(ceil(r / 8.0)) FROM c)::BIGINT AS compact_batch_beats, (SELECT sum(ceil(r / 8.0)) FROM s)::BIGINT AS compact_stream_beats,
+    (SELECT ceil(ceil(sum(r) / {channels}.0) / 8) * {channels} FROM s)::BIGINT AS balanced_beats)"""
+
+
+_SUMMARY_ROUNDED = ("density", "lane_batch_density", "lane_stream_density", "compact_batch_density", "compact_stream_density", "balanced_density", "channel_balance", "pe_balance")
+
+
+@query(" UNION ALL ".join(_summary_sql(c) for c in (16, 24, 32)))
+def i13_pack_summary(s, d):
+    a = materialize(fixtures.purchases(s, d), "matrix")
+    first, *rest = (layout.pack_summary(a, c) for c in (16, 24, 32))
+    for other in rest:
+        first = first.unionByName(other)
+    return _six(first, *_SUMMARY_ROUNDED)
+
+
+@query(f"WITH {_SUP} " + _summary_sql(16, "(SELECT * FROM sup WHERE row_id <> col_id)"))
+def f5_summary_without_diagonal(s, d):
+    return _six(layout.pack_summary(fixtures.suppliers(s, d), drop_diagonal=True), *_SUMMARY_ROUNDED)
+
+
+def _batches_sql(channels: int, order: str) -> str:
+    width, group = layout.slice_width(channels), channels // 8
+    lane = f"((row_id // 2 % 8) * {group} + row_id // 16 % {group}) * 8 + row_id // {2 * channels} % 8"
+    return f"""SELECT batch, padding, round(density, 6) AS density, extra, round(balance, 6) AS balance FROM (
+  SELECT batch, (max(m) * {channels * 8} - sum(r))::BIGINT AS padding, sum(r) / (max(m) * {channels * 8}) AS density, greatest(max(m) - ceil(sum(m) / {channels}.0), 0)::BIGINT AS extra, sum(m) / ({channels} * max(m)) AS balance
+  FROM (SELECT batch, pe // 8 AS channel, sum(n) AS r, max(n) AS m FROM (SELECT col_id // {width} AS batch, {lane} AS pe, count(*) AS n FROM {_WIDE} GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1) ORDER BY {order}, batch LIMIT 5"""
+
+
+#: Suppliers by orders: many columns, so that there are many batches.
+_WIDE = "(SELECT l_suppkey AS row_id, l_orderkey AS col_id, l_quantity AS value FROM lineitem)"
+
+
+def _top(s, d, by):
+    wide = fixtures.table(s, d, "lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_orderkey").alias("col_id"), F.col("l_quantity").alias("value"))
+    top = layout.top_batches(layout.pack_profile(wide, 24), 5, by)
+    return top.select("batch", F.col("shared_padding_slots").alias("padding"), F.round("shared_density", 6).alias("density"), F.col("channel_extra_beats").cast("long").alias("extra"), F.round("beats_balance", 6).alias("balance"))
+
+
+@query(_batches_sql(24, "padding DESC, density DESC"))
+def o5_top_batches_by_padding(s, d):
+    return _top(s, d, "padding")
+
+
+@query(_batches_sql(24, "extra DESC, balance"))
+def o5_top_batches_by_imbalance(s, d):
+    return _top(s, d, "imbalance")
 
 
 @query(f"SELECT row_id, count(*)::BIGINT AS n FROM {BUY} GROUP BY 1 ORDER BY n DESC, row_id LIMIT 10")
@@ -367,6 +457,7 @@ def a14_weighted_degree(s, d):
 
 # Generator -----------------------------------------------------------------
 
+# The edge weights, mass term and vectors below are those of the generator.
 _COLS = generator.grid_shape(GRID)[1]
 _NODES = f"(SELECT i, i // {_COLS} AS r, i % {_COLS} AS c FROM range({GRID}) q(i))"
 _CONTACT = "(0.08 + 0.03 * (1.0 + sin(0.23 * r + 0.19 * c)))"
@@ -425,6 +516,42 @@ def s1_csr_folder(s, d):
     return files.load_matrix(s, path)
 
 
+@query(f"WITH {_SUP} SELECT row_id AS idx, sum(value) AS value FROM sup GROUP BY 1")
+def s4_rhs_fallback(s, d):
+    path = new_path(s, "csr")
+    files.write_csr_folder(fixtures.suppliers(s, d), fixtures.ids(s, d, "supplier", "s_suppkey"), path)
+    return files.read_rhs(s, path, files.load_matrix(s, path))
+
+
+@query(f"SELECT row_id, col_id, (value / 10)::FLOAT::DOUBLE AS value FROM {BUY} WHERE row_id < 200")
+def s3_csr_with_metadata(s, d):
+    path = new_path(s, "csr")
+    rows = _customers(s, d).where("idx < 200")
+    files.write_csr_folder(fixtures.purchases(s, d).where("row_id < 200").withColumn("value", F.col("value") / 10), rows, path)
+    files.write_metadata(s, {"n": 1 << 40}, f"{path}/meta.txt")  # more columns than rows
+    return files.read_csr_dataset(s, path, narrow=True)
+
+
+@query("SELECT o_orderstatus AS key, max(o_orderkey)::VARCHAR AS value FROM orders GROUP BY 1")
+def s5_metadata(s, d):
+    path = new_path(s, "meta")
+    lines = fixtures.table(s, d, "orders").groupBy("o_orderstatus").agg(F.max("o_orderkey").alias("k")).select(F.format_string(" %s = %d", "o_orderstatus", "k").alias("value"))
+    lines.write.text(path)
+    return files.metadata_pairs(s.read.text(path))
+
+
+@query(f"SELECT max(c_custkey) + 1 AS row_num, (SELECT max(p_partkey) + 1 FROM part) AS column_num, ceil((max(c_custkey) + 1) / 16.0)::BIGINT AS y_packets, (SELECT count(DISTINCT col_id // 8192) FROM {BUY})::BIGINT AS batch_num, 16::INT AS hbm_channels, 8192::INT AS slice_width, (SELECT sum(value) FROM ({_AX})) AS checksum FROM customer")
+def k13_product_with_metrics(s, d):
+    a = materialize(fixtures.purchases(s, d), "matrix")
+    y = algebra.spmv(a, _parts(s, d), _customers(s, d))
+    size = y.agg((F.max("idx") + 1).alias("row_num"), F.sum("value").alias("checksum"))
+    cols = _parts(s, d).agg((F.max("idx") + 1).alias("column_num"))
+    summary = layout.pack_summary(a).select(F.col("batches").alias("batch_num"), F.col("channels").alias("hbm_channels"), "slice_width")
+    # three rows of aggregates
+    one = size.crossJoin(cols).crossJoin(summary)
+    return one.select("row_num", "column_num", layout.packets(F.col("row_num"), 16).packets.alias("y_packets"), "batch_num", "hbm_channels", "slice_width", "checksum")
+
+
 @query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
 def s9_matrix_market(s, d):
     path = new_path(s, "matrix") + ".mtx"
@@ -490,69 +617,155 @@ def s29_report_records(s, d):
 # Updates and solvers -------------------------------------------------------
 
 
-def _unrolled_pcg(steps: int, term: str = "value * p") -> str:
-    """Chained CTEs of the first ``steps`` iterations from x = 0 on the supplier matrix."""
+_SUM, _MIXED = "sum(value * p)", "sum((value::FLOAT * p::FLOAT)::DOUBLE)"
+_FP32 = "list_reduce(list((value::FLOAT * p::FLOAT)::FLOAT ORDER BY col_id), lambda a, b: (a + b)::FLOAT)::DOUBLE"
+#: Iterations that the SQL unrolls; the supplier matrix is solved to the default limit well before.
+STEPS_PCG, TAU = 14, 1e-10
+
+
+def _unrolled_pcg(product: str = _SUM, steps: int = STEPS_PCG) -> str:
+    """Chained CTEs of the iterations from x = 0 on the supplier matrix.
+
+    history has alpha, beta and rr by iteration, done the iteration that reaches the limit, solved its x.
+    """
     parts = [f"WITH {_SUP}", "s0 AS MATERIALIZED (SELECT row_id AS idx, value AS d, 0.0::DOUBLE AS x, row_id::DOUBLE AS r, row_id / value AS z, row_id / value AS p FROM sup WHERE row_id = col_id)"]
     for k in range(steps):
-        parts.append(f"ap{k} AS MATERIALIZED (SELECT row_id AS idx, sum({term}) AS ap FROM sup JOIN s{k} ON col_id = idx GROUP BY 1)")
+        parts.append(f"ap{k} AS MATERIALIZED (SELECT row_id AS idx, {product} AS ap FROM sup JOIN s{k} ON col_id = idx GROUP BY 1)")
         parts.append(f"al{k} AS MATERIALIZED (SELECT sum(r * z) AS rz, sum(r * z) / sum(p * ap) AS alpha FROM s{k} JOIN ap{k} USING (idx))")
         parts.append(f"u{k} AS MATERIALIZED (SELECT idx, d, x + alpha * p AS x, r - alpha * ap AS r, (r - alpha * ap) / d AS z, p, rz FROM s{k} JOIN ap{k} USING (idx), al{k})")
         parts.append(f"be{k} AS MATERIALIZED (SELECT sum(r * z) / any_value(rz) AS beta, sum(r * r) AS rr, sum(r * z) AS rz FROM u{k})")
         parts.append(f"s{k + 1} AS MATERIALIZED (SELECT idx, d, x, r, z, z + beta * p AS p FROM u{k}, be{k})")
+    rows = ["SELECT 0::INT AS iteration, NULL::DOUBLE AS alpha, NULL::DOUBLE AS beta, sum(r * r) AS rr FROM s0"]
+    parts.append("everything AS MATERIALIZED (" + " UNION ALL ".join(rows + [f"SELECT {k + 1}::INT, alpha, beta, rr FROM al{k}, be{k}" for k in range(steps)]) + ")")
+    parts.append(f"done AS MATERIALIZED (SELECT min(iteration) AS k FROM everything WHERE rr <= {TAU}::DOUBLE)")
+    parts.append("history AS MATERIALIZED (SELECT everything.* FROM everything, done WHERE iteration <= k)")
+    parts.append("solved AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT idx, x FROM s{k}, done WHERE k = {k}" for k in range(steps + 1)) + ")")
     return parts[0] + ",\n" + ",\n".join(parts[1:])
 
 
-def _pcg(s, d, policy=solvers.GOLDEN, mode=algebra.FP64):
-    return solvers.pcg(fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d), tau=1e-300, max_iters=STEPS_PCG, policy=policy, mode=mode)
+_PCG = _unrolled_pcg()
+_SOLVED = f"{_PCG} SELECT idx, round(x, 6) AS x FROM solved"
+
 
+def _pcg(s, d, policy=solvers.GOLDEN, mode=algebra.FP64, **more):
+    """The supplier system, solved to the default limit."""
+    return solvers.pcg(fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d), tau=TAU, max_iters=100, policy=policy, mode=mode, **more)
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+
+def _x(result, digits=6):
+    return result.solution.select("idx", F.round("value", digits).alias("x"))
+
+
+@query(_SOLVED)
 def i1_pcg_solution(s, d):
-    return _pcg(s, d).solution.select("idx", F.round("value", 6).alias("x"))
+    return _x(_pcg(s, d))
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} " + " UNION ALL ".join(f"SELECT {k + 1}::INT AS iteration, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM al{k}, be{k}" for k in range(STEPS_PCG)))
+@query(f"{_PCG} SELECT iteration, round(alpha, 6) AS alpha, round(beta, 6) AS beta FROM history WHERE iteration > 0")
 def i1_pcg_trace(s, d):
     return _pcg(s, d).trace_table().select("iteration", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"))
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG, '(value::FLOAT * p::FLOAT)::DOUBLE')} SELECT idx, round(x, 3) AS x FROM s{STEPS_PCG}")
+def _outcome(s, result):
+    return s.createDataFrame([(result.status, result.iterations, result.rr <= TAU, round(result.rr0, 6))], "status string, iterations int, reached boolean, rr0 double")
+
+
+_OUTCOME = "SELECT 'converged' AS status, k AS iterations, true AS reached, (SELECT round(rr, 6) FROM history WHERE iteration = 0) AS rr0 FROM done"
+
+
+@query(f"{_PCG} {_OUTCOME}")
+def i3_pcg_host_outcome(s, d):
+    a, b = fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d)
+    return _outcome(s, solvers.pcg(a, b))  # default limits
+
+
+@query(f"{_unrolled_pcg(_MIXED)} SELECT idx, round(x, 3) AS x FROM solved")
 def i4_pcg_mixed(s, d):
-    return _pcg(s, d, solvers.HOST, algebra.MIXED).solution.select("idx", F.round("value", 3).alias("x"))
+    return _x(_pcg(s, d, solvers.HOST, algebra.MIXED), 3)
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
-def i7_pcg_kernel_policy(s, d):
-    return _pcg(s, d, solvers.KERNEL).solution.select("idx", F.round("value", 6).alias("x"))
+@query(f"{_unrolled_pcg(_FP32)} SELECT idx, round(x, 3) AS x FROM solved")
+def i7_pcg_fp32(s, d):
+    return _x(_pcg(s, d, solvers.KERNEL, algebra.FP32), 3)
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)}, ax AS (SELECT row_id AS idx, sum(value * x) AS v FROM sup JOIN s{STEPS_PCG} ON col_id = idx GROUP BY 1) SELECT round(sqrt(sum((v - idx) * (v - idx))), 5) AS norm FROM ax")
+@query(f"{_PCG}, ax AS (SELECT row_id AS idx, sum(value * x) AS v FROM sup JOIN solved ON col_id = idx GROUP BY 1) SELECT sqrt(sum((v - idx) * (v - idx))) < 1e-4 AS small FROM ax")
 def i2_true_residual(s, d):
     residual = solvers.true_residual(fixtures.suppliers(s, d), _pcg(s, d).solution, fixtures.supplier_rhs(s, d))
-    return residual.select(F.round("norm", 5).alias("norm"))
+    return residual.select((F.col("norm") < 1e-4).alias("small"))
+
 
+def _stored_blocks(s, d):
+    return materialize(layout.bitmap_blocks(fixtures.suppliers(s, d)), "blocks")
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+
+@query(_SOLVED)
 def i5_pcg_blocked(s, d):
-    a, b = fixtures.suppliers(s, d), fixtures.supplier_rhs(s, d)
-    blocks = layout.bitmap_blocks(a)
-    out = solvers.pcg(a, b, tau=1e-300, max_iters=STEPS_PCG, multiply=lambda x, rows: algebra.spmv(layout.unblock(blocks), x, rows))
-    return out.solution.select("idx", F.round("value", 6).alias("x"))
+    blocks = _stored_blocks(s, d)
+    return _x(_pcg(s, d, solvers.HOST, multiply=lambda x, rows: algebra.spmv(layout.unblock(blocks), x, rows)))
+
+
+@query(_SOLVED)
+def i6_pcg_windowed(s, d):
+    blocks = _stored_blocks(s, d)
+    return _x(_pcg(s, d, solvers.KERNEL, multiply=lambda x, rows: layout.windowed_product(blocks, x, rows)))
+
+
+@query(f"{_PCG} {_OUTCOME}")
+def i8_pcg_graph_outcome(s, d):
+    return _outcome(s, _pcg(s, d, solvers.GRAPH))
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
-def i9_pcg_split_policy(s, d):
-    return _pcg(s, d, solvers.SPLIT).solution.select("idx", F.round("value", 6).alias("x"))
+@query(f"{_PCG} SELECT iteration, round(log10(rr), 3) AS log_rr FROM history")
+def i9_residual_history(s, d):
+    history = _pcg(s, d, solvers.SPLIT).history_table()
+    return history.select("iteration", F.round(F.log10("rr"), 3).alias("log_rr"))
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG}")
+@query(_SOLVED)
 def i14_pcg_exact_policy(s, d):
-    return _pcg(s, d, solvers.EXACT).solution.select("idx", F.round("value", 6).alias("x"))
+    return _x(_pcg(s, d, solvers.EXACT))
+
+
+# What each variant makes of a solvable system with max_iters 0, of p.Ap = 0, of tau = -1 and of an infinite right-hand side.
+_POLICY_OUTCOMES = {
+    "golden": ("converged 1", "ArithmeticError", "ValueError", "max_iter 1"),
+    "host": ("converged 1", "breakdown 0", "ValueError", "breakdown 0"),
+    "kernel": ("max_iter 0", "breakdown 0", "breakdown 0", "breakdown 1"),
+    "graph": ("converged 1", "breakdown 0", "breakdown 0", "max_iter 1"),
+    "split": ("max_iter 0", "breakdown 0", "breakdown 0", "breakdown 1"),
+    "exact": ("max_iter 0", "ArithmeticError", "ValueError", "ArithmeticError"),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in _POLICY_OUTCOMES.items()) + ") AS v(policy, no_limit, flat, bad_tau, infinite)")
+def i14_policy_outcomes(s, d):
+    good = s.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "row_id long, col_id long, value double")
+    flat = s.createDataFrame([(i, j, 1.0) for i in range(2) for j in range(2)], "row_id long, col_id long, value double")
+    vector = lambda *v: s.createDataFrame(list(enumerate(v)), "idx long, value double")
+
+    def outcome(*args, **more):
+        try:
+            r = solvers.pcg(*args, **more)
+            return f"{r.status} {r.iterations}"
+        except (ArithmeticError, ValueError) as x:
+            return type(x).__name__
+
+    rows = []
+    for name in _POLICY_OUTCOMES:
+        policy = getattr(solvers, name.upper())
+        rows.append((name, outcome(good, vector(2.0, 4.0), policy=policy), outcome(flat, vector(1.0, -1.0), max_iters=2, policy=policy), outcome(good, vector(2.0, 4.0), tau=-1.0, policy=policy), outcome(good, vector(float("inf"), 4.0), max_iters=2, policy=policy)))
+    return s.createDataFrame(rows, "policy string, no_limit string, flat string, bad_tau string, infinite string")
+
+
+@query(f"{_PCG} SELECT to_json({{status: 'converged', iterations: k, reached: true}})::VARCHAR AS report FROM done")
+def s27_run_report(s, d):
+    return _outcome(s, _pcg(s, d)).select(F.to_json(F.struct("status", "iterations", "reached")).alias("report"))
 
 
-@query(f"{_unrolled_pcg(STEPS_PCG)} SELECT idx, round(x, 6) AS x FROM s{STEPS_PCG} ORDER BY idx LIMIT 16")
+@query(f"{_PCG} SELECT idx, round(x, 6) AS x FROM solved ORDER BY idx LIMIT 16")
 def o6_first_rows(s, d):
-    return _pcg(s, d).solution.orderBy("idx").limit(16).select("idx", F.round("value", 6).alias("x"))
+    return _x(_pcg(s, d)).orderBy("idx").limit(16)
 
 
 @query(f"WITH {_SUP}, s AS (SELECT row_id AS idx, row_id::DOUBLE AS r, row_id / value AS z FROM sup WHERE row_id = col_id), a AS (SELECT row_id AS idx, sum(value * z) AS ap FROM sup JOIN s ON col_id = idx GROUP BY 1) SELECT round(sum(r * z), 6) AS rz, round(sum(r * r), 6) AS rr, round(sum(z * ap), 6) AS pap FROM s JOIN a USING (idx)")
@@ -564,7 +777,7 @@ def v1_start_sums(s, d):
     return state.agg(total("r", "z").alias("rz"), total("r", "r").alias("rr"), total("z", "value").alias("pap"))
 
 
-@query(f"{_unrolled_pcg(1)} SELECT idx, round(x, 6) AS x, round(r, 6) AS r, round(z, 6) AS z, round(p, 6) AS p FROM s1")
+@query(f"{_unrolled_pcg(steps=1)} SELECT idx, round(x, 6) AS x, round(r, 6) AS r, round(z, 6) AS z, round(p, 6) AS p FROM s1")
 def v2_first_step(s, d):
     b = fixtures.supplier_rhs(s, d)
     a = fixtures.suppliers(s, d)

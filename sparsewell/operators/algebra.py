@@ -109,7 +109,7 @@ def principal(matrix: DataFrame, k: int) -> DataFrame:
 
 
 def diagonal(matrix: DataFrame, merged: bool = True) -> DataFrame:
-    """Diagonal entries by row; of repeated ones their sum, or the smallest if not ``merged``."""
+    """Diagonal entries by row; of repeated ones their sum, or the smallest if not ``merged`` (a table has no first one)."""
     own = matrix.where("row_id = col_id").groupBy(F.col("row_id").alias("idx"))
     return own.agg((F.sum("value") if merged else F.min("value")).alias("value"))
 
@@ -118,18 +118,23 @@ def off_diagonal(matrix: DataFrame) -> DataFrame:
     return matrix.where("row_id <> col_id")
 
 
-def pointers(matrix: DataFrame, rows: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """CSR pointers (row_id, begin, end) of every row of ``rows`` (idx).
+def prefix(counts: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(row_id, begin, end) of counts (row_id, n) laid end to end in order of row_id.
 
     The prefix sum runs inside blocks of rows and over block totals, so no task
     holds all rows.
     """
-    counts = rows.select(F.col("idx").alias("row_id")).join(matrix.groupBy("row_id").agg(F.count("*").alias("n")), "row_id", "left")
-    counts = counts.select("row_id", F.floor(F.col("row_id") / block).alias("blk"), F.coalesce("n", F.lit(0)).alias("n"))
-    totals = counts.groupBy("blk").agg(F.sum("n").alias("total"))
+    blocked = counts.select("row_id", F.floor(F.col("row_id") / block).alias("blk"), F.coalesce("n", F.lit(0)).alias("n"))
+    totals = blocked.groupBy("blk").agg(F.sum("n").alias("total"))
     before = totals.select("blk", (F.sum("total").over(Window.orderBy("blk")) - F.col("total")).alias("before"))
     end = F.sum("n").over(Window.partitionBy("blk").orderBy("row_id")) + F.col("before")
-    return counts.join(before, "blk").select("row_id", (end - F.col("n")).cast("long").alias("begin"), end.cast("long").alias("end"))
+    return blocked.join(before, "blk").select("row_id", (end - F.col("n")).cast("long").alias("begin"), end.cast("long").alias("end"))
+
+
+def pointers(matrix: DataFrame, rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """CSR pointers (row_id, begin, end) of every row of ``rows`` (idx)."""
+    counts = rows.select(F.col("idx").alias("row_id")).join(matrix.groupBy("row_id").agg(F.count("*").alias("n")), "row_id", "left")
+    return prefix(counts, block)
 
 
 def csr_rows(matrix: DataFrame) -> DataFrame:

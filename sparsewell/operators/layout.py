@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packing import lane_of_row
-from .algebra import with_positions
+from .algebra import COLUMN_BLOCK, pointers, prefix, with_positions
 
 # Fixed values of the layouts.
 SLICE, SLICES_PER_BATCH, BLOCK, WINDOW_BLOCKS, LANES = 64, 128, 4, 128, 8
 
 
-def column_batches(matrix: DataFrame) -> DataFrame:
+def slice_width(channels: int = 16) -> int:
+    """Columns of one batch: whole slices of four columns per channel within 8192."""
+    return SLICE * SLICES_PER_BATCH // (4 * channels) * (4 * channels)
+
+
+def column_batches(matrix: DataFrame, channels: int = 16) -> DataFrame:
     """Entries with the batch of their column."""
-    return matrix.withColumn("batch", F.floor(F.floor(F.col("col_id") / SLICE) / SLICES_PER_BATCH))
+    return matrix.withColumn("batch", F.floor(F.col("col_id") / slice_width(channels)))
 
 
 def slices(matrix: DataFrame) -> DataFrame:
-    """Entries per 64 x 64 slice, with the offset of each slice in column-slice-major order."""
+    """Entries per 64 x 64 slice, with the offset of each slice in column-slice-major order.
+
+    Prefix sums run inside blocks of slice columns and over block totals.
+    """
     counts = matrix.groupBy(F.floor(F.col("col_id") / SLICE).alias("slice_col"), F.floor(F.col("row_id") / SLICE).alias("slice_row")).agg(F.count("*").alias("n"))
-    per_col = counts.groupBy("slice_col").agg(F.sum("n").alias("t"))
-    base = per_col.select("slice_col", (F.sum("t").over(Window.orderBy("slice_col")) - F.col("t")).alias("base"))
-    inside = F.sum("n").over(Window.partitionBy("slice_col").orderBy("slice_row")) - F.col("n")
-    return counts.withColumn("inside", inside).join(base, "slice_col").select("slice_col", "slice_row", "n", (F.col("base") + F.col("inside")).alias("offset"))
+    per_col = counts.groupBy("slice_col").agg(F.sum("n").alias("n")).select(F.col("slice_col").alias("row_id"), "n")
+    base = prefix(per_col).select(F.col("row_id").alias("slice_col"), F.col("begin").alias("base"))
+    blocked = counts.withColumn("blk", F.floor(F.col("slice_row") / COLUMN_BLOCK))
+    totals = blocked.groupBy("slice_col", "blk").agg(F.sum("n").alias("t"))
+    before = totals.select("slice_col", "blk", (F.sum("t").over(Window.partitionBy("slice_col").orderBy("blk")) - F.col("t")).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy("slice_col", "blk").orderBy("slice_row")) - F.col("n")
+    placed = blocked.withColumn("inside", inside).join(before, ["slice_col", "blk"]).join(base, "slice_col")
+    return placed.select("slice_col", "slice_row", "n", (F.col("base") + F.col("before") + F.col("inside")).alias("offset"))
 
 
 def bitmap_blocks(matrix: DataFrame) -> DataFrame:
@@ -46,24 +58,124 @@ def window_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(F.floor(F.col("block_col") / WINDOW_BLOCKS).alias("window"), "block_row").agg(F.count("*").alias("n_blocks"))
 
 
+def window_pointers(blocks: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """Pointers (window, block_row, begin, end) of every cell of the dense grid of windows and block rows, window by window."""
+    per_window, windows = -(-n_rows // BLOCK), -(-n_cols // (WINDOW_BLOCKS * BLOCK))
+    cell = (F.floor(F.col("block_col") / WINDOW_BLOCKS) * per_window + F.col("block_row")).cast("long")
+    grid = blocks.sparkSession.range(per_window * windows).withColumnRenamed("id", "idx")
+    found = pointers(blocks.select(cell.alias("row_id")), grid)
+    return found.select(F.floor(F.col("row_id") / per_window).alias("window"), (F.col("row_id") % per_window).alias("block_row"), "begin", "end")
+
+
+def windowed_product(blocks: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
+    """A x of bitmap blocks: partial sums by column window, then over windows."""
+    entries = unblock(blocks).withColumn("window", F.floor(F.col("col_id") / (WINDOW_BLOCKS * BLOCK)))
+    joined = entries.join(x.select(F.col("idx").alias("col_id"), F.col("value").alias("x")), "col_id")
+    parts = joined.groupBy("row_id", "window").agg(F.sum(F.col("value") * F.col("x")).alias("part"))
+    sums = parts.groupBy(F.col("row_id").alias("idx")).agg(F.sum("part").alias("value"))
+    return rows.select("idx").join(sums, "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def lane_slots(matrix: DataFrame, channels: int = 16) -> DataFrame:
     """Entries with batch, channel, lane and slot: lanes hold their entries by column, then row, without gaps."""
-    placed = column_batches(matrix).withColumn("pe", lane_of_row(F.col("row_id"), channels))
+    placed = column_batches(matrix, channels).withColumn("pe", lane_of_row(F.col("row_id"), channels))
     placed = with_positions(placed, ["batch", "pe"], F.col("col_id"), ["row_id"], "slot")
     return placed.select("row_id", "col_id", "value", "batch", F.floor(F.col("pe") / LANES).alias("channel"), (F.col("pe") % LANES).alias("lane"), "slot")
 
 
-def pack_profile(matrix: DataFrame, channels: int = 16) -> DataFrame:
+def _lanes(matrix: DataFrame, channels: int, drop_diagonal: bool) -> DataFrame:
+    """Entries n by batch, channel and lane (pe)."""
+    kept = matrix.where("row_id <> col_id") if drop_diagonal else matrix
+    pe = lane_of_row(F.col("row_id"), channels)
+    return column_batches(kept, channels).withColumn("pe", pe).groupBy("batch", F.floor(F.col("pe") / LANES).alias("channel"), "pe").agg(F.count("*").alias("n"))
+
+
+def pack_profile(matrix: DataFrame, channels: int = 16, drop_diagonal: bool = False) -> DataFrame:
     """Load balance of the gap-free layout: entries, beats, density and padding per batch and over channels."""
-    lanes = column_batches(matrix).withColumn("pe", lane_of_row(F.col("row_id"), channels)).groupBy("batch", F.floor(F.col("pe") / LANES).alias("channel"), "pe").agg(F.count("*").alias("n"))
+    lanes = _lanes(matrix, channels, drop_diagonal)
     per_channel = lanes.groupBy("batch", "channel").agg(F.sum("n").alias("real"), F.max("n").alias("lane_beats"), F.ceil(F.sum("n") / LANES).alias("compact_beats"))
     batch = per_channel.groupBy("batch").agg(
         F.sum("real").alias("real_nnz"),
         F.sum("lane_beats").alias("lane_read_beats"),
         (F.max("lane_beats") * channels).alias("shared_read_beats"),
         F.sum("compact_beats").alias("compact_read_beats"),
-        F.min("real").alias("channel_real_min"),
+        F.when(F.count("*") == channels, F.min("real")).otherwise(0).alias("channel_real_min"),
         F.max("real").alias("channel_real_max"),
+        F.max("lane_beats").alias("longest"),
+    )
+    slots, shared = F.col("lane_read_beats") * LANES, F.col("shared_read_beats") * LANES
+    ideal = F.ceil(F.col("lane_read_beats") / channels)
+    return batch.select(
+        *(c for c in batch.columns if c != "longest"),
+        (slots - F.col("real_nnz")).alias("padding_slots"),
+        (F.col("real_nnz") / slots).alias("density"),
+        (F.col("real_nnz") / (channels * F.col("channel_real_max"))).alias("channel_balance"),
+        (shared - F.col("real_nnz")).alias("shared_padding_slots"),
+        (F.col("real_nnz") / shared).alias("shared_density"),
+        F.greatest(F.col("longest") - ideal, F.lit(0)).alias("channel_extra_beats"),
+        (F.col("lane_read_beats") / (channels * F.col("longest"))).alias("beats_balance"),
+    )
+
+
+def top_batches(profile: DataFrame, n: int, by: str = "padding") -> DataFrame:
+    """The ``n`` batches with most padding, or with the largest channel imbalance (``by="imbalance"``)."""
+    order = [F.desc("shared_padding_slots"), F.desc("shared_density")] if by == "padding" else [F.desc("channel_extra_beats"), F.asc("beats_balance")]
+    return profile.orderBy(*order, "batch").limit(n)
+
+
+def pack_summary(matrix: DataFrame, channels: int = 16, drop_diagonal: bool = False) -> DataFrame:
+    """One row over all batches of the gap-free layout, by how channels and lanes are filled.
+
+    ``shared``: all lanes are as long as a batch's longest; ``lane``: a channel's
+    lanes are as long as its longest, by batch or as one stream; ``compact``: a
+    channel's entries are dealt over its lanes; ``balanced``: over all channels.
+    """
+    lanes = _lanes(matrix, channels, drop_diagonal)
+    pes = channels * LANES
+    per_channel = lanes.groupBy("batch", "channel").agg(F.sum("n").alias("real"), F.max("n").alias("longest"))
+    batch = per_channel.groupBy("batch").agg(F.max("longest").alias("longest"))
+    by_batch = batch.agg(F.count("*").alias("batches"), F.coalesce(F.sum("longest"), F.lit(0)).alias("matrix_len"))
+    beats = per_channel.agg(F.coalesce(F.sum("longest"), F.lit(0)).alias("lane_batch_beats"), F.coalesce(F.sum(F.ceil(F.col("real") / LANES)), F.lit(0)).alias("compact_batch_beats"))
+    pe = lanes.groupBy("channel", "pe").agg(F.sum("n").alias("n"))
+    least = lambda c, count: F.when(F.count("*") == count, F.min(c)).otherwise(0)
+    most = lambda c: F.coalesce(F.max(c), F.lit(0))
+    by_pe = pe.agg(least("n", pes).alias("pe_real_min"), most("n").alias("pe_real_max"))
+    stream = pe.groupBy("channel").agg(F.sum("n").alias("real"), F.max("n").alias("longest"))
+    by_channel = stream.agg(
+        F.coalesce(F.sum("real"), F.lit(0)).alias("real_nnz"),
+        least("real", channels).alias("channel_real_min"),
+        most("real").alias("channel_real_max"),
+        F.coalesce(F.sum("longest"), F.lit(0)).alias("lane_stream_beats"),
+        F.coalesce(F.sum(F.ceil(F.col("real") / LANES)), F.lit(0)).alias("compact_stream_beats"),
+    )
+    # four rows of aggregates
+    one = by_channel.crossJoin(by_pe).crossJoin(by_batch).crossJoin(beats)
+    one = one.withColumn("read_beats", F.col("matrix_len") * channels).withColumn("balanced_beats", F.ceil(F.ceil(F.col("real_nnz") / channels) / LANES) * channels)
+    share = lambda b: F.coalesce(F.try_divide(F.col("real_nnz"), F.col(b) * LANES), F.lit(0.0))
+    kinds = ("lane_batch", "lane_stream", "compact_batch", "compact_stream", "balanced")
+    even = lambda top, count: F.coalesce(F.try_divide(F.col("real_nnz"), F.col(top) * count), F.lit(0.0))
+    return one.select(
+        F.lit(channels).alias("channels"),
+        F.lit(slice_width(channels)).alias("slice_width"),
+        "batches",
+        "real_nnz",
+        "matrix_len",
+        "read_beats",
+        (F.col("read_beats") * LANES - F.col("real_nnz")).alias("padding_slots"),
+        share("read_beats").alias("density"),
+        "channel_real_min",
+        "channel_real_max",
+        "pe_real_min",
+        "pe_real_max",
+        *(F.col(f"{k}_beats").cast("long") for k in kinds),
+        *(share(f"{k}_beats").alias(f"{k}_density") for k in kinds),
+        *((F.col("read_beats") * LANES - F.col(f"{k}_beats") * LANES).cast("long").alias(f"{k}_savings_slots") for k in kinds),
+        even("channel_real_max", channels).alias("channel_balance"),
+        even("pe_real_max", pes).alias("pe_balance"),
     )
-    slots = F.col("lane_read_beats") * LANES
-    return batch.select("*", (slots - F.col("real_nnz")).alias("padding_slots"), (F.col("real_nnz") / slots).alias("density"), (F.col("real_nnz") / (channels * F.col("channel_real_max"))).alias("channel_balance"))
+
+
+def packets(length: Column, width: int, align: int = 1024) -> Column:
+    """Struct (packets, padded, padding) of a vector of ``length`` cut into packets of ``width`` and padded to ``align``."""
+    padded = F.ceil(length / align) * align
+    return F.struct(F.ceil(length / width).alias("packets"), padded.alias("padded"), (padded - length).alias("padding"))

@@ -42,3 +42,8 @@ def row_steps(pointers: DataFrame) -> DataFrame:
     return pointers.select(F.col("pos").alias("row_id"), F.col("ptr").alias("begin")).join(after, "row_id")
 
 
+def outside(matrix: DataFrame, rows: DataFrame) -> DataFrame:
+    """Entries whose row or column is not an idx of ``rows``; none if the matrix is square over them."""
+    known = rows.select("idx")
+    ids = matrix.select(F.explode(F.array("row_id", "col_id")).alias("idx")).distinct()
+    return ids.join(known, "idx", "left_anti")

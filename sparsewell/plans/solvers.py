@@ -1,8 +1,10 @@
 """Jacobi-preconditioned conjugate gradient and Jacobi iteration.
 
-State is one wide table per iteration, written to shared storage, so a lost
-executor costs its tasks only.  Scalars of an iteration are two aggregates;
-the stop rules live in a ``Policy``.
+The matrix is written once, bucketed by column, and so is the state, by index:
+a product joins the two where they lie, and only sums by row move.  State is
+one wide table per half of an iteration on shared storage, so a lost executor
+costs its tasks only.  Scalars are observed while these tables are written; the
+stop rules live in a ``Policy``.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.algebra import FP64, diagonal, off_diagonal, spmv
-from ..storage import discard, materialize
+from ..operators.validate import outside
+from ..storage import discard, materialize_by
 
 CONVERGED, MAX_ITER, BREAKDOWN = "converged", "max_iter", "breakdown"
 
@@ -31,6 +34,9 @@ class Policy:
     r.z before the product, so that a NaN at the start is a breakdown;
     ``recheck_rz`` tests it after the update too, where the iteration counts.
     Without ``strict_arguments`` bad arguments are a breakdown, not a ValueError.
+    A diagonal entry not above ``least_diagonal`` in size is an error.  The
+    direction p is brought up to date when the next iteration reads it, so
+    whether a variant updates it after the last one makes no difference.
     """
 
     tiny: float = 1e-30
@@ -39,37 +45,77 @@ class Policy:
     raises: bool = False
     divide: bool = False
     auto_max: bool = True
-    update_p_at_end: bool = True
     rz_first: bool = False
     recheck_rz: bool = False
     strict_arguments: bool = True
+    least_diagonal: float = 1e-30
 
 
-GOLDEN = Policy(tiny=2.2250738585072014e-308, check_rz=False, inf_breaks=False, raises=True, divide=True, update_p_at_end=False)
+# The limits of p.Ap, r.z and the diagonal.
+GOLDEN = Policy(tiny=2.2250738585072014e-308, least_diagonal=2.2250738585072014e-308, check_rz=False, inf_breaks=False, raises=True, divide=True)
 HOST = Policy()
-KERNEL = Policy(inf_breaks=False, auto_max=False, update_p_at_end=False, rz_first=True, strict_arguments=False)
+KERNEL = Policy(inf_breaks=False, auto_max=False, rz_first=True, strict_arguments=False)
 GRAPH = Policy(inf_breaks=False, strict_arguments=False)
-SPLIT = Policy(inf_breaks=False, auto_max=False, update_p_at_end=False, recheck_rz=True, strict_arguments=False)
-EXACT = Policy(check_rz=False, raises=True, auto_max=False, update_p_at_end=False)
+SPLIT = Policy(inf_breaks=False, auto_max=False, recheck_rz=True, strict_arguments=False)
+EXACT = Policy(check_rz=False, raises=True, auto_max=False)
 
 
 @dataclass
 class Result:
+    """Outcome of a solve; ``rr0`` is the squared residual norm at the start and ``trace`` has a row per iteration."""
+
     status: str
     iterations: int
     rr: float
     solution: DataFrame
     trace: list[tuple[int, float, float, float, float, float]]
+    rr0: float = 0.0
 
     def trace_table(self) -> DataFrame:
         spark = self.solution.sparkSession
         return spark.createDataFrame(self.trace, "iteration int, alpha double, beta double, rz double, rr double, residual double")
 
+    def history_table(self) -> DataFrame:
+        """Squared residual norm at the start (iteration 0) and after each iteration."""
+        rows = [(0, self.rr0)] + [(t[0], t[4]) for t in self.trace]
+        return self.solution.sparkSession.createDataFrame(rows, "iteration int, rr double")
+
 
 def _broken(value: float, policy: Policy) -> bool:
     return math.isnan(value) or (policy.inf_breaks and math.isinf(value)) or abs(value) <= policy.tiny
 
 
+def _ratio(a: float, b: float) -> float:
+    """a / b with the infinities and NaN of floating-point arithmetic."""
+    if b:
+        return a / b
+    return math.nan if not a or math.isnan(a) else math.copysign(math.inf, a) * math.copysign(1.0, b)
+
+
+def _observed(df: DataFrame, tag: str, buckets: int, **sums: Column) -> tuple[DataFrame, list[float]]:
+    """``df`` written by idx, and sums taken while it is written (0 for an empty one)."""
+    seen = Observation()
+    # observed behind the shuffle, in the tasks that write
+    dealt = df.repartition(buckets, "idx").observe(seen, *(F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()))
+    out = materialize_by(dealt, "idx", tag, buckets)
+    return out, [seen.get[n] for n in sums]
+
+
+def _checked(matrix: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, int]:
+    """(idx, b, d) and the number of rows; ValueError for a bad diagonal or entries outside the rows of ``b``."""
+    start = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
+    n, bad = start.agg(F.count("*"), F.count_if(F.col("d").isNull() | (F.abs("d") <= least))).first()
+    if bad:
+        raise ValueError(f"{bad} missing or too small diagonal entries")
+    if outside(matrix, b).limit(1).count():
+        raise ValueError("the matrix is not square over the rows of the right-hand side")
+    return start, n
+
+
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def true_residual(matrix: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the norm of A x - b, computed anew."""
     gap = spmv(matrix, x, b).join(b.select("idx", F.col("value").alias("b")), "idx").select((F.col("value") - F.col("b")).alias("g"))
@@ -90,80 +136,103 @@ def pcg(
     """Solve A x = b; ``b`` holds every index.  max_iters 0 means max(4 n, 1000) unless the policy takes it as it is.
 
     ``multiply(x, rows)`` may replace the product of the edge table with x.  The
-    matrix is written once, so that iterations read it instead of deriving it
-    again; ``stored`` says that it is a plain table already.
+    matrix is written once by column, so that iterations read it where it lies;
+    ``stored`` says that it is such a table already.  Repeated entries of a place
+    count as their sum, on the diagonal too.
     """
-    n = b.count()
-    if tau <= 0 or max_iters < 0 or not n:
+    if tau <= 0 or max_iters < 0 or not b.limit(1).count():
         if policy.strict_arguments:
             raise ValueError("tau must be positive, max_iters not negative and b not empty")
         return Result(BREAKDOWN, 0, 0.0, b.select("idx", F.lit(0.0).alias("value")), [])
+    buckets = _buckets(b)
     copied = not stored and multiply is None
-    matrix = materialize(matrix, "matrix") if copied else matrix
+    matrix = materialize_by(matrix.select("row_id", "col_id", "value"), "col_id", "matrix", buckets) if copied else matrix
     multiply = multiply or (lambda x, rows: spmv(matrix, x, rows, mode))
-    limit = max(4 * n, 1000) if policy.auto_max and max_iters == 0 else max_iters
-    start = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
-    start = start.join(x0.withColumnRenamed("value", "x"), "idx", "left") if x0 is not None else start.withColumn("x", F.lit(0.0))
-    start = start.withColumn("x", F.coalesce("x", F.lit(0.0)))
-    bad = start.where("d is null or d = 0").limit(1).count()
-    if bad:
-        raise ValueError("missing or zero diagonal entry")
-    precondition = lambda r: F.col(r) / F.col("d") if policy.divide else F.col(r) * (1 / F.col("d"))
-    ax = multiply(start.select("idx", F.col("x").alias("value")), b)
-    state = start.join(ax.withColumnRenamed("value", "ax"), "idx").withColumn("r", F.col("b") - F.col("ax")).withColumn("z", precondition("r")).withColumn("p", F.col("z"))
-    state = materialize(state.select("idx", "d", "x", "r", "z", "p"), "pcg")
-    sums = (F.coalesce(F.sum(F.col("r") * F.col("z")), F.lit(0.0)), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)))
-    rz, rr = state.agg(*sums).first()
-    trace: list[tuple[int, float, float, float, float, float]] = []
-    done, status = 0, None
-    while done < limit and (rr > tau or policy.rz_first and math.isnan(rr)):
-        if policy.rz_first and _broken(rz, policy):
-            status = BREAKDOWN
-            break
-        ap = multiply(state.select("idx", F.col("p").alias("value")), b).withColumnRenamed("value", "ap")
-        with_ap = materialize(state.join(ap, "idx"), "pcg")
-        pap = with_ap.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        if _broken(pap, policy) or policy.check_rz and _broken(rz, policy):
-            status = BREAKDOWN
-            if policy.raises:
-                raise ArithmeticError(f"breakdown in iteration {done + 1}: p.Ap = {pap}")
-            break
-        alpha = rz / pap
-        stepped = with_ap.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ap")).withColumn("z", precondition("r"))
-        new_rz, rr = stepped.agg(*sums).first()
-        beta = new_rz / rz
-        done += 1
-        trace.append((done, alpha, beta, new_rz, rr, math.sqrt(rr) if rr >= 0 else math.nan))
-        broken = policy.recheck_rz and not rr <= tau and _broken(new_rz, policy)
-        move = policy.update_p_at_end or not rr <= tau
-        new = materialize(stepped.withColumn("p", F.col("z") + beta * F.col("p") if move else F.col("p")).select("idx", "d", "x", "r", "z", "p"), "pcg")
-        discard(state)
-        discard(with_ap)
-        state, rz = new, new_rz
-        if broken:
-            status = BREAKDOWN
-            break
-    if copied:
-        discard(matrix)
-    return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace)
+    tables: list[DataFrame] = [matrix] if copied else []
+
+    def forget(*old: DataFrame) -> None:
+        for t in old:
+            discard(t)
+            tables.remove(t)
+
+    try:
+        start, n = _checked(matrix, b, policy.least_diagonal)
+        limit = max(4 * n, 1000) if policy.auto_max and max_iters == 0 else max_iters
+        start = start.join(x0.select("idx", F.col("value").alias("x")), "idx", "left") if x0 is not None else start.withColumn("x", F.lit(0.0))
+        start = materialize_by(start.withColumn("x", F.coalesce("x", F.lit(0.0))), "idx", "pcg", buckets)
+        tables.append(start)
+        precondition = lambda r: F.col(r) / F.col("d") if policy.divide else F.col(r) * (1 / F.col("d"))
+        sums = {"rz": F.col("r") * F.col("z"), "rr": F.col("r") * F.col("r")}
+        rows = start.select("idx")
+        ax = multiply(start.select("idx", F.col("x").alias("value")), rows)
+        state = start.join(ax.withColumnRenamed("value", "ax"), "idx").withColumn("r", F.col("b") - F.col("ax")).withColumn("z", precondition("r")).withColumn("p", F.lit(0.0))
+        state, (rz, rr) = _observed(state.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
+        tables.append(state)
+        trace: list[tuple[int, float, float, float, float, float]] = []
+        done, status, rr0, beta = 0, None, rr, None
+        while done < limit and (rr > tau or policy.rz_first and math.isnan(rr)):
+            if policy.rz_first and _broken(rz, policy):
+                status = BREAKDOWN
+                break
+            # the direction of the last iteration is brought up to date as it is read
+            state_now = state.withColumn("p", F.col("z") if beta is None else F.col("z") + beta * F.col("p"))
+            ap = multiply(state_now.select("idx", F.col("p").alias("value")), rows).withColumnRenamed("value", "ap")
+            with_ap, (pap,) = _observed(state_now.join(ap, "idx"), "pcg", buckets, pap=F.col("p") * F.col("ap"))
+            tables.append(with_ap)
+            forget(state)
+            state = with_ap
+            if _broken(pap, policy) or policy.check_rz and _broken(rz, policy):
+                status = BREAKDOWN
+                if policy.raises:
+                    raise ArithmeticError(f"breakdown in iteration {done + 1}: p.Ap = {pap}")
+                break
+            alpha = _ratio(rz, pap)
+            stepped = with_ap.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ap")).withColumn("z", precondition("r"))
+            state, (new_rz, rr) = _observed(stepped.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
+            tables.append(state)
+            forget(with_ap)
+            beta = _ratio(new_rz, rz)
+            done += 1
+            trace.append((done, alpha, beta, new_rz, rr, math.sqrt(rr) if rr >= 0 else math.nan))
+            rz = new_rz
+            if policy.recheck_rz and not rr <= tau and _broken(new_rz, policy):
+                status = BREAKDOWN
+                break
+        tables.remove(state)  # the solution reads it
+        return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace, rr0)
+    finally:
+        forget(*list(tables))
 
 
 def jacobi(matrix: DataFrame, b: DataFrame, iterations: int, stored: bool = False) -> tuple[DataFrame, float]:
-    """A fixed number of Jacobi steps from x = 0: (solution, largest change of the last step).  ``stored`` as in ``pcg``."""
-    matrix = matrix if stored else materialize(matrix, "matrix")
-    rest = off_diagonal(matrix)
-    fixed = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
-    if fixed.where("d is null or d = 0").limit(1).count():
-        raise ValueError("missing or zero diagonal entry")
-    state, change = materialize(fixed.withColumn("x", F.lit(0.0)), "jacobi"), 0.0
-    for _ in range(iterations):
-        rx = spmv(rest, state.select("idx", F.col("x").alias("value")), b).withColumnRenamed("value", "rx")
-        stepped = state.join(rx, "idx").withColumn("new", (F.col("b") - F.col("rx")) * (1 / F.col("d")))
-        new = materialize(stepped.select("idx", "b", "d", F.col("new").alias("x"), F.abs(F.col("new") - F.col("x")).alias("diff")), "jacobi")
-        change = new.agg(F.coalesce(F.max("diff"), F.lit(0.0))).first()[0]
-        discard(state)
-        state = new.drop("diff")
-        state._sparsewell_path = new._sparsewell_path
-    if not stored:
-        discard(matrix)
-    return state.select("idx", F.col("x").alias("value")), change
+    """A fixed number of Jacobi steps from x = 0: (solution, largest change of the last step).  ``stored`` as in ``pcg``.
+
+    Raises ValueError for a negative number of steps, an empty ``b``, a missing or
+    zero diagonal entry and a matrix with entries outside the rows of ``b``.
+    """
+    if iterations < 0 or not b.limit(1).count():
+        raise ValueError("iterations must not be negative and b not empty")
+    buckets = _buckets(b)
+    matrix = matrix if stored else materialize_by(matrix.select("row_id", "col_id", "value"), "col_id", "matrix", buckets)
+    tables: list[DataFrame] = [] if stored else [matrix]
+    try:
+        rest = off_diagonal(matrix)
+        fixed, _ = _checked(matrix, b, 0.0)
+        state, change = materialize_by(fixed.withColumn("x", F.lit(0.0)), "idx", "jacobi", buckets), 0.0
+        tables.append(state)
+        for _ in range(iterations):
+            rx = spmv(rest, state.select("idx", F.col("x").alias("value")), state.select("idx")).withColumnRenamed("value", "rx")
+            stepped = state.join(rx, "idx").withColumn("new", (F.col("b") - F.col("rx")) * (1 / F.col("d")))
+            seen = Observation()
+            stepped = stepped.repartition(buckets, "idx").observe(seen, F.coalesce(F.max(F.abs(F.col("new") - F.col("x"))), F.lit(0.0)).alias("change"))
+            new = materialize_by(stepped.select("idx", "b", "d", F.col("new").alias("x")), "idx", "jacobi", buckets)
+            tables.append(new)
+            change = seen.get["change"]
+            discard(state)
+            tables.remove(state)
+            state = new
+        tables.remove(state)  # the solution reads it
+        return state.select("idx", F.col("x").alias("value")), change
+    finally:
+        for t in tables:
+            discard(t)

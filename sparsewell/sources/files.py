@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, with_positions
+from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, spmv, with_positions
 from ..operators.validate import pointer_violations, require_clean, row_steps
 
 
@@ -131,8 +131,7 @@ def read_csr_vector(spark: SparkSession, folder: str, name: str) -> DataFrame |
     Raises ValueError unless it has one number for each row of the matrix.
     """
     path = f"{folder}/{name}.txt"
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+    if not _exists(spark, path):
         return None
     vector = read_numbers(spark, path).select(F.col("pos").alias("idx"), "value")
     n, have = read_numbers(spark, f"{folder}/row_ptr.txt", "long").count() - 1, vector.count()
@@ -141,6 +140,23 @@ def read_csr_vector(spark: SparkSession, folder: str, name: str) -> DataFrame |
     return vector
 
 
+def read_rhs(spark: SparkSession, folder: str, matrix: DataFrame) -> DataFrame:
+    """b of a CSR folder, or A times ones if there is no b.txt."""
+    b = read_csr_vector(spark, folder, "b")
+    if b is not None:
+        return b
+    rows = read_numbers(spark, f"{folder}/row_ptr.txt", "long").count() - 1
+    ones = matrix.select(F.col("col_id").alias("idx")).distinct().withColumn("value", F.lit(1.0))
+    return spmv(matrix, ones, spark.range(rows).withColumnRenamed("id", "idx"))
+
+
+def read_csr_dataset(spark: SparkSession, folder: str, narrow: bool = False) -> DataFrame:
+    """``read_csr_folder`` with the number of columns of ``n=`` in meta.txt, if it is there; ``narrow`` rounds values to single precision."""
+    n = _read_if_there(spark, f"{folder}/meta.txt").get("n")
+    matrix = read_csr_folder(spark, folder, int(n) if n else None)
+    return matrix.withColumn("value", F.col("value").cast("float").cast("double")) if narrow else matrix
+
+
 def read_csr_system(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Matrix, right-hand side b and start x0 of a CSR folder; a vector without a file is None."""
     return read_csr_folder(spark, folder), read_csr_vector(spark, folder, "b"), read_csr_vector(spark, folder, "x0")
@@ -179,25 +195,77 @@ def read_binary_csr(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, col_id long, value double")
 
 
+def metadata_pairs(lines: DataFrame) -> DataFrame:
+    """(key, value) of key=value lines (value); other lines are left out."""
+    parts = F.split("value", "=", 2)
+    return lines.where(F.col("value").contains("=")).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict[str, str]:
     """key=value lines of a small metadata file."""
-    rows = spark.read.text(path).where(F.col("value").contains("=")).select(F.split("value", "=", 2).alias("p")).collect()
-    return {r.p[0].strip(): r.p[1].strip() for r in rows}
+    return {r.key: r.value for r in metadata_pairs(spark.read.text(path)).collect()}
+
+
+def write_metadata(spark: SparkSession, pairs: dict[str, object], path: str) -> None:
+    """Write key=value lines in one part."""
+    spark.createDataFrame([(f"{k}={v}",) for k, v in pairs.items()], "value string").coalesce(1).write.text(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def _read_if_there(spark: SparkSession, path: str) -> dict[str, str]:
+    return read_metadata(spark, path) if _exists(spark, path) else {}
+
+
+def is_csr_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` holds the three files of a CSR matrix."""
+    return all(_exists(spark, f"{path}/{name}.txt") for name in ("row_ptr", "col_idx", "values"))
+
+
+def select_datasets(asked: Iterable[str], known: dict[str, int], default: str) -> list[tuple[str, int]]:
+    """(name, rows) of the data sets asked for.
+
+    Items may be comma-separated.  ``all`` alone means every known name;
+    ``name_nK`` is the leading K rows and columns of a known data set; nothing
+    asked for means ``default``.  Raises ValueError for unknown names and for K
+    beyond the data set.
+    """
+    names = [x.strip() for item in asked for x in item.split(",") if x.strip()] or [default]
+    if names == ["all"]:
+        return list(known.items())
+    out, unknown = [], []
+    for name in names:
+        base, _, part = name.rpartition("_n")
+        if name in known:
+            out.append((name, known[name]))
+        elif base in known and part.isdecimal():
+            if not 0 < int(part) <= known[base]:
+                raise ValueError(f"{name}: the size must be 1 to {known[base]}")
+            out.append((name, int(part)))
+        else:
+            unknown.append(name)
+    if unknown:
+        raise ValueError(f"unknown data sets: {', '.join(sorted(set(unknown)))}")
+    return out
 
 
 def load_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by name: .mtx, .cbd, .parquet, or else a CSR folder."""
-    if path.endswith(".mtx"):
-        return read_matrix_market(spark, path)
-    if path.endswith(".cbd"):
-        return read_binary_csr(spark, path)
-    return spark.read.parquet(path) if path.endswith(".parquet") else read_csr_folder(spark, path)
+    """Reader by what is there: a CSR folder, or by name .mtx, .cbd or .parquet; ValueError for anything else."""
+    if is_csr_folder(spark, path):
+        return read_csr_dataset(spark, path)
+    readers = {".mtx": read_matrix_market, ".cbd": read_binary_csr, ".parquet": lambda s, p: s.read.parquet(p)}
+    for end, read in readers.items():
+        if path.endswith(end):
+            return read(spark, path)
+    raise ValueError(f"no matrix in {path}")
 
 
 def read_through(spark: SparkSession, path: str, cache: str) -> DataFrame:
     """The matrix of ``path`` from its Parquet copy ``cache``, which the first call writes."""
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if not _exists(spark, f"{cache}/_SUCCESS"):
         load_matrix(spark, path).write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TABLE = "sparsewell_tmp_"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only local sessions without it get a folder of their own."""
@@ -20,23 +22,63 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Folder of all intermediate tables of this application."""
+    return f"{shared_dir(spark)}/sparsewell/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/sparsewell/{tag}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` and return the table read back; cuts the lineage of a loop."""
+    """Write ``df`` and return the table read back; cuts the lineage.
+
+    Any executor can read the files again, so a lost executor costs its running tasks only.
+    """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sparsewell_path = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``materialize``."""
+def materialize_by(df: DataFrame, key: str, tag: str, buckets: int) -> DataFrame:
+    """``materialize`` as a table bucketed by ``key``: joins and sums over that key read it where it lies.
+
+    The catalog entry and the files go with ``discard``.
+    """
+    spark = df.sparkSession
+    path, name = new_path(spark, tag), f"{_TABLE}{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)  # nothing moves if ``df`` lies that way already
+    dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out._sparsewell_path, out._sparsewell_table = path, name
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table made by ``materialize`` or ``materialize_by`` once nothing reads it any more."""
     path = getattr(df, "_sparsewell_path", None)
     if path:
         spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if name := getattr(df, "_sparsewell_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(spark, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application.
+
+    Results are lazy and read these tables, so whoever owns the session calls
+    this once the results are written.
+    """
+    for table in spark.catalog.listTables():
+        if table.name.startswith(_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    _delete(spark, run_folder(spark))
