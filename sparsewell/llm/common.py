@@ -1,19 +1,21 @@
 """Helpers shared by the training-data operators.
 
-Nothing here is specific to one operator: a shared-storage scratch area that
-survives lost executors, and Arrow batch limits that keep Python workers small.
+Nothing here is specific to one operator: written intermediate tables (those of
+the library), and Arrow batch limits that keep Python workers small.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..storage import discard, materialize, new_path, shared_dir
+
+__all__ = ["DOCUMENT_COLUMNS", "bounded_batches", "discard", "materialize", "new_path", "shared_dir", "sorted_groups", "tokenizer_path"]
 
 #: Columns of the ``documents`` table; every filtering stage returns exactly these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,52 +27,16 @@ ARROW_BATCH_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound rows and bytes of an Arrow batch unless the session already has smaller bounds."""
+    """Bound rows and bytes of an Arrow batch unless the session already has smaller bounds.
+
+    The bounds stay set in the session: plans are lazy and read them when they run.
+    """
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)):
         now = spark.conf.get(key).rstrip("bB")
         if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session without that setting falls back to a folder of its
-    own; a cluster session must name a folder that all executors share.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the table read back.
-
-    Cuts the lineage with files that any executor can read again, so a lost
-    executor costs its running tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparsewell/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._sparsewell_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table made by ``materialize`` once nothing reads it any more."""
-    path = getattr(df, "_sparsewell_path", None)
-    if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def tokenizer_path(name: str) -> str:
     """Place of a public vocabulary file: the installed package, or SPARSEWELL_TOKENIZERS."""
     base = os.environ.get("SPARSEWELL_TOKENIZERS")
