@@ -2,8 +2,8 @@
 
 1. Every text's set of word shingles is hashed to 64-bit values; the minima of
    many universal hash functions are its signature.
-2. Texts with equal sets collapse to one representative.
-3. Bands of the signature are bucket keys.  Each representative is compared
+2. Texts with equal sets collapse to one numbered set.
+3. Bands of the signature are bucket keys.  Each set is compared
    with one leader of each of its buckets, which a hash chooses anew for every
    bucket: first by signature agreement, then on the full sets.
 4. Components come from alternating large-star and small-star.
@@ -34,8 +34,8 @@ PERCENT, PERCENT_DEN = 75, 100
 BANDS, ROWS = 32, 4
 #: Least share of equal minima.  At similarity 0.75 the share of 128 minima falls below it once in ten thousand pairs.
 LEAST_AGREEMENT = 0.60
-#: Rows of one side of a block comparison.
-BLOCK_ROWS = 512
+#: Rows of one side of a block comparison, and bytes of their texts and sets (more only if one text is larger).
+BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
 
 _U = np.uint64
 _random = np.random.default_rng(0x5EED)
@@ -115,21 +115,25 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the full set) and sig of every row; both null for empty sets."""
+    """doc_id, text_key, weight, n_shingles, set_key (digest of the full set) and sig of every row; the last two null for empty sets.
+
+    ``text_key`` tells the texts of one doc_id apart, ``weight`` is the memory that a text and its set take.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, sigs = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(3).to_pylist():
                 s = shingle_set(text)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
+            weight = b.column(2).to_numpy() + 8 * np.array(n, np.int64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(weight), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "weight", "n_shingles", "set_key", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, weight long, n_shingles long, set_key binary, sig binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -137,21 +141,21 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
-    """One row per representative and band: bucket key, band and rep."""
+    """One row per set and band: bucket key, band and sid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 m = _matrix(b.column(1)).reshape(-1, BANDS, ROWS).astype(_U)
                 keys = _mixed((m * _BAND[None, :, :ROWS]).sum(axis=2, dtype=_U) + _BAND[None, :, ROWS])
-                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "rep"])
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "band", "sid"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "bucket long, band int, rep long")
+    return reps.select("sid", "sig").mapInArrow(run, "bucket long, band int, sid long")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree enough."""
-    sig = lambda side: reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"))
+    sig = lambda side: reps.select(F.col("sid").alias(side), F.col("sig").alias(f"sig_{side}"))
     rows = pairs.join(sig("b"), "b").join(sig("a"), "a").select("a", "b", "sig_a", "sig_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,22 +167,30 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _texts_of(sids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sid, doc_id, text) once for each of ``sids``, however many rows repeat that text."""
+    needed = sids.distinct().join(reps.select("sid", "doc_id", "text_key"), "sid")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    found = materialize(texts.join(needed.hint("merge"), ["doc_id", "text_key"]).select("sid", "doc_id", "text"), "minhash-texts")
+    once = found.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    once._sparsewell_path = found._sparsewell_path
+    return once
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (u, v): the pairs whose full sets are similar enough.  ``texts``: one row per id with doc_id and text."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = materialize(texts.join(needed.hint("merge"), "doc_id", "left_semi"), "minhash-texts")
-    text = lambda side: wanted.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    rows = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
+    """Edges (u, v) of doc_ids: the pairs of sets whose full sets are similar enough."""
+    side = lambda s: texts.select(F.col("sid").alias(s), F.col("doc_id").alias(f"doc_{s}"), F.col("text").alias(f"text_{s}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "doc_a", "doc_b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
         for b in batches:
             keep = []
-            for a, text_a, text_b in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for a, text_a, text_b in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if a != last:
                     last, last_set = a, shingle_set(text_a)
                 keep.append(similar(last_set, shingle_set(text_b)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -201,14 +213,15 @@ def _sides(part: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of blocks that have an agreeing partner in another component: bucket, i, j, part, band, rep, comp, sig."""
-    rows = members.join(labels.withColumnRenamed("id", "rep").hint("merge"), "rep", "left").select("bucket", "band", "n", "rep", F.coalesce("component_id", "rep").alias("comp"))
-    open_buckets = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
-    rows = rows.join(open_buckets.hint("merge"), "bucket").join(reps.select("rep", "sig"), "rep")
-    # a bucket of n rows is cut into ceil(n / BLOCK_ROWS) parts; each pair of parts is one block
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "rep", "comp", "sig")
+    """Rows of blocks that have an agreeing partner in another component: bucket, i, j, part, band, sid, comp, sig."""
+    placed = reps.select("sid", "doc_id", "weight").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", "weight", F.coalesce("component_id", "doc_id").alias("comp"))
+    rows = members.join(placed.hint("merge"), "sid").select("bucket", "band", "n", "sid", "weight", "comp")
+    open_buckets = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("weight").alias("total")).where("low < high").select("bucket", "total")
+    rows = rows.join(open_buckets.hint("merge"), "bucket").join(reps.select("sid", "sig"), "sid")
+    # a bucket is cut into parts of about BLOCK_ROWS rows and BLOCK_BYTES of texts and sets; each pair of parts is one block
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_BYTES)).cast("long")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "sid", "comp", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in sorted_groups(batches, 3):
@@ -224,17 +237,17 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFra
             yield from t.filter(pa.array(wanted)).to_batches()
 
     keys = ("bucket", "i", "j")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "bucket long, i long, j long, part long, band int, rep long, comp long, sig binary")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "bucket long, i long, j long, part long, band int, sid long, comp long, sig binary")
 
 
 def _finished(crossing: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (u, v) between the components of each block, confirmed on full sets."""
-    rows = crossing.join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep").select(*crossing.columns, "text")
+    rows = crossing.join(texts.hint("merge"), "sid").select("bucket", "i", "j", "part", "band", "sid", "doc_id", "comp", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), t in sorted_groups(batches, 3):
-            part, band, rep, comp = (t.column(c).to_numpy() for c in (3, 4, 5, 6))
-            sig, text = _matrix(t.column(7)), t.column(8)
+            part, band, doc, comp = (t.column(c).to_numpy() for c in (3, 4, 6, 7))
+            sig, text = _matrix(t.column(8)), t.column(9)
             comp, sets, u, v = comp.copy(), {}, [], []
 
             def full(k: int) -> np.ndarray:
@@ -245,14 +258,14 @@ def _finished(crossing: DataFrame, texts: DataFrame) -> DataFrame:
             for x, others in _sides(part, i, j):
                 for y in _partners(sig, comp, band[0], x, others):
                     if comp[x] != comp[y] and similar(full(x), full(y)):
-                        u.append(rep[x])
-                        v.append(rep[y])
+                        u.append(doc[x])
+                        v.append(doc[y])
                         comp[comp == comp[y]] = comp[x]
             if u:
                 yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     keys = ("bucket", "i", "j")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "u long, v long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,29 +280,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts of any length are compared whole.  Other columns are ignored; an empty
     table gives an empty table.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = materialize(signatures(texts), "minhash-signatures")
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sigs = materialize(signatures(docs), "minhash-signatures")
     named = sigs.where("doc_id is not null and set_key is not null")
-    reps = materialize(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "minhash-reps")
-    bands = _band_rows(reps)
-    buckets = bands.groupBy("bucket").agg(F.min_by("rep", F.xxhash64("bucket", "rep")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(bands.join(buckets.hint("merge"), "bucket").select("bucket", "band", "rep", "leader", "n"), "minhash-buckets")
-    stars = members.where("rep <> leader").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "weight")).alias("r"), F.first("sig").alias("sig"))
+    # sid numbers the distinct sets; it is fixed once the table is written
+    reps = materialize(first.select(F.monotonically_increasing_id().alias("sid"), "set_key", "r.*", "sig"), "minhash-reps")
+    bands = materialize(_band_rows(reps), "minhash-bands")
+    buckets = bands.groupBy("bucket").agg(F.min_by("sid", F.xxhash64("bucket", "sid")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = materialize(bands.join(buckets.hint("merge"), "bucket").select("bucket", "band", "sid", "leader", "n"), "minhash-buckets")
+    discard(bands)
+    stars = members.where("sid <> leader").select(F.least("leader", "sid").alias("a"), F.greatest("leader", "sid").alias("b")).distinct()
     agreeing = materialize(_agreeing(stars, reps), "minhash-pairs")
+    texts = _texts_of(agreeing.select(F.col("a").alias("sid")).unionAll(agreeing.select("b")), docs, reps)
     edges = materialize(_confirmed(agreeing, texts), "minhash-edges")
+    discard(texts)
+    discard(agreeing)
     # a doc_id with several texts has several sets: they are one document
-    again = named.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
-    same = named.join(again, "doc_id").join(reps.select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    edges = edges.unionAll(same)
-    labels = connected_components(edges, "minhash-components")
+    again = named.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select(F.col("doc_id").alias("u"))
+    same = named.select(F.col("doc_id").alias("u"), "set_key").join(again, "u").join(reps.select("set_key", F.col("doc_id").alias("v")), "set_key").select("u", "v")
+    labels = connected_components(edges.unionAll(same), "minhash-components")
     crossing = materialize(_crossing(members, labels, reps), "minhash-crossing")
     discard(members)
     if crossing.limit(1).count():
+        texts = _texts_of(crossing.select("sid"), docs, reps)
         more = materialize(_finished(crossing, texts), "minhash-edges")
-        labels = connected_components(edges.unionAll(more), "minhash-components")
-    rep_of = reps.select("set_key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component_id", "rep").alias("component"))
+        discard(texts)
+        # what is known already is one edge from each node to its component
+        labels = connected_components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more), "minhash-components")
+        discard(more)
+    discard(crossing)
+    discard(edges)
+    rep_of = reps.select("set_key", F.col("doc_id").alias("id")).join(labels, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -298,10 +321,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``documents`` with one document of each near-duplicate group: its smallest doc_id.
 
-    Repeated rows of one doc_id count as one document and leave one row; rows
-    with a null doc_id stay.  Other columns than those of ``documents`` are dropped.
+    Repeated rows of one doc_id count as one document and leave one row, the
+    smallest by text, lang, source and n_chars (nulls first); rows with a null
+    doc_id stay.  Other columns than those of ``documents`` are dropped.
     """
-    rows = docs.select(*DOCUMENT_COLUMNS)
-    gone = near_duplicates(rows).where("not kept").select("doc_id").distinct()
-    left = rows.join(gone, "doc_id", "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *DOCUMENT_COLUMNS[1:])
+    ids = near_duplicates(rows).where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    taken = materialize(ids.where("not kept or n > 1"), "minhash-taken")
+    left = rows.join(taken, "doc_id", "left_anti")
+    again = taken.where("kept").select("doc_id")
+    if not again.limit(1).count():
+        return left
+    one = rows.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*DOCUMENT_COLUMNS[1:])).alias("r"))
+    return left.unionByName(one.select("doc_id", "r.*"))
