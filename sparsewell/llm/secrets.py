@@ -4,10 +4,11 @@ Three pattern kinds (assign, access, hex) are reported as they match.  Further
 kinds are reported only if the candidate's structure holds up:
 
 * ``pem``    an armoured private-key block whose body decodes to a DER sequence with
-  consistent nested lengths, or to an OpenSSH container with consistent field lengths;
-  its line ends and slashes may be escaped by backslashes;
+  consistent nested lengths, or to an OpenSSH container with consistent field lengths,
+  or whose two legacy headers say that it is encrypted; its line ends and slashes may
+  be escaped by backslashes;
 * ``jwt``    three base64url segments whose first is a JSON object with an ``alg``
-  string and whose second is a JSON object;
+  string, whose second is a JSON object and whose third, the signature, is not empty;
 * ``der``    a bare base64 or hex run that decodes to a private key in DER form
   (PKCS#1, PKCS#8 or SEC1 layout) with nested lengths that use up the run;
 * ``sshkey`` a bare base64 run that decodes to an OpenSSH private-key container.
@@ -20,6 +21,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,10 +46,11 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_LEAST - 4))
 _HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)  # runs are maximal, so the least length can be asked for at once
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,\\-]*?)-----END \1-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,\\-]*")
 _ESCAPED_END = re.compile(r"\\+[nr]")  # line ends of JSON and env files
 _ESCAPED_SLASH = re.compile(r"\\+/")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+))")  # from every segment on
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++))")  # from every segment on
 _B64 = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nr])|(?<=\\[nr]))[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
@@ -162,23 +165,36 @@ def _json_object(segment: str) -> dict | None:
 
 
 def is_signed_token(candidate: str) -> bool:
-    """Whether the header names an algorithm and the payload is a JSON object."""
-    head, body, _ = candidate.split(".")
+    """Whether there is a signature, the header names an algorithm and the payload is a JSON object."""
+    head, body, signature = candidate.split(".")
+    if not signature:
+        return False
     header = _json_object(head)
     return header is not None and isinstance(header.get("alg"), str) and _json_object(body) is not None
 
 
+def _armoured(text: str) -> Iterator[Span]:
+    """Key blocks: a header and the next armour line, if that is its trailer."""
+    begin = None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin and begin[2] == m[2] and _BODY.fullmatch(text, begin.end(), m.start()):
+            lines = _ESCAPED_SLASH.sub("/", _ESCAPED_END.sub("\n", text[begin.end() : m.start()])).splitlines()
+            head = [x.partition(":") for x in lines if ":" in x]
+            # an encrypted body has no structure of its own
+            legacy = any(k == "Proc-Type" and v.endswith("ENCRYPTED") for k, _, v in head) and any(k == "DEK-Info" and v.strip() for k, _, v in head)
+            data = _decode64("".join("".join(x for x in lines if ":" not in x).split()))
+            if data and (len(data) >= 32 if legacy else is_der_private_key(data) or is_openssh_private_key(data)):
+                yield Span(begin.start(), 3, m.end())
+        begin = None
+
+
 def _confirmed(text: str) -> Iterator[Span]:
-    armoured: list[Span] = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            lines = _ESCAPED_SLASH.sub("/", _ESCAPED_END.sub("\n", m[2])).splitlines()
-            body = [x for x in lines if ":" not in x]  # legacy header lines
-            data = _decode64("".join("".join(body).split()))
-            legacy = ":" in m[2] and data is not None and len(data) >= 32  # encrypted body has no structure of its own
-            if data is not None and (legacy or is_der_private_key(data) or is_openssh_private_key(data)):
-                armoured.append(Span(m.start(), 3, m.end()))
+    armoured = list(_armoured(text)) if "-----BEGIN " in text else []
     yield from armoured
+    starts = [a.start for a in armoured]
     end = 0
     for m in _JWT.finditer(text):
         if m.start() >= end and is_signed_token(m[1]):
@@ -186,7 +202,8 @@ def _confirmed(text: str) -> Iterator[Span]:
             yield Span(m.start(), 4, end)
     for m in _B64.finditer(text):
         run = m[0]
-        if any(a.start <= m.start() < a.end for a in armoured):
+        block = bisect_right(starts, m.start()) - 1
+        if block >= 0 and m.start() < armoured[block].end:
             continue  # the block is reported as a whole
         if run[0] == "M":  # 0x30 as the first byte
             data = _decode64(run)
