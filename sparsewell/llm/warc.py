@@ -5,9 +5,12 @@ largest id carries it and the others refer to it.
 
 Reading: archives are split at the version line wherever it occurs, also inside
 payloads.  Tasks parse what follows each occurrence and emit a candidate record
-with the offset of its successor.  Pointer jumping from the start of each file
-doubles the known part of the chain per round; candidates that the chain does
-not reach are payload bytes and are given back to the record around them.
+with the offset of its successor.  Inside a file block, which one task holds,
+successors are followed to the first one beyond the block.  Pointer jumping over
+these from the start of each file doubles the known part of the chain of blocks
+per round, and a second pass marks the records between.  Candidates that the
+chain does not reach are payload bytes and are given back to the record around
+them.  A chain that does not end at the end of its file is an error.
 """
 
 from __future__ import annotations
@@ -15,20 +18,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, shared_dir
+from .common import bounded_batches, discard, materialize, new_path, sorted_groups
 
 VERSION = "WARC/1.0\r\n"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Most records of one archive file; bounds the rounds of pointer jumping.
+#: Most records of one archive file; bounds the size of a file.
 FILE_RECORDS = 8192
 #: Least payload size that may become a revisit.
 REVISIT_BYTES = 0
@@ -65,8 +68,9 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
 
     A null html is an empty payload; a null page_id is written as such, is
     always a response and is never referred to; of repeated rows with the
-    largest page_id of a payload each is a response; other columns are ignored;
-    an empty table writes no records.
+    largest page_id of a payload each is a response; record ids are made of
+    page_ids and are as unique as those; other columns are ignored; an empty
+    table writes no records.
     """
     bounded_batches(pages.sparkSession)
 
@@ -83,16 +87,17 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
             yield pa.record_batch([pa.array([format_record(i, u, zlib.decompress(h).decode(), d, r)[:-1] for i, u, h, d, r in rows], pa.string())], names=["value"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digests, "page_id long, url string, packed binary, digest string, size long")
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_only_digests, "page_id long, digest string")
-    last = ids.groupBy("digest").agg(F.max("page_id").alias("last")).where("last is not null")
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_only_digests, "page_id long, digest string, size long")
+    last = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last")).where("last is not null")
     refers = F.when((F.col("size") >= revisit_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
-    joined = rows.join(last.hint("merge"), "digest", "left").select("page_id", "url", "packed", "digest", refers.alias("refers_to"))
+    joined = rows.join(last.hint("merge"), ["digest", "size"], "left").select("page_id", "url", "packed", "digest", refers.alias("refers_to"))
     joined.mapInArrow(records, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _only_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.record_batch([b.column(0), pa.array([payload_digest((h or "").encode()) for h in b.column(1).to_pylist()], pa.string())], names=["page_id", "digest"])
+        payloads = [(h or "").encode() for h in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "digest", "size"])
 
 
 def parse_record(body: bytes) -> tuple[int, dict] | None:
@@ -100,7 +105,7 @@ def parse_record(body: bytes) -> tuple[int, dict] | None:
     end = body.find(b"\r\n\r\n")
     if end < 0:
         return None
-    fields: dict = {"page_id": None}
+    fields: dict = {"page_id": None, "url": None, "refers_to": None, "digest": None}
     length = kind = None
     for line in body[:end].split(b"\r\n"):
         name, colon, value = line.partition(b": ")
@@ -115,6 +120,8 @@ def parse_record(body: bytes) -> tuple[int, dict] | None:
         elif name == b"WARC-Record-ID":
             m = _ID.match(line)
             fields["page_id"] = int(m[1]) if m and m[1] != b"none" else None
+        elif name == b"WARC-Target-URI":
+            fields["url"] = value.decode("utf-8", "replace")
         elif name == b"WARC-Refers-To":
             m = re.match(rb"<urn:page:(-?\d+)>$", value)
             fields["refers_to"] = int(m[1]) if m else None
@@ -126,94 +133,179 @@ def parse_record(body: bytes) -> tuple[int, dict] | None:
     return end + 4 + length + 4, fields
 
 
-def finish_record(body: bytes, fields: dict) -> tuple[int, str]:
-    """(bytes, digest) of the full payload: computed for a response, as stated for a revisit."""
-    block = body[fields["head"] : fields["head"] + fields["length"]]
-    end = block.find(b"\r\n\r\n")
+def payload_of(body: bytes, fields: dict) -> bytes | None:
+    """Full payload of a response; None for a revisit, whose payload stands in another record."""
     if fields["kind"] == "revisit":
-        stated = re.search(rb"(?:^|\r\n)Content-Length: (\d+)", block[: max(end, 0)])
-        return int(stated[1]) if stated else 0, fields.get("digest", "")
-    payload = block[end + 4 :]
-    return len(payload), payload_digest(payload)
+        return None
+    block = body[fields["head"] : fields["head"] + fields["length"]]
+    return block[block.find(b"\r\n\r\n") + 4 :]
+
+
+_FIELDS = {"page_id": pa.int64(), "url": pa.string(), "kind": pa.string(), "refers_to": pa.int64(), "stated": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string()}
+_FIELDS_SQL = "page_id long, url string, kind string, refers_to long, stated string, payload_bytes long, payload_digest string"
+_PLACE = {"file": pa.string(), "block": pa.int64(), "size": pa.int64(), "here": pa.int64(), "length": pa.int64(), "succ": pa.int64(), "complete": pa.bool_()}
+_PLACE_SQL = "file string, block long, size long, here long, length long, succ long, complete boolean"
+
+
+def _field_values(body: bytes, fields: dict) -> tuple:
+    payload = payload_of(body, fields)
+    known = (None, None) if payload is None else (len(payload), payload_digest(payload))
+    return (fields["page_id"], fields["url"], fields["kind"], fields["refers_to"], fields["digest"], *known)
 
 
-_PARSED = "file string, block long, size long, here long, length long, succ long, complete boolean, page_id long, kind string, refers_to long, payload_bytes long, payload_digest string, body binary"
-_RESULT = ("page_id", "payload_bytes", "payload_digest", "kind", "refers_to")
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Texts between version lines: file, block, size (of the file) and body, in file order within a block."""
+    lines = spark.read.option("lineSep", VERSION).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("body"))
 
 
 def _candidates(spark: SparkSession, path: str, with_body: bool) -> DataFrame:
-    """A row per occurrence of the version line: place within its block, successor and fields.
+    """A row per occurrence of the version line: place within its block, successor and fields, or else the body.
 
     ``here`` and ``succ`` count from the start of the block.
     """
     bounded_batches(spark)
     size = len(VERSION)
+    kinds = {**_PLACE, "body": pa.binary()} if with_body else _PLACE | _FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, at = None, 0
         for b in batches:
-            out: list[list] = [[] for _ in range(13)]
+            rows = []
             for file, block, total, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if place != (file, block):
                     place, at = (file, block), 0
                 parsed = parse_record(body)
-                row = [file, block, total, at - size, len(body) + size, None, False, None, None, None, None, None, body if with_body else None]
-                if parsed:
-                    succ, fields = parsed
-                    row[5], row[6] = at + succ, succ <= len(body)
-                    row[7], row[8], row[9] = fields["page_id"], fields["kind"], fields.get("refers_to")
-                    if row[6]:
-                        row[10], row[11] = finish_record(body, fields)
-                for col, value in zip(out, row, strict=True):
-                    col.append(value)
+                succ = at + parsed[0] if parsed else None
+                complete = parsed is not None and parsed[0] <= len(body)
+                row = (file, block, total, at - size, len(body) + size, succ, complete)
+                if with_body:
+                    rows.append((*row, body))
+                else:
+                    rows.append((*row, *(_field_values(body, parsed[1]) if complete else [None] * len(_FIELDS))))
                 at += len(body) + size
-            types = [pa.string(), *[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[x.split()[0] for x in _PARSED.split(", ")])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    lines = spark.read.option("lineSep", VERSION).text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("body"))
-    return rows.mapInArrow(run, _PARSED)
+    return _pieces(spark, path).mapInArrow(run, f"{_PLACE_SQL}, {'body binary' if with_body else _FIELDS_SQL}")
+
+
+def _next_inside(start: np.ndarray, succ: np.ndarray) -> np.ndarray:
+    """Place of each row's successor among the sorted starts of its block; -1 if it is not one of them."""
+    at = np.searchsorted(start, succ)
+    return np.where(start[np.minimum(at, len(start) - 1)] == succ, at, -1)
+
+
+def _exits(links: DataFrame) -> DataFrame:
+    """(file, start, succ) with the successors followed to the first one beyond the block; chains that break off inside are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in sorted_groups(batches, 2):
+            start, succ, end = (t.column(c).to_numpy() for c in (2, 3, 4))
+            inside, out = _next_inside(start, succ), np.where(succ < end, -1, succ)
+            for i in range(len(out) - 1, -1, -1):
+                if inside[i] >= 0:
+                    out[i] = out[inside[i]]
+            whole = pa.array(out >= 0)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().filter(whole), pa.array(start).filter(whole), pa.array(out).filter(whole)], names=["file", "start", "succ"])
+
+    rows = links.select("file", "block", "start", "succ", "end").repartition("file", "block").sortWithinPartitions("file", "block", "start")
+    return rows.mapInArrow(run, "file string, start long, succ long")
+
+
+def _walked(links: DataFrame, entries: DataFrame) -> DataFrame:
+    """(file, start, succ) of the records on the chain, from the entry of each block on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in sorted_groups(batches, 2):
+            start, succ = t.column(2).to_numpy(), t.column(3).to_numpy()
+            inside, on = _next_inside(start, succ), np.zeros(len(start), bool)
+            for i in np.flatnonzero(t.column(4).to_numpy()):
+                while i >= 0 and not on[i]:
+                    on[i] = True
+                    i = inside[i]
+            on = pa.array(on)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks().filter(on), pa.array(start).filter(on), pa.array(succ).filter(on)], names=["file", "start", "succ"])
+
+    rows = links.join(entries.withColumn("entry", F.lit(True)).hint("merge"), ["file", "start"], "left").select("file", "block", "start", "succ", F.coalesce("entry", F.lit(False)).alias("entry"))
+    return rows.repartition("file", "block").sortWithinPartitions("file", "block", "start").mapInArrow(run, "file string, start long, succ long")
 
 
 def _reachable(links: DataFrame) -> DataFrame:
-    """(file, start) of the records on the chain from offset 0, by pointer jumping over (file, start, succ)."""
+    """(file, start) that are reached from offset 0, by pointer jumping over (file, start, succ)."""
     known = materialize(links.where("start = 0").select("file", "start"), "warc-known")
-    jump = materialize(links, "warc-jump")
+    jump = links
     while True:
-        # known holds the first 2**k records of each file, jump leads 2**k records on
+        # known holds the first 2**k places of each file, jump leads 2**k places on
         further = known.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("succ").alias("start"))
         further = materialize(further.join(links.select("file", "start").hint("merge"), ["file", "start"], "left_semi"), "warc-further")
         if not further.limit(1).count():
-            discard(jump)
+            discard(further)
+            if jump is not links:
+                discard(jump)
             return known
         second = jump.select("file", F.col("start").alias("succ"), F.col("succ").alias("next"))
         longer = materialize(jump.join(second.hint("merge"), ["file", "succ"]).select("file", "start", F.col("next").alias("succ")), "warc-jump")
         more = materialize(known.unionAll(further), "warc-known")
-        for old in (jump, known, further):
+        for old in (known, further, *([jump] if jump is not links else [])):
             discard(old)
         known, jump = more, longer
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def _check_ends(parsed: DataFrame, chain: DataFrame) -> None:
+    """Raise ValueError for files whose chain does not end at their end."""
+    sizes = parsed.groupBy("file").agg(F.max("size").alias("size"))
+    ends = chain.groupBy("file").agg(F.max("succ").alias("end"))
+    broken = sizes.join(ends, "file", "left").where("coalesce(end, 0) <> size").orderBy("file").limit(5).collect()
+    if broken:
+        raise ValueError("archives with a broken record: " + ", ".join(f"{r.file} at {r.end or 0} of {r.size}" for r in broken))
+
+
+def _resolved(records: DataFrame) -> DataFrame:
+    """Records with payload_bytes and payload_digest of the referred response for revisits, and ``intact``."""
+    there = records.where("kind <> 'revisit' and page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("n"))
+    there = there.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"), "n")
+    joined = records.join(there, ["refers_to", "stated"], "left")
+    revisit = F.col("kind") == "revisit"
+    size = F.when(revisit, F.col("n")).otherwise(F.col("payload_bytes"))
+    digest = F.when(revisit, F.when(F.col("n").isNotNull(), F.col("stated"))).otherwise(F.col("payload_digest"))
+    intact = F.when(revisit, F.col("n").isNotNull()).otherwise(F.col("stated").isNull() | (F.col("stated") == F.col("payload_digest")))
+    more = [c for c in records.columns if c not in _FIELDS]
+    return joined.select("page_id", "url", "kind", "refers_to", size.alias("payload_bytes"), digest.alias("payload_digest"), intact.alias("intact"), *more)
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records of all archives below ``path``.
 
-    Returns page_id, payload_bytes, payload_digest, kind and refers_to.  Bytes
-    behind a broken record are not reachable and not reported.
+    Returns page_id, url, kind, refers_to, payload_bytes, payload_digest (both of
+    the full payload, computed; for a revisit those of the response it refers
+    to) and intact; with ``payloads`` also payload (null for a revisit).  A record
+    is intact if its stated digest is that of its payload or, for a revisit, of
+    the response it refers to; bytes and digest of a revisit without such a
+    response are null.  Raises ValueError if the records of a file do not reach
+    to its end; an empty file has none.
     """
     parsed = materialize(_candidates(spark, path, False), "warc-candidates")
     ends = parsed.groupBy("file", "block").agg(F.max(F.col("here") + F.col("length")).alias("bytes"))
     # a file has few blocks; here counts from a version line before the first body
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = ends.select("file", "block", F.coalesce(F.sum(F.col("bytes") + len(VERSION)).over(before), F.lit(0)).alias("base"))
+    base = ends.select("file", "block", F.coalesce(F.sum(F.col("bytes") + len(VERSION)).over(before), F.lit(0)).alias("base"), "bytes")
     base = materialize(base, "warc-blocks")
-    placed = parsed.drop("body").join(base.hint("merge"), ["file", "block"]).withColumn("start", F.col("here") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
-    links = materialize(placed.where("start >= 0 and succ is not null and succ <= size").select("file", "start", "succ"), "warc-links")
-    known = _reachable(links)
-    small = placed.where("start >= 0").join(known.hint("merge"), ["file", "start"])
-    whole = small.where("complete").select(*_RESULT)
-    parts = materialize(small.where("not complete").select("file", "start", "succ"), "warc-parts")
-    if not parts.limit(1).count():
-        return whole
+    placed = parsed.join(base.hint("merge"), ["file", "block"]).withColumn("start", F.col("here") + F.col("base")).withColumn("succ", F.col("succ") + F.col("base"))
+    links = placed.where("start >= 0 and succ is not null and succ <= size").select("file", "block", "start", "succ", (F.col("base") + F.col("bytes")).alias("end"))
+    links = materialize(links, "warc-links")
+    exits = materialize(_exits(links), "warc-exits")
+    entries = _reachable(exits)
+    chain = materialize(_walked(links, entries), "warc-chain")
+    for old in (links, exits, entries):
+        discard(old)
+    _check_ends(parsed, chain)
+    known = chain.select("file", "start")
+    small = placed.join(known.hint("merge"), ["file", "start"])
+    whole = small.where("complete").select(*_FIELDS)
+    parts = materialize((small if payloads else small.where("not complete")).select("file", "start"), "warc-parts")
+    if not payloads and not parts.limit(1).count():
+        return _resolved(whole)
     # give unreachable pieces to the record before them; a record's pieces are one group, bounded by its payload
     files = parts.select("file").distinct()
     marked = placed.where("start >= 0").select("file", "start").join(files, "file", "left_semi").join(known.withColumn("own", F.col("start")), ["file", "start"], "left")
@@ -221,17 +313,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     owned = owned.join(parts.select("file", F.col("start").alias("owner")), ["file", "owner"], "left_semi")
     bodies = _candidates(spark, path, True).join(files, "file", "left_semi").join(base, ["file", "block"])
     pieces = bodies.select("file", (F.col("here") + F.col("base")).alias("start"), "body").join(owned, ["file", "start"]).repartition("file", "owner").sortWithinPartitions("file", "owner", "start").select("file", "owner", "body")
+    kinds = _FIELDS | ({"payload": pa.binary()} if payloads else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import sorted_groups
-
         for _, t in sorted_groups(batches, 2):
             body = VERSION.encode().join(t.column(2).to_pylist())
             _, fields = parse_record(body)
-            n, digest = finish_record(body, fields)
-            yield pa.record_batch([pa.array([x], k) for x, k in ((fields["page_id"], pa.int64()), (n, pa.int64()), (digest, pa.string()), (fields["kind"], pa.string()), (fields.get("refers_to"), pa.int64()))], names=list(_RESULT))
+            row = (*_field_values(body, fields), *([payload_of(body, fields)] if payloads else []))
+            yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
-    return whole.unionAll(pieces.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, kind string, refers_to long"))
+    found = pieces.mapInArrow(run, _FIELDS_SQL + (", payload binary" if payloads else ""))
+    return _resolved(materialize(found if payloads else whole.unionAll(found), "warc-records"))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
@@ -240,6 +332,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     Returns one row per page: page_id, payload_bytes, payload_digest,
     record_type and refers_to.  Edge cases are those of ``write_archives``.
     """
-    path = f"{shared_dir(pages.sparkSession)}/sparsewell/warc-{uuid.uuid4().hex}"
+    path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return read_archives(pages.sparkSession, path).withColumnRenamed("kind", "record_type")
+    records = read_archives(pages.sparkSession, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
