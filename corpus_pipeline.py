@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sparsewell.llm import minhash, packing, quality, rules, secrets
-from sparsewell.llm.common import shared_dir
+from sparsewell.storage import new_path
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; every stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/sparsewell/pipeline-{uuid.uuid4().hex}"
+    base = new_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
