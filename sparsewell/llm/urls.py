@@ -8,7 +8,9 @@ together, one byte column at a time, so every URL and every rule advance in the
 same few array operations whatever the number of rules.
 
 Globs are matched against the canonical form ``.host/path``: ``*`` runs over
-any bytes but ``/`` and ``**`` over any bytes.
+any bytes but ``/`` and ``**`` over any bytes.  The canonical host is in small
+letters, without user, port and final dot; the path is as it stands (nothing is
+percent-decoded).  Explicit rules are matched against host and path as reported.
 """
 
 from __future__ import annotations
@@ -53,10 +55,42 @@ RULES = (
     Rule(BLOCK, "com", "/de/"),
 )
 
-#: Globs that block a URL no explicit rule fits: spam, gambling, adult and tracking hosts.
-BLOCK_GLOBS = ("*.spam-*.**", "*.cheap-*.**", "*.free-*.**", "*.ads-*.**", "*.casino-*.**", "*.adult-*.**")
+# Globs that block a URL that no explicit rule fits, by reason.
+_HOST_LABELS = {
+    "advertising": "ad ads adserver adservice advert banner banners popup popups sponsor",
+    "tracking": "analytics beacon click clicks metrics pixel stats telemetry track tracker tracking",
+    "gambling": "bet betting bingo casino jackpot lottery poker roulette slots",
+    "adult": "adult escort nude porn sex xxx",
+    "junk": "cheap coupon free loan pills replica spam viagra warez",
+}
+_PATH_PARTS = {
+    "advertising": "ads adclick banners popup",
+    "account": "login logout signin signup register password account wp-admin wp-login.php",
+    "shop": "basket cart checkout wishlist",
+    "machine": "cgi-bin cdn-cgi xmlrpc.php trackback",
+}
+_ENDINGS = "7z apk avi bin bmp css dmg exe gif gz ico iso jar jpeg jpg js mov mp3 mp4 msi ogg png rar rss svg tar tgz ttf wav webm webp woff woff2 zip"
+
+
+def production_globs() -> tuple[str, ...]:
+    """Hosts with a label that is or begins with a listed word and a dash, paths with a listed part, and endings of files without text."""
+    out = []
+    for words in _HOST_LABELS.values():
+        for w in words.split():
+            out += [f"*.{w}.**", f"*.{w}-*.**"]
+    for words in _PATH_PARTS.values():
+        for w in words.split():
+            out += [f"**/{w}", f"**/{w}/**"]
+    return tuple(out + [f"*/**.{w}" for w in _ENDINGS.split()])
+
+
+BLOCK_GLOBS = production_globs()
+
+#: Longest strings of a batch that are not stepped together with the others.
+ALONE = 2
 
 _SCHEME_REST = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
+_PORT = re.compile(r":[0-9]*\Z")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -66,6 +100,11 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_LOWER), m[2]) if m else ("", "")
 
 
+def canonical_host(host: str) -> str:
+    """A host of ``split_url`` without user, port and final dot."""
+    return _PORT.sub("", host.rpartition("@")[2]).removesuffix(".")
+
+
 class ShiftAnd:
     """Multiword Shift-And machine of glob patterns."""
 
@@ -85,24 +124,30 @@ class ShiftAnd:
             self.finals.append(bit)
             bit += 1
         self.words = max(1, -(-bit // 64))
-        self.begin = self._mask(starts)
+        self.begin = np.zeros(self.words, np.uint64)
         self.literal = np.zeros((256, self.words), np.uint64)
         self.loop = np.zeros((256, self.words), np.uint64)
+        for at in starts:
+            self._set(self.begin, at)
         for at, b in literal:
-            self.literal[b] |= self._mask([at])
-        for at, slash in loops:
-            self.loop |= self._mask([at])
-            if not slash:
-                self.loop[ord("/")] &= ~self._mask([at])
+            self._set(self.literal[b], at)
         for at, slash in loops:  # a bit may carry both wildcards
-            if slash:
-                self.loop[ord("/")] |= self._mask([at])
-
-    def _mask(self, bits: Sequence[int]) -> np.ndarray:
-        out = np.zeros(self.words, np.uint64)
-        for b in bits:
-            out[b >> 6] |= np.uint64(1) << np.uint64(b & 63)
-        return out
+            for b in range(256):
+                if slash or b != ord("/"):
+                    self._set(self.loop[b], at)
+
+    @staticmethod
+    def _set(words: np.ndarray, bit: int) -> None:
+        words[bit >> 6] |= np.uint64(1) << np.uint64(bit & 63)
+
+    def _finish(self, state: np.ndarray, rest: bytes) -> np.ndarray:
+        """State after ``rest``, one string alone: its words as one number."""
+        number = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+        literal, loop = ([number(t[b]) for b in range(256)] for t in (self.literal, self.loop))
+        d = number(state)
+        for b in rest:
+            d = (d << 1) & literal[b] | d & loop[b]
+        return np.frombuffer(d.to_bytes(8 * self.words, "little"), "<u8")
 
     def run(self, strings: Sequence[bytes]) -> np.ndarray:
         """Boolean matrix (string, pattern): whether the pattern matches the whole string."""
@@ -113,13 +158,17 @@ class ShiftAnd:
         offsets = np.cumsum(sizes) - sizes
         order = np.argsort(-sizes, kind="stable")  # longest first: those still running are a prefix
         sizes, offsets, one, top = sizes[order], offsets[order], np.uint64(1), np.uint64(63)
-        for at in range(int(sizes[0]) if n else 0):
+        # the few strings that are much longer than all others go on one by one
+        common = int(sizes[ALONE]) if n > ALONE else 0
+        for at in range(common):
             live = int(np.searchsorted(-sizes, -at, side="left"))
             c = data[offsets[:live] + at]
             now = state[:live]
             shifted = now << one
             shifted[:, 1:] |= now[:, :-1] >> top
             state[:live] = (shifted & self.literal[c]) | (now & self.loop[c])
+        for k in range(min(n, ALONE)):
+            state[k] = self._finish(state[k], data[offsets[k] + common : offsets[k] + sizes[k]].tobytes())
         hits = np.zeros((n, len(self.finals)), bool)
         for k, bit in enumerate(self.finals):
             hits[order, k] = (state[:, bit >> 6] >> np.uint64(bit & 63)) & one != 0
@@ -146,6 +195,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, block_globs: Seq
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             hits = machine.run([f".{h}{p}".encode() for h, p in parts])
+            # few hosts have a user, a port or a final dot
+            other = [(i, c) for i, (h, _) in enumerate(parts) if (c := canonical_host(h)) != h]
+            if other:
+                again = machine.run([f".{c}{parts[i][1]}".encode() for i, c in other])
+                hits[[i for i, _ in other], len(ranked) :] = again[:, len(ranked) :]
             names, verdicts = [], []
             for row in hits:
                 fit = next((r for r, hit in zip(ranked, row, strict=False) if hit), None)
