@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import packing
+from .functions import measures, packing
 from .operators import algebra, layout, validate
 from .plans import solvers
 from .sources import files, fixtures, generator
@@ -455,6 +455,27 @@ def a14_weighted_degree(s, d):
     return algebra.off_diagonal(fixtures.suppliers(s, d)).groupBy(F.col("row_id").alias("idx")).agg((-F.sum("value")).alias("degree"))
 
 
+_RUN = "o_orderkey AS run, (o_totalprice / 100)::DOUBLE AS controller_total, (o_orderkey % 7)::DOUBLE AS init_spmv, (o_custkey % 50)::DOUBLE AS iter_spmv, (o_orderkey % 5)::DOUBLE AS init_zp, (o_custkey % 9)::DOUBLE AS update_x, NULL::DOUBLE AS update_rz_reduce, (o_orderkey % 900)::DOUBLE AS update_p"
+
+
+def _runs(s, d):
+    """Orders taken as measured runs: whole milliseconds by stage, some not measured."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    stages = {"init_spmv": k % 7, "iter_spmv": c % 50, "init_zp": k % 5, "update_x": c % 9, "update_rz_reduce": F.lit(None), "update_p": k % 900}
+    return fixtures.table(s, d, "orders").select(k.alias("run"), (F.col("o_totalprice") / 100).cast("double").alias("controller_total"), *(v.cast("double").alias(n) for n, v in stages.items()))
+
+
+@query(f"SELECT run, round(CASE WHEN init_spmv + iter_spmv > 0 THEN 2.0::DOUBLE * 1e6 * (run % 11) / ((init_spmv + iter_spmv) * 1e-3) / 1e9 ELSE 0 END, 6)::DOUBLE AS gflops FROM (SELECT {_RUN} FROM orders)")
+def a15_throughput(s, d):
+    runs = measures.stage_totals(_runs(s, d))
+    return runs.select("run", F.round(measures.gflops(F.lit(1e6), F.col("run") % 11, F.col("spmv_total")), 6).alias("gflops"))
+
+
+@query(f"SELECT run, init_spmv + iter_spmv AS spmv_total, init_zp + update_x + update_p AS vector_total, init_spmv + iter_spmv + init_zp + update_x + update_p AS accounted, round(controller_total - (init_spmv + iter_spmv + init_zp + update_x + update_p), 6) AS unaccounted FROM (SELECT {_RUN} FROM orders)")
+def a16_stage_totals(s, d):
+    return measures.stage_totals(_runs(s, d)).select("run", "spmv_total", "vector_total", "accounted", F.round("unaccounted", 6).alias("unaccounted"))
+
+
 # Generator -----------------------------------------------------------------
 
 # The edge weights, mass term and vectors below are those of the generator.
@@ -516,6 +537,13 @@ def s1_csr_folder(s, d):
     return files.load_matrix(s, path)
 
 
+@query(f"{_GRID_SQL} SELECT row_id, col_id, round(value::DOUBLE, 9) AS value FROM grid")
+def s12_binary_csr(s, d):
+    path = new_path(s, "binary") + ".cbd"
+    files.write_binary_csr(generator.grid_matrix(s, GRID), GRID, GRID, path)
+    return _six(files.load_matrix(s, path), "value", digits=9)
+
+
 @query(f"WITH {_SUP} SELECT row_id AS idx, sum(value) AS value FROM sup GROUP BY 1")
 def s4_rhs_fallback(s, d):
     path = new_path(s, "csr")

@@ -178,6 +178,25 @@ def encode_binary_csr(ptr: np.ndarray, cols: np.ndarray, values: np.ndarray, n_c
     return struct.pack("<iiq", len(ptr) - 1, n_cols, len(cols)) + ptr.astype("<i8").tobytes() + cols.astype("<i4").tobytes() + values.astype("<f8").tobytes()
 
 
+def write_binary_csr(matrix: DataFrame, n_rows: int, n_cols: int, path: str, most: int = 1 << 20) -> None:
+    """Write a matrix of at most ``most`` entries as one binary CSR file; ValueError for a larger one, which Parquet is for.
+
+    The format keeps its pointers in front of all entries, so the driver puts it together.
+    """
+    rows = matrix.select("row_id", "col_id", "value").orderBy("row_id", "col_id", "value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries")
+    row, col, value = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
+    ptr = np.searchsorted(row, np.arange(n_rows + 1))
+    spark = matrix.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
+    try:
+        out.write(bytearray(encode_binary_csr(ptr, col, value, n_cols)))
+    finally:
+        out.close()
+
+
 def read_binary_csr(spark: SparkSession, path: str) -> DataFrame:
     """Edge table of binary CSR files; entries leave the reader in batches."""
 
