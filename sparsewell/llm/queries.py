@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,7 +86,8 @@ s AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 crc AS (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(substr(doc_id::VARCHAR, (i + 1)::BIGINT, 1))::BIGINT)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS c FROM s),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-seen AS (SELECT stratum, severity, count(*) AS c FROM crc JOIN good USING (doc_id) WHERE NOT base_failed AND xor(c, 4294967295) % 5 <> 0 GROUP BY ALL),
+trials AS (SELECT doc_id, stratum, max(severity) AS severity FROM crc JOIN good USING (doc_id) WHERE NOT base_failed AND xor(c, 4294967295) % 5 <> 0 GROUP BY ALL),
+seen AS (SELECT stratum, severity, count(*) AS c FROM trials GROUP BY ALL),
 tested AS (SELECT stratum, level, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (severity > {rules.LEVELS} - level), 0)::BIGINT AS k FROM seen, range(1, {rules.LEVELS + 1}) AS q(level) GROUP BY ALL),
 safe AS (SELECT *, k <= n * {rules.RISK}::DOUBLE AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({rules.RISK}::DOUBLE) + (n - j) * ln({1 - rules.RISK}::DOUBLE)))) <= {rules.ERROR / (len(rules.STRATA) + 1)}::DOUBLE AS safe FROM tested),
 chosen AS (SELECT stratum, {rules.LEVELS + 1} - (coalesce(min(level) FILTER (NOT safe), {rules.LEVELS + 1}) - 1) AS reject_from FROM safe GROUP BY stratum)
@@ -128,14 +130,15 @@ def _url_sql() -> str:
     fit = lambda r: f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     names = " ".join(f"{fit(r)} THEN '{r.name}'" for r in ranked)
     verdicts = " ".join(f"{fit(r)} THEN '{r.verdict}'" for r in ranked)
-    # every default glob has the form *.prefix*.** with * not over '/'
-    spam = "|".join(g[2:].removesuffix("*.**") for g in urls.BLOCK_GLOBS)
+    part = {"**": ".*", "*": "[^/]*"}
+    globs = "|".join("".join(part.get(p) or re.escape(p).replace("\\-", "-") for p in re.findall(r"\*\*|\*|[^*]+", g)) for g in urls.BLOCK_GLOBS)
     return rf"""
 WITH s AS (SELECT page_id, url, position('://' IN coalesce(url, '')) AS p FROM pages),
 u AS (SELECT page_id, CASE WHEN p = 0 THEN '' ELSE regexp_extract(substr(url, p + 3), '^[^/?#]*') END AS h, CASE WHEN p = 0 THEN '' ELSE regexp_extract(substr(url, p + 3), '(?s)^[^/?#]*([^?#]*)', 1) END AS path FROM s),
-c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u)
+c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare FROM c)
 SELECT page_id, host, path, CASE {names} END AS rule,
-  CASE {verdicts} WHEN regexp_matches('.' || host || path, '(?s)^[^/]*\.({spam})[^/]*\..*$') THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+  CASE {verdicts} WHEN regexp_full_match('.' || bare || path, '(?s)({globs})') THEN 'block' ELSE 'allow' END AS verdict FROM k"""
 
 
 def oracle_sql() -> dict[str, str]:

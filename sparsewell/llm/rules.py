@@ -5,14 +5,16 @@ along a fixed path of levels, from rejecting next to nothing to rejecting a
 lot.  Per stratum (language) the labelled holdout gives, for each level, the
 number of good documents it would reject; a level is safe if the exact binomial
 tail P(Bin(n, RISK) <= rejected) is at most ERROR divided by the number of
-strata.  Levels are tested in order and testing stops at the first that fails,
-so the only correction needed is the one over strata.  The last safe level is
-used: with probability 1 - ERROR over the holdout, no stratum loses more than
+strata, where n and the rejected count distinct documents.  Levels are tested
+in order and testing stops at the first that fails, so the only correction
+needed is the one over strata.  The last safe level is used: with probability 1 - ERROR over the holdout, no stratum loses more than
 RISK of its good documents to the method's rules.
 """
 
 from __future__ import annotations
 
+from math import log, pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,18 +105,35 @@ def with_severity(stats: DataFrame, lang: str = "lang") -> DataFrame:
     )
 
 
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1: Stirling's series at x + 8, taken back by the recurrence."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    below = F.lit(1.0)
+    for k in range(8):
+        below = below * (x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * log(2 * pi) + series - F.log(below)
+
+
 def _binomial_tail(k: Column, n: Column) -> Column:
-    """P(Bin(n, RISK) <= k) exactly, summed in logarithms; 1 where k exceeds the mean anyway."""
-    first = n * F.log(F.lit(1 - RISK))
+    """P(Bin(n, RISK) <= k), summed in logarithms; 1 where k exceeds the mean anyway.
+
+    Below the mean, terms fall faster than exp(-m * m / (2 * n * RISK)) over m steps
+    down from k, so those more than ten times sqrt(n * RISK) below k are less
+    than the rounding of the sum, which has as many terms.
+    """
+    n, k = n.cast("double"), k.cast("long")
+    first = F.greatest(F.lit(0).cast("long"), k - F.ceil(10 * F.sqrt(n * RISK)) - 10)
     odds = F.log(F.lit(RISK / (1 - RISK)))
+    start = _log_gamma(n + 1) - _log_gamma(first + 1.0) - _log_gamma(n - first + 1) + first * F.log(F.lit(RISK)) + (n - first) * F.log(F.lit(1 - RISK))
 
     def add(acc: Column, j: Column) -> Column:
         term = acc.term + F.log((n - j + 1) / j) + odds
         high, low = F.greatest(acc.total, term), F.least(acc.total, term)
         return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("total"))
 
-    upto = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.exp(F.aggregate(upto, F.struct(first.alias("term"), first.alias("total")), add, lambda a: a.total))
+    steps = F.when(k > first, F.sequence(first + 1, k)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.exp(F.aggregate(steps, F.struct(start.alias("term"), start.alias("total")), add, lambda a: a.total))
     return F.when(k > n * RISK, F.lit(1.0)).otherwise(tail)
 
 
@@ -123,11 +142,16 @@ def choose_levels(stats: DataFrame, labels: DataFrame) -> DataFrame:
 
     The holdout are the good documents (quality 1) among labelled rows whose
     labels are not kept for evaluation, without those that the base rules
-    reject.  A stratum without a safe level has no row and loses nothing.
+    reject.  A doc_id is one trial of its stratum, however many rows it has,
+    and is rejected if any of them is.  The bound takes trials as independent:
+    copies under other doc_ids count each, so the guarantee speaks of
+    documents drawn like the labelled ones, copies included.  A stratum
+    without a safe level has no row and loses nothing.
     """
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    seen = stats.where(~held_out() & ~F.col("base_failed")).join(good, "doc_id").groupBy("stratum", "severity").agg(F.count("*").alias("c"))
-    levels = seen.select("stratum", "severity", "c", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))).alias("level"))
+    seen = stats.where(~held_out() & ~F.col("base_failed")).select("doc_id", "stratum", "severity").join(good, "doc_id")
+    trials = seen.groupBy("doc_id", "stratum").agg(F.max("severity").alias("severity")).groupBy("stratum", "severity").agg(F.count("*").alias("c"))
+    levels = trials.select("stratum", "severity", "c", F.explode(F.sequence(F.lit(1), F.lit(LEVELS))).alias("level"))
     tested = levels.groupBy("stratum", "level").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("severity") > LEVELS - F.col("level"), F.col("c"))), F.lit(0)).alias("k"))
     tested = tested.withColumn("safe", _binomial_tail(F.col("k"), F.col("n")) <= ERROR / (len(STRATA) + 1))
     failed = F.coalesce(F.min(F.when(~F.col("safe"), F.col("level"))), F.lit(LEVELS + 1))
