@@ -195,6 +195,17 @@ def f1_pointer_violations(s, d):
     return validate.pointer_violations(ptr, edge(s), 6)
 
 
+#: Pointers that break every rule but the least length.
+_BROKEN = ((0, 1), (1, 4), (2, 3), (3, 9), (4, 8))
+_BROKEN_SQL = "(VALUES " + ", ".join(map(str, _BROKEN)) + ") AS p(pos, ptr)"
+
+
+@query(f"""SELECT (count(*) < 2)::BIGINT AS too_short, (min_by(ptr, pos) <> 0)::BIGINT AS bad_first, (max_by(ptr, pos) <> (SELECT count(*) FROM {EDGE}))::BIGINT AS bad_last,
+  (SELECT count(*) FROM {_BROKEN_SQL} JOIN (SELECT pos - 1 AS pos, ptr AS after FROM {_BROKEN_SQL}) USING (pos) WHERE after < ptr)::BIGINT AS decreasing, (SELECT count(*) FILTER (col_id < 0 OR col_id >= 3) FROM {EDGE})::BIGINT AS bad_columns FROM {_BROKEN_SQL}""")
+def f1_broken_pointers(s, d):
+    return validate.pointer_violations(s.createDataFrame(_BROKEN, "pos long, ptr long"), edge(s), 3)
+
+
 @query(f"SELECT row_id, col_id, value FROM {BUY} WHERE row_id < 50 AND col_id < 50")
 def f2_principal(s, d):
     return algebra.principal(fixtures.purchases(s, d), 50)
