@@ -8,8 +8,8 @@ brought to length one, and a linear hinge-loss model is fitted by dual
 coordinate descent.  Margins become probabilities by a sigmoid fitted to
 margins of rows that the model in question had not seen.
 
-The fit takes a bounded sample of labelled rows (``FIT_ROWS``, the smallest
-hashes of doc_id); scoring reads every whole text.  Labels, lang, source and
+The fit takes a sample of labelled rows that is bounded in rows (``FIT_ROWS``) and
+in buckets (``FIT_GRAMS``); scoring reads every whole text.  Labels, lang, source and
 doc_id are never inputs of a score.
 """
 
@@ -20,14 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, bounded_batches
+from .common import DOCUMENT_COLUMNS, bounded_batches, materialize
 
 #: Most labelled rows a model is fitted on.
 FIT_ROWS = 8192
+#: Most buckets of all these rows together (four bytes each).
+FIT_GRAMS = 1 << 25
 #: Buckets of hashed n-grams; bounds the size of the model that tasks receive.
 BUCKETS = 1 << 18
 #: Rows are held out if crc32(doc_id) leaves remainder 0.
@@ -125,16 +126,20 @@ def _log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[0])
 
 
-def _dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Hinge-loss hyperplane over unit rows of scaled indicators; rarer labels weigh more."""
+def _penalties(y: np.ndarray) -> np.ndarray:
+    """Weight of each row's loss: the labels weigh as much in all."""
+    return PENALTY / (2 * np.where(y > 0, (y > 0).mean(), (y < 0).mean()).clip(1e-9))
+
+
+def _dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float, np.ndarray]:
+    """Hinge-loss hyperplane (weights, bias, dual variables) over unit rows of scaled indicators; rarer labels weigh more."""
     rng = np.random.default_rng(seed)
     w, bias = np.zeros(BUCKETS), 0.0
     alpha = np.zeros(len(rows))
     # only norms are kept: the scaled rows would take three times the memory of the rows
     norms = np.array([np.sqrt((v * v).sum()) for v in (ratio[r] for r in rows)])
     norms[norms == 0] = 1.0
-    share = np.array([(y < 0).mean(), (y > 0).mean()])
-    most = PENALTY / (2 * np.where(y > 0, share[1], share[0]).clip(1e-9))
+    most = _penalties(y)
     for _ in range(EPOCHS):
         worst = 0.0
         for i in rng.permutation(len(rows)):
@@ -151,7 +156,7 @@ def _dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nd
                 bias += step
         if worst < 1e-3:
             break
-    return w, bias
+    return w, bias, alpha
 
 
 def _sigmoid(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -182,7 +187,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> QualityModel:
     def plane(idx: np.ndarray) -> QualityModel:
         part = [rows[i] for i in idx]
         ratio = _log_count_ratios(part, y[idx])
-        w, bias = _dual_coordinate_descent(part, y[idx], ratio)
+        w, bias, _ = _dual_coordinate_descent(part, y[idx], ratio)
         return QualityModel((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
 
     margins = np.zeros(len(rows))
@@ -202,14 +207,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Fit a model on at most ``fit_rows`` labelled rows that are not held out.
-
-    Only bucket numbers and labels of the sample reach the driver.  Rows without a
-    quality label of 0 or 1, or without an id, are left out; of several labels
-    of one doc_id the smallest counts.
-    """
-    bounded_batches(docs.sparkSession)
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_grams: int) -> DataFrame:
+    """At most ``fit_rows`` labelled rows (doc_id, label, grams, n) with ``fit_grams`` buckets in all, by the hash of doc_id."""
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
@@ -219,21 +218,48 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quali
         .limit(fit_rows)
     )
     # at most fit_rows pairs of numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [gram_buckets(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1).cast(pa.int32()), pa.array(grams, pa.binary()), pa.array([len(g) // 4 for g in grams], pa.int64())], names=["doc_id", "label", "grams", "n"])
+
+    sample = materialize(rows.mapInArrow(run, "doc_id long, label int, grams binary, n long"), "quality-sample")
+    # a window over at most fit_rows pairs of numbers
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = sample.select("doc_id", "n").select("doc_id", upto.alias("upto")).where(F.col("upto") <= fit_grams).select("doc_id")
+    return sample.join(F.broadcast(within), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_grams: int = FIT_GRAMS) -> QualityModel:
+    """Fit a model on at most ``fit_rows`` labelled rows that are not held out.
+
+    Both bounds of the sample, rows and buckets, are those of the module: the
+    sample is the rows with the smallest hashes of doc_id, up to the first that
+    would exceed ``fit_grams`` buckets in all.  The fit is one task over it;
+    only the model reaches the driver.  Rows without a quality label of 0 or 1, or
+    without an id, are left out; of several labels of one doc_id the smallest
+    counts, and so does the smallest of several texts.
+    """
+    bounded_batches(docs.sparkSession)
+    sample = _sample(docs, labels, fit_rows, fit_grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, rows = [], [], []
         for b in batches:
-            grams = [gram_buckets(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2).cast(pa.int32()), pa.array(grams, pa.binary())], names=["doc_id", "label", "grams"])
-
-    table = rows.mapInArrow(run, "doc_id long, label int, grams binary").toArrow()
-    order = pc.sort_indices(table, [("doc_id", "ascending"), ("grams", "ascending")]).to_numpy()
-    column = table.column("grams")
-    grams = [np.frombuffer(column[i].as_buffer(), "<u4") for i in order.tolist()]  # views, not copies
-    model = fit(grams, table.column("label").to_numpy()[order])
-    del table, column, grams
-    pa.default_memory_pool().release_unused()
-    return model
+            ids += b.column(0).to_pylist()
+            y += b.column(1).to_pylist()
+            rows += [np.frombuffer(g, "<u4") for g in b.column(2).to_pylist()]
+        order = np.argsort(np.array(ids, np.int64), kind="stable")
+        m = fit([rows[i] for i in order], np.array(y)[order] if y else np.zeros(0))
+        yield pa.record_batch([pa.array([m.weights.tobytes()]), pa.array([m.squares.tobytes()]), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.shift))], names=["weights", "squares", "bias", "slope", "shift"])
+
+    found = sample.select("doc_id", "label", "grams").coalesce(1).mapInArrow(run, "weights binary, squares binary, bias double, slope double, shift double").first()
+    if found is None:  # no rows, no task
+        return fit([], np.zeros(0))
+    return QualityModel(np.frombuffer(bytes(found.weights), np.float32), np.frombuffer(bytes(found.squares), np.float32), found.bias, found.slope, found.shift)
 
 
 def score_documents(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
