@@ -165,11 +165,6 @@ def _judged(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("severity") >= F.col("reject_from"), F.lit(False)))
 
 
-def _statistics_table(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return materialize(with_severity(with_statistics(rows).drop("text")), "rules-statistics")
-
-
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdict of every whole text.
 
@@ -181,12 +176,13 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels only the base rules reject; other columns are ignored; an empty
     table gives an empty table.
     """
-    stats = _statistics_table(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    stats = materialize(with_severity(with_statistics(rows).drop("text")), "rules-statistics")
     return _judged(stats, choose_levels(stats, labels)).select("doc_id", *_COUNTS, "base_failed", "kept", "stratum", "severity")
 
 
 def keep_by_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``documents`` that the rules keep; edge cases as in ``judge_documents``."""
-    chosen = materialize(choose_levels(_statistics_table(docs), labels), "rules-levels")
-    rows = with_severity(with_statistics(docs.select(*DOCUMENT_COLUMNS)))
-    return _judged(rows, chosen).where("kept").select(*DOCUMENT_COLUMNS)
+    # written with the texts, so that no text is counted twice or shuffled to its labels
+    stats = materialize(with_severity(with_statistics(docs.select(*DOCUMENT_COLUMNS))), "rules-statistics")
+    return _judged(stats, choose_levels(stats, labels)).where("kept").select(*DOCUMENT_COLUMNS)
