@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the token ids; the tests compare with a brute-force version.
+#: SQL can express neither the classifier nor the token ids; the tests compare all rows with plain-Python versions of the stages.
 ORACLE_SQL = None
 
 
