@@ -78,7 +78,6 @@ def discard_all(spark: SparkSession) -> None:
     Results are lazy and read these tables, so whoever owns the session calls
     this once the results are written.
     """
-    for table in spark.catalog.listTables():
-        if table.name.startswith(_TABLE):
-            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    for table in spark.catalog.listTables(pattern=f"{_TABLE}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     _delete(spark, run_folder(spark))
