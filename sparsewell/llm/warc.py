@@ -18,7 +18,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,31 +72,22 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
     table writes no records.
     """
     bounded_batches(pages.sparkSession)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            payloads = [(h or "").encode() for h in b.column(2).to_pylist()]
-            packed = pa.array([zlib.compress(p) for p in payloads], pa.binary())  # payloads go through a shuffle next
-            yield pa.record_batch([b.column(0), b.column(1), packed, pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "url", "packed", "digest", "size"])
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size"))
+    shared = rows.select("page_id", "sha1", "size").groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null")
+    # written, so that its size is known: pages are shuffled to it only if it is too large to be sent to them
+    shared = materialize(shared.select("sha1", "size", "last"), "warc-shared")
+    refers = F.when((F.col("size") >= revisit_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
+    joined = rows.join(shared, ["sha1", "size"], "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
             # the text writer ends every value with the line feed left out here
-            yield pa.record_batch([pa.array([format_record(i, u, zlib.decompress(h).decode(), d, r)[:-1] for i, u, h, d, r in rows], pa.string())], names=["value"])
+            yield pa.record_batch([pa.array([format_record(i, u, h, base64.b32encode(bytes.fromhex(d)).decode(), r)[:-1] for i, u, h, d, r in rows], pa.string())], names=["value"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(digests, "page_id long, url string, packed binary, digest string, size long")
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_only_digests, "page_id long, digest string, size long")
-    last = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last")).where("last is not null")
-    refers = F.when((F.col("size") >= revisit_bytes) & (F.col("page_id") < F.col("last")), F.col("last"))
-    joined = rows.join(last.hint("merge"), ["digest", "size"], "left").select("page_id", "url", "packed", "digest", refers.alias("refers_to"))
     joined.mapInArrow(records, "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def _only_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        payloads = [(h or "").encode() for h in b.column(1).to_pylist()]
-        yield pa.record_batch([b.column(0), pa.array([payload_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())], names=["page_id", "digest", "size"])
+    discard(shared)
 
 
 def parse_record(body: bytes) -> tuple[int, dict] | None:
