@@ -191,15 +191,16 @@ def _armoured(text: str) -> Iterator[Span]:
         begin = None
 
 
-def _confirmed(text: str) -> Iterator[Span]:
-    armoured = list(_armoured(text)) if "-----BEGIN " in text else []
-    yield from armoured
-    starts = [a.start for a in armoured]
+def _tokens(text: str) -> Iterator[Span]:
     end = 0
     for m in _JWT.finditer(text):
         if m.start() >= end and is_signed_token(m[1]):
             end = m.end(1)
             yield Span(m.start(), 4, end)
+
+
+def _bare_keys(text: str, armoured: list[Span]) -> Iterator[Span]:
+    starts = [a.start for a in armoured]
     for m in _B64.finditer(text):
         run = m[0]
         block = bisect_right(starts, m.start()) - 1
@@ -218,13 +219,38 @@ def _confirmed(text: str) -> Iterator[Span]:
             yield Span(m.start(), 5, m.end())
 
 
+def _runs_of(chars: str, dot: bool = False) -> bytes:
+    """Table that maps ``chars`` to x and all other bytes but, if asked for, the dot to a space."""
+    return bytes(ord("x") if chr(b) in chars and b < 128 else ord(".") if dot and b == ord(".") else ord(" ") for b in range(256))
+
+
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_HEX_RUNS, _B64_RUNS, _TOKEN_RUNS = _runs_of("0123456789abcdef"), _runs_of(_ALNUM + "+/"), _runs_of(_ALNUM + "_-", dot=True)
+_ASSIGN_WORDS = ("passw", "secret", "token", "api_key", "apikey")
+#: Characters of the shortest header with an ``alg`` string: ``{"alg":""}``.
+_HEADER_LEAST = 14
+
+
 def find_secrets(text: str) -> list[Span]:
-    """All spans of a text in code points, by start, then kind in the order of KINDS."""
-    spans = [Span(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    """All spans of a text in code points, by start, then kind in the order of KINDS.
+
+    Most texts have no run of characters that is long enough for a kind, and no
+    word of an assignment; that is seen on the bytes before any pattern is tried.
+    """
+    spans = []
+    low, data = text.lower(), text.encode()
+    if any(w in low for w in _ASSIGN_WORDS):
+        spans += [Span(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     if "AKIA" in text:
         spans += [Span(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
-    spans += [Span(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    spans += _confirmed(text)
+    if b"x" * HEX_LEAST in data.translate(_HEX_RUNS):
+        spans += [Span(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    armoured = list(_armoured(text)) if "-----BEGIN " in text else []
+    spans += armoured
+    if b"x" * _HEADER_LEAST + b"." in data.translate(_TOKEN_RUNS):
+        spans += _tokens(text)
+    if b"x" * 40 in data.translate(_B64_RUNS):
+        spans += _bare_keys(text, armoured)
     spans.sort()
     return spans
 
