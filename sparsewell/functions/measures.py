@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stages of a solve by what they do.
+# Names of the measured stages of a solve, by what they do.
 PRODUCT_STAGES = ("init_spmv", "iter_spmv")
 VECTOR_STAGES = ("init_zp", "update_x", "update_rz_reduce", "update_p")
 
