@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
+from . import audit, bpe, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +57,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing)
+    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing, op12_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -140,6 +144,22 @@ k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', '
 SELECT page_id, host, path, CASE {names} END AS rule,
   CASE {verdicts} WHEN regexp_full_match('.' || bare || path, '(?s)({globs})') THEN 'block' ELSE 'allow' END AS verdict FROM k"""
 
+_AUDIT_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+  (len(w) < {audit.LEAST_WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {audit.LEAST_DISTINCT} * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.MOST_CAPITALS} * length(t))::INT
+  + 8 * regexp_matches(t, '{audit.SYMBOLS}')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS m FROM d LEFT JOIN marks USING (doc_id)),
+pattern AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+steps AS (SELECT o, s::INT AS step, 1 << (ascii(o[s]) - 65) AS mine, list_sum([CASE WHEN k < s THEN 1 << (ascii(o[k]) - 65) ELSE 0 END for k in range(1, 6)])::INT AS before
+  FROM (SELECT a || b || c || d || e AS o FROM (SELECT unnest(['A','B','C','D','E']) AS a), (SELECT unnest(['A','B','C','D','E']) AS b), (SELECT unnest(['A','B','C','D','E']) AS c), (SELECT unnest(['A','B','C','D','E']) AS d), (SELECT unnest(['A','B','C','D','E']) AS e)
+    WHERE len(list_distinct([a, b, c, d, e])) = 5), range(1, 6) AS q(s)),
+r AS (SELECT part, o AS filter_order, step, mine, coalesce(sum(n) FILTER (m & (before | mine) = 0), 0) AS kept, coalesce(sum(n) FILTER (m & before = 0 AND m & mine <> 0), 0) AS removed, coalesce(sum(n) FILTER (m & before <> 0 AND m & mine <> 0), 0) AS redundant,
+  coalesce(sum(n) FILTER (m = mine), 0) AS unique_fails, coalesce(sum(good) FILTER (m & before = 0 AND m & mine <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (m & before = 0 AND m & mine <> 0), 0) AS toxic_lost
+  FROM pattern, steps GROUP BY part, o, step, mine)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -148,4 +168,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": _MINHASH_SQL,
         "op7_warc": _WARC_SQL,
         "op9_url_filter": _url_sql(),
+        "op12_filter_audit": _AUDIT_SQL,
     }
