@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
+from . import audit, bpe, contamination, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,12 +57,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing, op12_filter_audit)
+    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing, op11_decontamination, op12_filter_audit)
     return {f.__name__: f for f in own}
 
 
@@ -144,8 +148,19 @@ k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', '
 SELECT page_id, host, path, CASE {names} END AS rule,
   CASE {verdicts} WHEN regexp_full_match('.' || bare || path, '(?s)({globs})') THEN 'block' ELSE 'allow' END AS verdict FROM k"""
 
+_CONTAMINATION_SQL = rf"""
+WITH w AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+s AS (SELECT kind, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM w),
+items AS (SELECT DISTINCT id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT id, w, least(len(w), {contamination.WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {contamination.WINDOW}) + 2)) AS i FROM s WHERE kind = 'b' AND len(w) > 0)),
+found AS (SELECT r, i, g.n, items.id AS item FROM (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM s, (SELECT DISTINCT n FROM items) WHERE kind = 'd' AND len(w) >= n)) g JOIN items ON g.s = items.s AND g.n = items.n),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+named AS (SELECT r, list_sort(list(DISTINCT item::VARCHAR)) AS l FROM found GROUP BY r)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM s LEFT JOIN hit USING (r) LEFT JOIN named USING (r) WHERE kind = 'd'"""
+
 _AUDIT_SQL = rf"""
-WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
 f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
   (len(w) < {audit.LEAST_WORDS})::INT + 2 * (100 * len(list_distinct(w)) < {audit.LEAST_DISTINCT} * len(w))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {audit.MOST_CAPITALS} * length(t))::INT
@@ -168,5 +183,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": _MINHASH_SQL,
         "op7_warc": _WARC_SQL,
         "op9_url_filter": _url_sql(),
+        "op11_decontamination": _CONTAMINATION_SQL,
         "op12_filter_audit": _AUDIT_SQL,
     }
