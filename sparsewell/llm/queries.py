@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, bpe, contamination, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
+from . import alignment, audit, bpe, contamination, minhash, packing, pivots, quality, rules, secrets, urls, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +65,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing, op11_decontamination, op12_filter_audit)
+    own = (op1_quality_classifier, op2_quality_rules, op3_embedding_dedup, op4_bpe_codec, op5_token_counts, op6_minhash_dedup, op7_warc, op8_secret_scan, op9_url_filter, op10_packing, op11_decontamination, op12_filter_audit, op13_alignment)
     return {f.__name__: f for f in own}
 
 
