@@ -10,10 +10,8 @@ are ever gathered in one place.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize, tokenizer_path
+from .tokens import encoder
 
 WINDOW = 1024
 END_ID = 0
-#: tiktoken fails on white space runs of about a million characters; texts with a run of this length are encoded by the codec of op4.
-LONG_RUN = 1 << 16
-_LONG_RUN = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """Encoder of whole texts into id arrays, as the vocabulary file defines it, with tiktoken's merge loop where that can be used."""
-    import json
-
-    import tiktoken
-
-    from .bpe import PRE_SPLIT, _byte_alphabet, codec
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    alphabet = _byte_alphabet()
-    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
-    enc = tiktoken.Encoding("file", pat_str=PRE_SPLIT, mergeable_ranks=ranks, special_tokens=added)
-    allowed = set(added)
-
-    def encode(text: str) -> np.ndarray:
-        if len(text) >= LONG_RUN and _LONG_RUN.search(text):
-            return np.frombuffer(codec(path).encode(text), "<u4")
-        if any(a in text for a in allowed):
-            return np.array(enc.encode(text, allowed_special=allowed), "<u4")
-        return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False)
-
-    return encode
 
 
 def encode_shares(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFrame:
@@ -62,13 +31,13 @@ def encode_shares(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> Dat
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocab_path)
+        encode = encoder(vocab_path, True).encode
         share, before = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             ids, starts = [], []
-            for text in b.column(1).to_pylist():
-                ids.append((encode(text).tobytes() if text else b"") + end)
+            for own in encode(b.column(1).to_pylist()):
+                ids.append(own + end)
                 starts.append(before)
                 before += len(ids[-1]) // 4
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary()), pa.array([share] * len(ids), pa.int64()), pa.array(starts, pa.int64())], names=["doc_id", "ids", "share", "before"])

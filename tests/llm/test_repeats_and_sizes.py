@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import SF, VOCAB, brute_groups, docs, tokenizer, unpacked  # noqa: F401
 
-from sparsewell.llm import bpe, minhash, packing, quality, rules, secrets, urls, warc, wordpiece
+from sparsewell.llm import bpe, minhash, quality, rules, secrets, tokens, urls, warc, wordpiece
 
 
 def good_documents(spark, n=300):
@@ -118,14 +118,14 @@ def test_word_pieces_of_a_long_word():
 
 def test_ids_equal_over_all_code_points(tokenizer):  # noqa: F811
     """Pre-splitting depends on the class of each code point alone, so each is tried next to letters, digits, marks and spaces."""
-    encode = packing._encoder(VOCAB)
+    own = tokens.encoder(VOCAB, True)
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for at in range(0, len(points), 4096):
         texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}. {chr(c)}'s" for c in points[at : at + 4096]]
         if at > 0x20000 and at % (4096 * 16):  # beyond the planes with letters, some blocks will do
             continue
-        for text, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            assert encode(text).tolist() == e.ids, ascii(text)
+        for text, e, ids in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), own.encode(texts), strict=True):
+            assert unpacked(ids) == e.ids, ascii(text)
 
 
 def test_broken_archives_raise(spark, tmp_path):
