@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import measures, packing
-from .operators import algebra, layout, validate
+from .operators import algebra, layout, tiles, validate
 from .plans import solvers
 from .sources import files, fixtures, generator
 from .storage import materialize, new_path
@@ -106,6 +106,28 @@ def a17_touched_row_sum(s, d):
     return fixtures.purchases(s, d).groupBy(F.col("row_id").alias("idx")).agg(F.sum("value").cast("long").alias("total"))
 
 
+_LINES = "(SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE WHEN (l_orderkey * 8 + l_linenumber) % 3 = 0 THEN 0 ELSE l_partkey END AS col_id, l_quantity AS value FROM lineitem)"
+_SMALL_TILES = tiles.Grid(8192, 64, 512)
+
+
+@query(f"SELECT row_id AS idx, sum(a.value * x.value) AS value FROM {_LINES} a JOIN {_X} x ON col_id = idx GROUP BY 1")
+def p13_tiled_product(s, d):
+    return tiles.TiledMatrix(fixtures.order_lines(s, d)).touched_rows(_parts(s, d))
+
+
+@query(f"SELECT col_id AS idx, sum(value * (row_id % 5)) AS value FROM {_LINES} GROUP BY 1")
+def p13_tiled_transposed_product(s, d):
+    lines = fixtures.order_lines(s, d)
+    x = lines.select(F.col("row_id").alias("idx"), (F.col("row_id") % 5).cast("double").alias("value")).distinct()
+    return tiles.TiledMatrix(algebra.transpose(lines), _SMALL_TILES).touched_rows(x)
+
+
+@query(f"""SELECT row_id // {_SMALL_TILES.rows} AS tile_row, col_id // {_SMALL_TILES.cols} AS tile_col, count(*)::BIGINT AS nnz, count(*) > {_SMALL_TILES.entries} AS split, true AS bounded FROM {_LINES} GROUP BY 1, 2""")
+def p13_tile_loads(s, d):
+    loads = tiles.tile_loads(tiles.TiledMatrix(fixtures.order_lines(s, d), _SMALL_TILES).tiles)
+    return loads.select("tile_row", "tile_col", "nnz", (F.col("nnz") > _SMALL_TILES.entries).alias("split"), (F.col("largest") <= _SMALL_TILES.entries).alias("bounded"))
+
+
 # Conversions ---------------------------------------------------------------
 
 
@@ -734,20 +756,20 @@ def i2_true_residual(s, d):
     return residual.select((F.col("norm") < 1e-4).alias("small"))
 
 
-def _stored_blocks(s, d):
-    return materialize(layout.bitmap_blocks(fixtures.suppliers(s, d)), "blocks")
-
-
 @query(_SOLVED)
 def i5_pcg_blocked(s, d):
-    blocks = _stored_blocks(s, d)
-    return _x(_pcg(s, d, solvers.HOST, multiply=lambda x, rows: algebra.spmv(layout.unblock(blocks), x, rows)))
+    return _x(_pcg(s, d, solvers.HOST, multiply=layout.StoredBlocks(fixtures.suppliers(s, d)).multiply))
 
 
 @query(_SOLVED)
 def i6_pcg_windowed(s, d):
-    blocks = _stored_blocks(s, d)
-    return _x(_pcg(s, d, solvers.KERNEL, multiply=lambda x, rows: layout.windowed_product(blocks, x, rows)))
+    return _x(_pcg(s, d, solvers.KERNEL, multiply=layout.StoredBlocks(fixtures.suppliers(s, d), windowed=True).multiply))
+
+
+@query(_SOLVED)
+def i5_pcg_tiled(s, d):
+    own = tiles.TiledMatrix(fixtures.suppliers(s, d), tiles.Grid(256, 64, 512))
+    return _x(_pcg(s, d, solvers.HOST, multiply=own.multiply))
 
 
 @query(f"{_PCG} {_OUTCOME}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packing import lane_of_row
+from ..storage import discard, materialize_by
 from .algebra import COLUMN_BLOCK, pointers, prefix, with_positions
 
 # Fixed values of the layouts.
@@ -76,6 +77,32 @@ def windowed_product(blocks: DataFrame, x: DataFrame, rows: DataFrame) -> DataFr
     return rows.select("idx").join(sums, "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+class StoredBlocks:
+    """Bitmap blocks written by block column, with products that unpack them where they lie.
+
+    ``windowed`` adds partial sums by column window first.  A product moves the
+    values of x, four to a block column, and partial sums by row, never the blocks.
+    """
+
+    def __init__(self, matrix: DataFrame, windowed: bool = False, buckets: int | None = None):
+        self.windowed = windowed
+        buckets = buckets or int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.blocks = materialize_by(bitmap_blocks(matrix), "block_col", "blocks", buckets)
+
+    def multiply(self, x: DataFrame, rows: DataFrame) -> DataFrame:
+        """A x for every idx of ``rows``; rows without entries give 0.  ``x`` has at most one value for each idx."""
+        fours = x.groupBy(F.floor(F.col("idx") / BLOCK).alias("block_col")).agg(F.array(*(F.max(F.when(F.col("idx") % BLOCK == k, F.col("value"))) for k in range(BLOCK))).alias("x"))
+        met = self.blocks.join(fours, "block_col").select("block_row", "block_col", "x", F.explode("places").alias("p"))
+        row = F.col("block_row") * BLOCK + F.floor(F.col("p.place") / BLOCK)
+        terms = met.select(row.alias("idx"), F.floor(F.col("block_col") / WINDOW_BLOCKS).alias("window"), (F.col("p.value") * F.get("x", F.col("p.place") % BLOCK)).alias("part"))
+        terms = terms.groupBy("idx", "window").agg(F.sum("part").alias("part")) if self.windowed else terms
+        sums = terms.groupBy("idx").agg(F.sum("part").alias("value"))
+        return rows.select("idx").join(sums, "idx", "left").select("idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+    def close(self) -> None:
+        discard(self.blocks)
+
+
 def lane_slots(matrix: DataFrame, channels: int = 16) -> DataFrame:
     """Entries with batch, channel, lane and slot: lanes hold their entries by column, then row, without gaps."""
     placed = column_batches(matrix, channels).withColumn("pe", lane_of_row(F.col("row_id"), channels))

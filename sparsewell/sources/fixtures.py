@@ -36,3 +36,10 @@ def supplier_rhs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ids(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """Index column of a dimension table."""
     return table(spark, sf_dir, name).select(F.col(key).alias("idx"))
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by parts, value = quantity, where a third of all lines stands in column 0: a column that no hash can split."""
+    lines = table(spark, sf_dir, "lineitem")
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return lines.select(line.alias("row_id"), F.when(line % 3 == 0, F.lit(0)).otherwise(F.col("l_partkey")).cast("long").alias("col_id"), F.col("l_quantity").alias("value"))
