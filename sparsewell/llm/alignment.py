@@ -84,16 +84,17 @@ class _Aligned:
 
     def __init__(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray):
         self.ids_a, self.ids_b = ids_a, ids_b
-        at = np.searchsorted(ends_b, ends_a)
-        both = ends_b[at] == ends_a
-        self.last_a, self.last_b = np.flatnonzero(both), at[both]
-        self.ends = ends_a[both]
+        # ends are marked byte by byte, which takes no search
+        in_a, in_b = np.zeros((2, int(ends_a[-1]) + 1), bool)
+        in_a[ends_a], in_b[ends_b] = True, True
+        self.last_a, self.last_b = np.flatnonzero(in_b[ends_a]), np.flatnonzero(in_a[ends_b])
         self.first_a = np.concatenate([[0], self.last_a[:-1] + 1])
         self.first_b = np.concatenate([[0], self.last_b[:-1] + 1])
         self.n_a, self.n_b = self.last_a - self.first_a + 1, self.last_b - self.first_b + 1
         # every stretch between two ends of either side lies in one token of each: that is one link
-        cuts = np.union1d(ends_a, ends_b)
-        self.pairs = ids_a[np.searchsorted(ends_a, cuts)].astype(np.int64) << 16 | ids_b[np.searchsorted(ends_b, cuts)].astype(np.int64)
+        cuts = np.flatnonzero(in_a | in_b)
+        token_a, token_b = (np.cumsum(x) - x for x in (in_a[cuts].astype(np.int64), in_b[cuts].astype(np.int64)))
+        self.pairs = ids_a[token_a].astype(np.int64) << 16 | ids_b[token_b].astype(np.int64)
         self.n_links = self.n_a + self.n_b - 1
 
     def inside(self) -> tuple[np.ndarray, np.ndarray]:
