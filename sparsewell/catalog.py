@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import measures, packing
 from .operators import algebra, layout, tiles, validate
 from .plans import solvers
-from .sources import files, fixtures, generator
+from .sources import files, fixtures, generator, ranges
 from .storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,14 +19,23 @@ BUY = "(SELECT o_custkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS valu
 _SUP = """pairs AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 edges AS (SELECT a.l_suppkey AS row_id, b.l_suppkey AS col_id, -count(*)::DOUBLE AS value FROM pairs a JOIN pairs b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2),
 sup AS (SELECT * FROM edges UNION ALL SELECT s_suppkey, s_suppkey, coalesce(w, 0) + 1 FROM supplier LEFT JOIN (SELECT row_id, -sum(value) AS w FROM edges GROUP BY 1) ON row_id = s_suppkey)"""
-#: Literal rows with an empty row, a repeated entry, an explicit zero, a missing and a zero diagonal and a column out of range.
-EDGE_ROWS = ((0, 0, 2.0), (0, 1, 1.0), (0, 1, 3.0), (1, 1, 0.0), (2, 0, 5.0), (2, 9, 1.0), (4, 4, 1e-31), (4, 2, 0.0), (5, 5, 4.0), (5, 5, -1.0))
-EDGE = "(VALUES " + ", ".join(f"({r}, {c}, {v!r}::DOUBLE)" for r, c, v in EDGE_ROWS) + ") AS edge(row_id, col_id, value)"
-GRID, STEPS_JACOBI = 512, 5
+#: Suppliers by parts with repeated entries, explicit zeros, sums that vanish, columns out of range, and missing and zero diagonals.
+FAULTY = """(SELECT l_suppkey AS row_id, CASE WHEN l_linenumber = 6 THEN l_suppkey + 100000000 WHEN l_linenumber % 3 = 0 AND l_suppkey % 4 <> 1 THEN l_suppkey ELSE (l_partkey + l_suppkey % 2) % 50 + CASE WHEN (l_partkey + l_suppkey % 2) % 50 = l_suppkey THEN 50 ELSE 0 END END AS col_id,
+  CASE WHEN l_suppkey % 4 = 2 OR l_quantity < 5 THEN 0.0::DOUBLE ELSE l_quantity % 7 - 3 END AS value, l_orderkey * 8 + l_linenumber AS line FROM lineitem)"""
+STEPS_JACOBI = 5
 
 
-def edge(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGE_ROWS, "row_id long, col_id long, value double")
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = fixtures.table(spark, sf_dir, "lineitem")
+    supp, line = F.col("l_suppkey"), F.col("l_linenumber")
+    part = (F.col("l_partkey") + supp % 2) % 50
+    col = F.when(line == 6, supp + 100000000).when((line % 3 == 0) & (supp % 4 != 1), supp).otherwise(part + F.when(part == supp, 50).otherwise(0))
+    value = F.when((supp % 4 == 2) | (F.col("l_quantity") < 5), 0.0).otherwise(F.col("l_quantity") % 7 - 3)
+    return lines.select(supp.alias("row_id"), col.cast("long").alias("col_id"), value.alias("value"), (F.col("l_orderkey") * 8 + line).alias("line"))
+
+
+def _suppliers_idx(s: SparkSession, d: str) -> DataFrame:
+    return fixtures.ids(s, d, "supplier", "s_suppkey")
 
 
 def _six(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -209,23 +218,23 @@ def p11_narrowing(s, d):
 # Validation ----------------------------------------------------------------
 
 
-@query(f"""SELECT 0::BIGINT AS too_short, 0::BIGINT AS bad_first, 0::BIGINT AS bad_last, 0::BIGINT AS decreasing, count(*) FILTER (col_id < 0 OR col_id >= 6)::BIGINT AS bad_columns FROM {EDGE}""")
-def f1_pointer_violations(s, d):
-    rows = s.range(6).withColumnRenamed("id", "idx")
-    p = algebra.pointers(edge(s), rows)
-    ptr = p.select(F.col("row_id").alias("pos"), F.col("begin").alias("ptr")).unionAll(p.agg((F.max("row_id") + 1).alias("pos"), F.max("end").alias("ptr")))
-    return validate.pointer_violations(ptr, edge(s), 6)
+def _faulty_pointers(s: SparkSession, d: str) -> DataFrame:
+    p = algebra.pointers(_faulty(s, d), _suppliers_idx(s, d))
+    return p.select(F.col("row_id").alias("pos"), F.col("begin").alias("ptr")).unionAll(p.agg((F.max("row_id") + 1).alias("pos"), F.max("end").alias("ptr")))
 
 
-#: Pointers that break every rule but the least length.
-_BROKEN = ((0, 1), (1, 4), (2, 3), (3, 9), (4, 8))
-_BROKEN_SQL = "(VALUES " + ", ".join(map(str, _BROKEN)) + ") AS p(pos, ptr)"
+@query(f"""SELECT 0::BIGINT AS too_short, 0::BIGINT AS bad_first, 0::BIGINT AS bad_last, 0::BIGINT AS decreasing, count(*) FILTER (col_id < 0 OR col_id >= (SELECT count(*) FROM supplier))::BIGINT AS bad_columns FROM {FAULTY}""")
+def f1_pointer_violations(s, d):
+    return validate.pointer_violations(_faulty_pointers(s, d), _faulty(s, d), _suppliers_idx(s, d).count())
 
 
-@query(f"""SELECT (count(*) < 2)::BIGINT AS too_short, (min_by(ptr, pos) <> 0)::BIGINT AS bad_first, (max_by(ptr, pos) <> (SELECT count(*) FROM {EDGE}))::BIGINT AS bad_last,
-  (SELECT count(*) FROM {_BROKEN_SQL} JOIN (SELECT pos - 1 AS pos, ptr AS after FROM {_BROKEN_SQL}) USING (pos) WHERE after < ptr)::BIGINT AS decreasing, (SELECT count(*) FILTER (col_id < 0 OR col_id >= 3) FROM {EDGE})::BIGINT AS bad_columns FROM {_BROKEN_SQL}""")
+@query(f"""WITH n AS (SELECT s_suppkey AS pos, coalesce(n, 0) AS n FROM supplier LEFT JOIN (SELECT row_id, count(*) AS n FROM {FAULTY} GROUP BY 1) ON row_id = s_suppkey),
+p AS (SELECT pos, sum(n) OVER (ORDER BY pos) - n AS ptr FROM n UNION ALL SELECT max(pos) + 1, sum(n) FROM n),
+q AS (SELECT pos, ptr + 1 - CASE WHEN pos % 5 = 3 THEN 100000 ELSE 0 END AS ptr FROM p)
+SELECT 0::BIGINT AS too_short, 1::BIGINT AS bad_first, 1::BIGINT AS bad_last, (SELECT count(*) FROM q a JOIN q b ON b.pos = a.pos + 1 WHERE b.ptr < a.ptr)::BIGINT AS decreasing, (SELECT count(*) FILTER (col_id < 0 OR col_id >= 3) FROM {FAULTY})::BIGINT AS bad_columns""")
 def f1_broken_pointers(s, d):
-    return validate.pointer_violations(s.createDataFrame(_BROKEN, "pos long, ptr long"), edge(s), 3)
+    broken = _faulty_pointers(s, d).select("pos", (F.col("ptr") + 1 - F.when(F.col("pos") % 5 == 3, 100000).otherwise(0)).alias("ptr"))
+    return validate.pointer_violations(broken, _faulty(s, d), 3)
 
 
 @query(f"SELECT row_id, col_id, value FROM {BUY} WHERE row_id < 50 AND col_id < 50")
@@ -233,9 +242,9 @@ def f2_principal(s, d):
     return algebra.principal(fixtures.purchases(s, d), 50)
 
 
-@query(f"SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, sum(value) AS value FROM {EDGE} WHERE value <> 0 GROUP BY 1, 2 HAVING sum(value) <> 0")
+@query(f"SELECT row_id, col_id, sum(value) AS value FROM {FAULTY} WHERE value <> 0 GROUP BY 1, 2 HAVING sum(value) <> 0")
 def f3_drop_zeros(s, d):
-    return algebra.merge_duplicates(edge(s))
+    return algebra.merge_duplicates(_faulty(s, d))
 
 
 @query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup WHERE row_id <> col_id")
@@ -243,14 +252,15 @@ def f4_off_diagonal(s, d):
     return algebra.off_diagonal(fixtures.suppliers(s, d))
 
 
-@query(f"SELECT count(*) FILTER (v IS NULL)::BIGINT AS missing, count(*) FILTER (abs(v) <= 1e-30)::BIGINT AS too_small FROM range(6) r(i) LEFT JOIN (SELECT row_id, sum(value) AS v FROM {EDGE} WHERE row_id = col_id GROUP BY 1) ON row_id = i")
+@query(f"SELECT count(*) FILTER (v IS NULL)::BIGINT AS missing, count(*) FILTER (abs(v) <= 1e-30)::BIGINT AS too_small FROM supplier LEFT JOIN (SELECT row_id, sum(value) AS v FROM {FAULTY} WHERE row_id = col_id GROUP BY 1) ON row_id = s_suppkey")
 def f6_diagonal_violations(s, d):
-    return validate.diagonal_violations(edge(s), s.range(6).withColumnRenamed("id", "idx"))
+    return validate.diagonal_violations(_faulty(s, d), _suppliers_idx(s, d))
 
 
-@query("SELECT i::BIGINT AS code, (i & 131072) <> 0 AS padding FROM range(130000, 133000) r(i)")
+@query("SELECT l_orderkey * 8 + l_linenumber AS code, ((l_orderkey * 8 + l_linenumber) & 131072) <> 0 AS padding FROM lineitem")
 def f9_padding(s, d):
-    return s.range(130000, 133000).select(F.col("id").alias("code"), packing.is_padding(F.col("id")).alias("padding"))
+    code = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return fixtures.table(s, d, "lineitem").select(code.alias("code"), packing.is_padding(code).alias("padding"))
 
 
 # Layouts -------------------------------------------------------------------
@@ -266,21 +276,21 @@ def l2_slices(s, d):
     return layout.slices(fixtures.purchases(s, d))
 
 
-@query("SELECT i::BIGINT AS row_id, ((i // 2 % 8) * 2 + i // 16 % 2) * 8 + i // 32 % 8 AS lane FROM range(5000) r(i)")
+@query("SELECT i AS row_id, ((i // 2 % 8) * 2 + i // 16 % 2) * 8 + i // 32 % 8 AS lane FROM (SELECT o_orderkey AS i FROM orders)")
 def l3_lane_of_row(s, d):
-    return s.range(5000).select(F.col("id").alias("row_id"), packing.lane_of_row(F.col("id")).alias("lane"))
+    return fixtures.ids(s, d, "orders", "o_orderkey").select(F.col("idx").alias("row_id"), packing.lane_of_row(F.col("idx")).alias("lane"))
 
 
-@query(" UNION ALL ".join(f"SELECT {c}::INT AS channels, i::BIGINT AS row_id, ((i // 2 % 8) * {c // 8} + i // 16 % {c // 8}) * 8 + i // {2 * c} % 8 AS lane FROM range(3000) r(i)" for c in (8, 16, 24, 32)))
+@query(" UNION ALL ".join(f"SELECT {c}::INT AS channels, i AS row_id, ((i // 2 % 8) * {c // 8} + i // 16 % {c // 8}) * 8 + i // {2 * c} % 8 AS lane FROM (SELECT c_custkey AS i FROM customer)" for c in (8, 16, 24, 32)))
 def l4_lane_by_channels(s, d):
-    rows = F.array(*(F.struct(F.lit(c).alias("channels"), packing.lane_of_row(F.col("id"), c).alias("lane")) for c in (8, 16, 24, 32)))
-    return s.range(3000).select(F.col("id").alias("row_id"), F.explode(rows).alias("e")).select("e.channels", "row_id", "e.lane")
+    rows = F.array(*(F.struct(F.lit(c).alias("channels"), packing.lane_of_row(F.col("idx"), c).alias("lane")) for c in (8, 16, 24, 32)))
+    return _customers(s, d).select(F.col("idx").alias("row_id"), F.explode(rows).alias("e")).select("e.channels", "row_id", "e.lane")
 
 
-@query("SELECT i::BIGINT AS row_id, i::BIGINT AS restored FROM range(20000) r(i)")
+@query("SELECT o_orderkey AS row_id, o_orderkey AS restored FROM orders")
 def l5_restored_row(s, d):
-    r = F.col("id")
-    return s.range(20000).select(r.alias("row_id"), packing.global_row(packing.lane_of_row(r), packing.local_row(r)).cast("long").alias("restored"))
+    r = F.col("idx")
+    return fixtures.ids(s, d, "orders", "o_orderkey").select(r.alias("row_id"), packing.global_row(packing.lane_of_row(r), packing.local_row(r)).cast("long").alias("restored"))
 
 
 @query(f"SELECT row_id, col_id, ((col_id % 8192) << 50) | (((row_id // 256) * 2 + row_id % 2) << 32) AS place FROM {BUY}")
@@ -512,47 +522,53 @@ def a16_stage_totals(s, d):
 # Generator -----------------------------------------------------------------
 
 # The edge weights, mass term and vectors below are those of the generator.
-_COLS = generator.grid_shape(GRID)[1]
-_NODES = f"(SELECT i, i // {_COLS} AS r, i % {_COLS} AS c FROM range({GRID}) q(i))"
+# The grid has a node for every customer.
+_SIZE, _COLS = "(SELECT count(*) FROM customer)", "(SELECT ceil(sqrt(count(*)))::BIGINT FROM customer)"
+_LINE = f"(SELECT unnest(range(0, {_SIZE})) AS i)"
+_NODES = f"(SELECT i, i // {_COLS} AS r, i % {_COLS} AS c FROM {_LINE})"
 _CONTACT = "(0.08 + 0.03 * (1.0 + sin(0.23 * r + 0.19 * c)))"
 _GRID_SQL = f"""WITH n AS {_NODES}, e AS (
   SELECT i, i + 1 AS j, greatest(0.35, 1.4 + 0.18 * sin(0.17 * r) + 0.11 * cos(0.09 * c) + CASE WHEN r // 9 % 2 = 0 THEN 0.22 ELSE -0.08 END) AS w FROM n WHERE c + 1 < {_COLS}
   UNION ALL SELECT i, i + {_COLS}, greatest(0.25, 0.95 + 0.15 * cos(0.13 * r) + 0.14 * sin(0.11 * c) + CASE WHEN c // 11 % 3 = 1 THEN 0.20 ELSE 0.02 END) FROM n
-  UNION ALL SELECT i, i + {2 * _COLS + 1}, {_CONTACT} FROM n WHERE r % 13 = 5 AND c % 7 = 2 AND c + 1 < {_COLS}
-  UNION ALL SELECT i, i + {_COLS - 1}, 0.85 * {_CONTACT} FROM n WHERE r % 10 = 3 AND c % 9 = 4 AND c > 0),
-b AS (SELECT i AS row_id, j AS col_id, w FROM e WHERE j < {GRID} AND w > 0 UNION ALL SELECT j, i, w FROM e WHERE j < {GRID} AND w > 0),
+  UNION ALL SELECT i, i + 2 * {_COLS} + 1, {_CONTACT} FROM n WHERE r % 13 = 5 AND c % 7 = 2 AND c + 1 < {_COLS}
+  UNION ALL SELECT i, i + {_COLS} - 1, 0.85 * {_CONTACT} FROM n WHERE r % 10 = 3 AND c % 9 = 4 AND c > 0),
+b AS (SELECT i AS row_id, j AS col_id, w FROM e WHERE j < {_SIZE} AND w > 0 UNION ALL SELECT j, i, w FROM e WHERE j < {_SIZE} AND w > 0),
 grid AS (SELECT row_id, col_id, -sum(w) AS value FROM b GROUP BY 1, 2
   UNION ALL SELECT row_id, row_id, sum(w) FROM (SELECT row_id, w FROM b UNION ALL SELECT i, 0.18 + 0.04 * sin(0.07 * i) + 0.03 * cos(0.15 * r - 0.08 * c) FROM n) GROUP BY 1)"""
 
 
+def _grid_size(s: SparkSession, d: str) -> int:
+    return _customers(s, d).count()
+
+
 @query(f"{_GRID_SQL} SELECT row_id, col_id, round(value::DOUBLE, 9) AS value FROM grid")
 def s17_grid_matrix(s, d):
-    return _six(generator.grid_matrix(s, GRID), "value", digits=9)
+    return _six(generator.grid_matrix(s, _grid_size(s, d)), "value", digits=9)
 
 
-_BUMP = f"0.28 * exp(-pow((i - {(GRID - 1) * 0.63}::DOUBLE) / {max(8.0, GRID * 0.07)}::DOUBLE, 2))"
+_BUMP = f"0.28 * exp(-pow((i - greatest(1, {_SIZE} - 1)::DOUBLE * 0.63::DOUBLE) / greatest(8.0::DOUBLE, {_SIZE}::DOUBLE * 0.07::DOUBLE), 2))"
 _SOLUTION = f"SELECT i AS idx, (0.75 + 0.18 * sin(0.06 * r) + 0.12 * cos(0.08 * c) + 0.0009 * i + {_BUMP})::DOUBLE AS value FROM {_NODES}"
 
 
 @query(f"SELECT idx, round(value, 9) AS value FROM ({_SOLUTION})")
 def s20_grid_solution(s, d):
-    return _six(generator.grid_solution(s, GRID), "value", digits=9)
+    return _six(generator.grid_solution(s, _grid_size(s, d)), "value", digits=9)
 
 
 @query(f"SELECT i AS idx, round((0.09 * cos(0.04 * i) - 0.06 * sin(0.09 * r) + 0.03 * cos(0.21 * c))::DOUBLE, 9) AS value FROM {_NODES}")
 def s20_grid_guess(s, d):
-    return _six(generator.grid_guess(s, GRID), "value", digits=9)
+    return _six(generator.grid_guess(s, _grid_size(s, d)), "value", digits=9)
 
 
-@query(f"SELECT i AS idx, round((0.75 + 0.18 * sin(0.013 * i) + 0.12 * cos(0.017 * i) + 0.0000009 * i + {_BUMP})::DOUBLE, 9) AS value FROM range({GRID}) q(i)")
+@query(f"SELECT i AS idx, round((0.75 + 0.18 * sin(0.013 * i) + 0.12 * cos(0.017 * i) + 0.0000009 * i + {_BUMP})::DOUBLE, 9) AS value FROM {_LINE}")
 def s20_line_solution(s, d):
-    return _six(generator.line_solution(s, GRID), "value", digits=9)
+    return _six(generator.line_solution(s, _grid_size(s, d)), "value", digits=9)
 
 
 @query(f"{_GRID_SQL}, x AS ({_SOLUTION}) SELECT row_id AS idx, round(sum(grid.value * x.value)::DOUBLE, 8) AS value FROM grid JOIN x ON col_id = idx GROUP BY 1")
 def s21_manufactured_rhs(s, d):
-    x = generator.grid_solution(s, GRID)
-    return _six(algebra.spmv(generator.grid_matrix(s, GRID), x, x), "value", digits=8)
+    x = generator.grid_solution(s, _grid_size(s, d))
+    return _six(algebra.spmv(generator.grid_matrix(s, _grid_size(s, d)), x, x), "value", digits=8)
 
 
 @query(f"WITH {_SUP} SELECT row_id AS idx, sum(value) AS value FROM sup GROUP BY 1")
@@ -570,11 +586,46 @@ def s1_csr_folder(s, d):
     return files.load_matrix(s, path)
 
 
-@query(f"{_GRID_SQL} SELECT row_id, col_id, round(value::DOUBLE, 9) AS value FROM grid")
+def _written_purchases(s: SparkSession, d: str) -> str:
+    path = new_path(s, "binary")
+    n_rows, n_cols = _customers(s, d).agg(F.max("idx") + 1).first()[0], _parts(s, d).agg(F.max("idx") + 1).first()[0]
+    files.write_binary_csr(fixtures.purchases(s, d), n_rows, n_cols, path)
+    return path
+
+
+@query(f"SELECT row_id, col_id, value FROM {BUY}")
 def s12_binary_csr(s, d):
-    path = new_path(s, "binary") + ".cbd"
-    files.write_binary_csr(generator.grid_matrix(s, GRID), GRID, GRID, path)
-    return _six(files.load_matrix(s, path), "value", digits=9)
+    return files.load_matrix(s, _written_purchases(s, d))
+
+
+@query(f"SELECT row_id, col_id, value, row_number() OVER (ORDER BY row_id, col_id) - 1 AS place FROM {BUY}")
+def s13_binary_writer(s, d):
+    return ranges.matrix_entries(s, _written_purchases(s, d), split=1 << 16)
+
+
+@query(f"SELECT row_id, col_id, value FROM {BUY} WHERE row_id < 50 AND col_id < 50")
+def f2_pruned_file(s, d):
+    return algebra.principal(ranges.matrix_entries(s, _written_purchases(s, d)), 50).select("row_id", "col_id", "value")
+
+
+def _lines_in_order(s: SparkSession, d: str, path: str) -> str:
+    """The faulty matrix as a MatrixMarket file with its entries in order of lines, columns, values and rows."""
+    lines = _faulty(s, d).orderBy("line", "col_id", "value", "row_id").select("row_id", "col_id", "value")
+    files.write_matrix_market(lines, path, 1 << 30, 1 << 30)
+    return path
+
+
+@query(f"SELECT row_id AS idx, arg_min(value, row(line, value)) AS value FROM {FAULTY} WHERE row_id = col_id GROUP BY 1")
+def p8_first_diagonal(s, d):
+    return algebra.first_diagonal(ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 15))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY line, col_id, value, row_id) AS nth, row_id, col_id, value FROM {FAULTY}")
+def s8_file_order(s, d):
+    entries = ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 16)
+    block = F.floor(F.col("place") / (1 << 14))
+    placed = algebra.with_positions(entries, [], block, ["place"], "before")
+    return placed.select((F.col("before") + 1).alias("nth"), "row_id", "col_id", "value")
 
 
 @query(f"WITH {_SUP} SELECT row_id AS idx, sum(value) AS value FROM sup GROUP BY 1")
@@ -620,10 +671,10 @@ def s9_matrix_market(s, d):
     return files.load_matrix(s, path)
 
 
-@query(f"SELECT row_id::BIGINT AS row_id, col_id::BIGINT AS col_id, value FROM {EDGE}")
+@query(f"SELECT row_id, col_id, value FROM {FAULTY}")
 def s8_unmerged_entries(s, d):
     path = new_path(s, "raw") + ".mtx"
-    files.write_matrix_market(edge(s), path, 6, 10)
+    files.write_matrix_market(_faulty(s, d), path, 1 << 30, 1 << 30)
     return files.read_matrix_market(s, path, merged=False)
 
 
@@ -634,12 +685,12 @@ def s10_array_vector(s, d):
     return files.read_matrix_market_vector(s, path)
 
 
-@query("SELECT i AS idx, (CASE WHEN i % 3 = 0 THEN i + 0.5 ELSE 0 END)::DOUBLE AS value FROM range(100) r(i)")
+@query("SELECT s_suppkey AS idx, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE 0.0 END AS value FROM supplier")
 def s10_coordinate_vector(s, d):
     path = new_path(s, "vector")
-    i = F.col("id")
-    entries = s.range(100).where("id % 3 = 0").select(i.alias("row_id"), F.lit(0).alias("col_id"), (i + 0.5).alias("value"))
-    files.write_matrix_market(entries, path, 100, 1)
+    rows = fixtures.table(s, d, "supplier")
+    entries = rows.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("row_id"), F.lit(0).alias("col_id"), F.col("s_acctbal").alias("value"))
+    files.write_matrix_market(entries, path, rows.count(), 1)
     return files.read_matrix_market_vector(s, path)
 
 
@@ -799,11 +850,15 @@ _POLICY_OUTCOMES = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str((k, *v)) for k, v in _POLICY_OUTCOMES.items()) + ") AS v(policy, no_limit, flat, bad_tau, infinite)")
+@query("SELECT *, (SELECT count(*) FROM supplier) AS n_rows FROM (VALUES " + ", ".join(str((k, *v)) for k, v in _POLICY_OUTCOMES.items()) + ") AS v(policy, no_limit, flat, bad_tau, infinite)")
 def i14_policy_outcomes(s, d):
-    good = s.createDataFrame([(0, 0, 2.0), (1, 1, 4.0)], "row_id long, col_id long, value double")
-    flat = s.createDataFrame([(i, j, 1.0) for i in range(2) for j in range(2)], "row_id long, col_id long, value double")
-    vector = lambda *v: s.createDataFrame(list(enumerate(v)), "idx long, value double")
+    i = F.col("idx")
+    rows = _suppliers_idx(s, d)
+    good = materialize(rows.select(i.alias("row_id"), i.alias("col_id"), (2.0 + i % 3).alias("value")), "policy")
+    pairs = F.explode(F.array(i, i + 1 - 2 * (i % 2)))  # neighbours 0 and 1, 2 and 3, ...
+    flat = materialize(rows.select(i.alias("row_id"), pairs.alias("col_id"), F.lit(1.0).alias("value")), "policy")
+    b, odd = rows.select("idx", (2.0 + i % 3).alias("value")), rows.select("idx", (1.0 - 2 * (i % 2)).alias("value"))
+    endless = rows.select("idx", F.when(i == 0, float("inf")).otherwise(2.0 + i % 3).alias("value"))
 
     def outcome(*args, **more):
         try:
@@ -812,11 +867,11 @@ def i14_policy_outcomes(s, d):
         except (ArithmeticError, ValueError) as x:
             return type(x).__name__
 
-    rows = []
+    found = []
     for name in _POLICY_OUTCOMES:
         policy = getattr(solvers, name.upper())
-        rows.append((name, outcome(good, vector(2.0, 4.0), policy=policy), outcome(flat, vector(1.0, -1.0), max_iters=2, policy=policy), outcome(good, vector(2.0, 4.0), tau=-1.0, policy=policy), outcome(good, vector(float("inf"), 4.0), max_iters=2, policy=policy)))
-    return s.createDataFrame(rows, "policy string, no_limit string, flat string, bad_tau string, infinite string")
+        found.append((name, outcome(good, b, policy=policy), outcome(flat, odd, max_iters=2, policy=policy), outcome(good, b, tau=-1.0, policy=policy), outcome(good, endless, max_iters=2, policy=policy), rows.count()))
+    return s.createDataFrame(found, "policy string, no_limit string, flat string, bad_tau string, infinite string, n_rows long")
 
 
 @query(f"{_PCG} SELECT to_json({{status: 'converged', iterations: k, reached: true}})::VARCHAR AS report FROM done")

@@ -114,6 +114,11 @@ def diagonal(matrix: DataFrame, merged: bool = True) -> DataFrame:
     return own.agg((F.sum("value") if merged else F.min("value")).alias("value"))
 
 
+def first_diagonal(entries: DataFrame) -> DataFrame:
+    """Diagonal entries (idx, value) by row; of repeated ones that with the smallest ``place``, the first in its file."""
+    return entries.where("row_id = col_id").groupBy(F.col("row_id").alias("idx")).agg(F.min_by("value", "place").alias("value"))
+
+
 def off_diagonal(matrix: DataFrame) -> DataFrame:
     return matrix.where("row_id <> col_id")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, spmv, with_positions
 from ..operators.validate import pointer_violations, require_clean, row_steps
+from ..storage import discard, materialize
+from .ranges import BINARY, MARKET, PARQUET, matrix_entries, sniff, write_bytes
+
+#: Numbers of one part of a binary file.
+PART_NUMBERS = 1 << 20
 
 
 def _market_parts(spark: SparkSession, path: str) -> tuple[list[str], list[str], DataFrame]:
@@ -174,44 +179,65 @@ def write_csr_folder(matrix: DataFrame, rows: DataFrame, folder: str) -> None:
 
 
 def encode_binary_csr(ptr: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int) -> bytes:
-    """int32 rows, int32 columns, int64 entries, int64 pointers, int32 columns, float64 values."""
+    """A small matrix as one binary CSR file: int32 rows, int32 columns, int64 entries, int64 pointers, int32 columns, float64 values."""
     return struct.pack("<iiq", len(ptr) - 1, n_cols, len(cols)) + ptr.astype("<i8").tobytes() + cols.astype("<i4").tobytes() + values.astype("<f8").tobytes()
 
 
-def write_binary_csr(matrix: DataFrame, n_rows: int, n_cols: int, path: str, most: int = 1 << 20) -> None:
-    """Write a matrix of at most ``most`` entries as one binary CSR file; ValueError for a larger one, which Parquet is for.
+def write_binary_csr(matrix: DataFrame, n_rows: int, n_cols: int, path: str) -> None:
+    """Write a matrix as binary CSR, a folder of ordered parts: head, pointers, columns, values.
 
-    The format keeps its pointers in front of all entries, so the driver puts it together.
+    The places of entries are prefix sums over blocks of rows and columns, so every
+    part follows from its places alone: tasks write parts of a fixed number of
+    rows or entries, a lost task writes the same bytes again, and nothing passes
+    through the driver.  Repeated entries stay, in order of their values.
     """
-    rows = matrix.select("row_id", "col_id", "value").orderBy("row_id", "col_id", "value").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} entries")
-    row, col, value = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.int64, np.int64, np.float64)))
-    ptr = np.searchsorted(row, np.arange(n_rows + 1))
     spark = matrix.sparkSession
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = file.getFileSystem(spark._jsc.hadoopConfiguration()).create(file)
-    try:
-        out.write(bytearray(encode_binary_csr(ptr, col, value, n_cols)))
-    finally:
-        out.close()
+    entries = materialize(matrix.select("row_id", "col_id", F.col("value").cast("double").alias("value")), "binary-csr")
+    ptr = pointers(entries, spark.range(n_rows).withColumnRenamed("id", "idx"))
+    ptr = materialize(ptr.select(F.col("row_id").alias("pos"), F.col("end").alias("value")), "binary-csr-pointers")
+    size = entries.agg(F.count("*").alias("nnz"), F.count_if((F.col("row_id") < 0) | (F.col("row_id") >= n_rows) | (F.col("col_id") < 0) | (F.col("col_id") >= n_cols)).alias("outside")).first()
+    if size.outside or max(n_rows, n_cols) >= 1 << 31:
+        raise ValueError(f"{size.outside} entries outside {n_rows} rows and {n_cols} columns")
+    inside = with_positions(entries, ["row_id"], F.floor(F.col("col_id") / COLUMN_BLOCK), ["col_id", "value"], "inside")
+    begin = ptr.select((F.col("pos") + 1).alias("row_id"), F.col("value").alias("begin"))
+    placed = inside.join(begin, "row_id", "left").select((F.coalesce("begin", F.lit(0)) + F.col("inside")).alias("pos"), "col_id", "value")
+    head = struct.pack("<iiq", n_rows, n_cols, size.nnz) + bytes(8)  # the first pointer is 0
+
+    def parts(name: str, fields: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, held = None, []
+
+            def write() -> pa.RecordBatch:
+                for k, (field, kind) in enumerate(fields.items()):
+                    write_bytes(f"{path}/{name}{field}-{block:012d}", np.concatenate([h[k] for h in held]).astype(kind).tobytes())
+                return pa.record_batch([pa.array([block], pa.int64())], names=["block"])
+
+            for b in batches:
+                blocks = b.column(0).to_numpy()
+                change = np.flatnonzero(blocks[1:] != blocks[:-1]) + 1
+                for start, end in zip([0, *change.tolist()], [*change.tolist(), b.num_rows], strict=True):
+                    if start < end:
+                        if held and block != blocks[start]:
+                            yield write()
+                            held = []
+                        block = int(blocks[start])
+                        held.append([b.column(2 + k).to_numpy(zero_copy_only=False)[start:end] for k in range(len(fields))])
+            if held:
+                yield write()
+
+        return run
+
+    write_bytes(f"{path}/0-head", head)
+    for table, name, fields in ((ptr, "1-", {"value": "<i8"}), (placed, "2-", {"col_id": "<i4", "value": "<f8"})):
+        blocked = table.select(F.floor(F.col("pos") / PART_NUMBERS).alias("block"), "pos", *fields)
+        blocked.repartition("block").sortWithinPartitions("block", "pos").mapInArrow(parts(name, fields), "block long").agg(F.count("*")).collect()
+    discard(entries)
+    discard(ptr)
 
 
 def read_binary_csr(spark: SparkSession, path: str) -> DataFrame:
-    """Edge table of binary CSR files; entries leave the reader in batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                m, _, nnz = struct.unpack_from("<iiq", data)
-                ptr = np.frombuffer(data, "<i8", m + 1, 16)
-                cols = np.frombuffer(data, "<i4", nnz, 16 + 8 * (m + 1))
-                values = np.frombuffer(data, "<f8", nnz, 16 + 8 * (m + 1) + 4 * nnz)
-                for at in range(0, nnz, 1 << 18):
-                    span = np.arange(at, min(nnz, at + (1 << 18)))
-                    yield pa.record_batch([pa.array(np.searchsorted(ptr, span, "right") - 1, pa.int64()), pa.array(cols[span].astype(np.int64)), pa.array(values[span])], names=["row_id", "col_id", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, col_id long, value double")
+    """Edge table of a binary CSR file or folder of parts; see ``ranges``."""
+    return matrix_entries(spark, path).select("row_id", "col_id", "value")
 
 
 def metadata_pairs(lines: DataFrame) -> DataFrame:
@@ -272,14 +298,14 @@ def select_datasets(asked: Iterable[str], known: dict[str, int], default: str) -
 
 
 def load_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Reader by what is there: a CSR folder, or by name .mtx, .cbd or .parquet; ValueError for anything else."""
+    """Reader by what is there, whatever its name: a CSR folder, or by their first bytes MatrixMarket, binary CSR or Parquet; ValueError for anything else."""
     if is_csr_folder(spark, path):
         return read_csr_dataset(spark, path)
-    readers = {".mtx": read_matrix_market, ".cbd": read_binary_csr, ".parquet": lambda s, p: s.read.parquet(p)}
-    for end, read in readers.items():
-        if path.endswith(end):
-            return read(spark, path)
-    raise ValueError(f"no matrix in {path}")
+    kind = sniff(path) if _exists(spark, path) else None
+    readers = {MARKET: read_matrix_market, BINARY: read_binary_csr, PARQUET: lambda s, p: s.read.parquet(p)}
+    if kind is None:
+        raise ValueError(f"no matrix in {path}")
+    return readers[kind](spark, path)
 
 
 def read_through(spark: SparkSession, path: str, cache: str) -> DataFrame:
