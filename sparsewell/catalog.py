@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import measures, packing
 from .operators import algebra, layout, tiles, validate
-from .plans import solvers
-from .sources import files, fixtures, generator, ranges
+from .plans import report, solvers
+from .sources import discovery, files, fixtures, generator, ranges
 from .storage import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -702,6 +702,37 @@ def s14_read_through(s, d):
     return files.read_through(s, path, cache)
 
 
+def _data_folders(s: SparkSession, d: str) -> str:
+    """Five folders: one without metadata, two with sizes in either form, one without values, one with a bad size."""
+    root = new_path(s, "data")
+    suppliers, rows = fixtures.suppliers(s, d), _suppliers_idx(s, d)
+    bought = fixtures.purchases(s, d).where("row_id < 40 and col_id < 40")
+    few = _customers(s, d).where("idx < 40")
+    for name, matrix, over in (("plain", suppliers, rows), ("stated", suppliers, rows), ("deep/er", bought, few), ("broken", bought, few), ("odd", bought, few)):
+        files.write_csr_folder(matrix, over, f"{root}/{name}")
+    files.write_metadata(s, {"name": "suppliers", "n": rows.count(), "nnz": suppliers.count(), "source": "supplier"}, f"{root}/stated/meta.txt")
+    s.createDataFrame([(f'{{"name": "bought", "shape": "[40, 40]", "nnz_csr": {bought.count()}}}',)], "value string").coalesce(1).write.text(f"{root}/deep/er/meta.json")
+    files.write_metadata(s, {"n": "many", "nnz": 3}, f"{root}/odd/meta.txt")
+    files.remove(s, f"{root}/broken/values.txt")
+    return root
+
+
+_FEW = f"(SELECT count(*) FROM {BUY} WHERE row_id < 40 AND col_id < 40)"
+
+
+@query(f"""WITH {_SUP}, size AS (SELECT (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM sup) AS nnz)
+SELECT 'plain' AS name, n, nnz, NULL::VARCHAR AS problem FROM size UNION ALL SELECT 'suppliers', n, nnz, NULL FROM size UNION ALL SELECT 'bought', 40, {_FEW}, NULL
+UNION ALL SELECT 'broken', 40, {_FEW}, 'missing values.txt' UNION ALL SELECT 'odd', NULL, 3, 'no valid size'""")
+def s26_discovered_datasets(s, d):
+    return discovery.discover_datasets(s, _data_folders(s, d)).select("name", "n", "nnz", "problem")
+
+
+@query(f"SELECT name, n, {_FEW} AS nnz, r::BIGINT AS rows FROM (VALUES ('bought_n10', 40::BIGINT, 10), ('bought', 40, 40)) AS v(name, n, r)")
+def s26_selected_datasets(s, d):
+    found = discovery.discover_datasets(s, _data_folders(s, d))
+    return discovery.selected(found, ["bought_n10, bought"], "plain").select("name", "n", "nnz", "rows")
+
+
 @query(f"WITH {_SUP}, sums AS (SELECT row_id, sum(value) AS v FROM sup GROUP BY 1) SELECT row_number() OVER (ORDER BY row_id) - 1 AS pos, v AS value FROM sums")
 def s25_number_file(s, d):
     path = new_path(s, "numbers")
@@ -823,6 +854,61 @@ def i5_pcg_tiled(s, d):
     return _x(_pcg(s, d, solvers.HOST, multiply=own.multiply))
 
 
+# Measured runs: times differ from run to run, so queries give what must hold for them.
+
+
+@query(f"""{_PCG} SELECT 'setup' AS stage, 3::BIGINT AS calls, true AS took_time FROM done UNION ALL SELECT 'init', 1, true FROM done UNION ALL SELECT 'product', k, true FROM done
+UNION ALL SELECT 'update', k, true FROM done UNION ALL SELECT 'other', 1, true FROM done""")
+def a16_measured_stages(s, d):
+    stages = _pcg(s, d).clock.table(s)
+    return stages.select("stage", "calls", (F.col("seconds") > 0).alias("took_time"))
+
+
+@query(f"""{_PCG} SELECT 2 * (SELECT count(*) FROM sup) * k AS operations, true AS positive, true AS adds_up FROM done""")
+def a15_measured_throughput(s, d):
+    a = materialize(fixtures.suppliers(s, d), "matrix")
+    solved = solvers.pcg(a, fixtures.supplier_rhs(s, d), tau=TAU, max_iters=100)
+    made = report.run_report(solved, a, fixtures.supplier_rhs(s, d), {})
+    product = F.filter("timing", lambda t: t.stage == "product")[0]
+    total = F.aggregate("timing", F.lit(0.0), lambda n, t: n + t.seconds)
+    rate = F.col("operations") / product.seconds / 1e9
+    sized = made.withColumn("operations", 2 * F.col("dataset.nnz") * product.calls)
+    return sized.select("operations", ((F.col("product_gflops") > 0) & (F.abs(F.col("product_gflops") / rate - 1) < 1e-9)).alias("positive"), (F.abs(total / F.col("wall_seconds") - 1) < 0.01).alias("adds_up"))
+
+
+@query(f"{_PCG} SELECT 'converged' AS status, k::BIGINT AS iterations, k::BIGINT AS products, k::BIGINT AS updates, (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM sup) AS nnz, true AS small FROM done")
+def i8_pcg_graph_metrics(s, d):
+    a, b = materialize(fixtures.suppliers(s, d), "matrix"), fixtures.supplier_rhs(s, d)
+    made = report.run_report(solvers.pcg(a, b, tau=TAU, max_iters=100, policy=solvers.GRAPH), a, b, {"policy": "graph"})
+    calls = lambda stage: F.filter("timing", lambda t: t.stage == stage)[0].calls
+    return made.select("result.status", "result.iterations", calls("product").alias("products"), calls("update").alias("updates"), "dataset.n", "dataset.nnz", (F.col("result.residual_rel") < 1e-5).alias("small"))
+
+
+def _report(s: SparkSession, d: str) -> DataFrame:
+    a, b = materialize(fixtures.suppliers(s, d), "matrix"), fixtures.supplier_rhs(s, d)
+    solved = solvers.pcg(a, b, tau=TAU, max_iters=100)
+    return report.run_report(solved, a, b, {"tau": TAU, "max_iters": 100, "policy": "host"}, {"true_residual": solvers.true_residual(a, solved.solution, b).first()[0]})
+
+
+@query(f"{_PCG} SELECT h.iteration, round(log10(h.rr), 3) AS log_rr, k::BIGINT AS iterations, (SELECT count(*) FROM sup) AS nnz, 'host' AS policy, true AS small FROM history h, done WHERE h.iteration > 0")
+def s27_full_report(s, d):
+    path = new_path(s, "report")
+    report.as_json(_report(s, d)).write.text(path)
+    back = report.from_json(s.read.text(path).withColumnRenamed("value", "report"))
+    steps = back.select("result.iterations", "dataset.nnz", F.col("config")["policy"].alias("policy"), (F.col("errors")["true_residual"] < 1e-4).alias("small"), F.explode("trace").alias("t"))
+    return steps.select("t.iteration", F.round(F.log10("t.rr"), 3).alias("log_rr"), "iterations", "nnz", "policy", "small")
+
+
+@query(f"{_PCG} SELECT 'iteration' AS tag, k::BIGINT AS lines FROM done UNION ALL SELECT tag, n FROM (VALUES ('config', 3::BIGINT), ('dataset', 1), ('result', 1), ('error', 1), ('stage', 5), ('total', 1)) AS v(tag, n)")
+def s27_report_lines(s, d):
+    path = new_path(s, "report")
+    report.as_lines(_report(s, d)).orderBy("at").select("value").write.text(path)
+    first = {"config": 1, "dataset": 2, "result": 7, "error": 1, "stage": 4, "total": 2, "iteration": 6}
+    width = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
+    records = files.report_records(s.read.text(path)).groupBy("tag").agg(F.count("*").alias("n"))
+    return records.select("tag", (F.col("n") / width[F.col("tag")]).cast("long").alias("lines"))
+
+
 @query(f"{_PCG} {_OUTCOME}")
 def i8_pcg_graph_outcome(s, d):
     return _outcome(s, _pcg(s, d, solvers.GRAPH))

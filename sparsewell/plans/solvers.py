@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.algebra import FP64, diagonal, off_diagonal, spmv
-from ..operators.validate import outside
-from ..storage import discard, materialize_by
+from ..operators.validate import diagonal_violations, outside
+from ..storage import discard, materialize, materialize_by
+from .clock import Clock
 
 CONVERGED, MAX_ITER, BREAKDOWN = "converged", "max_iter", "breakdown"
 
@@ -70,6 +71,7 @@ class Result:
     solution: DataFrame
     trace: list[tuple[int, float, float, float, float, float]]
     rr0: float = 0.0
+    clock: Clock | None = None
 
     def trace_table(self) -> DataFrame:
         spark = self.solution.sparkSession
@@ -103,13 +105,12 @@ def _observed(df: DataFrame, tag: str, buckets: int, **sums: Column) -> tuple[Da
 
 def _checked(matrix: DataFrame, b: DataFrame, least: float) -> tuple[DataFrame, int]:
     """(idx, b, d) and the number of rows; ValueError for a bad diagonal or entries outside the rows of ``b``."""
-    start = b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left")
-    n, bad = start.agg(F.count("*"), F.count_if(F.col("d").isNull() | (F.abs("d") <= least))).first()
+    bad = sum(diagonal_violations(matrix, b, least).first())
     if bad:
         raise ValueError(f"{bad} missing or too small diagonal entries")
     if outside(matrix, b).limit(1).count():
         raise ValueError("the matrix is not square over the rows of the right-hand side")
-    return start, n
+    return b.select("idx", F.col("value").alias("b")).join(diagonal(matrix).withColumnRenamed("value", "d"), "idx", "left"), b.count()
 
 
 def _buckets(df: DataFrame) -> int:
@@ -132,21 +133,34 @@ def pcg(
     mode: str = FP64,
     multiply: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
     stored: bool = False,
+    clock: Clock | None = None,
 ) -> Result:
     """Solve A x = b; ``b`` holds every index.  max_iters 0 means max(4 n, 1000) unless the policy takes it as it is.
 
     ``multiply(x, rows)`` may replace the product of the edge table with x.  The
     matrix is written once by column, so that iterations read it where it lies;
     ``stored`` says that it is such a table already.  Repeated entries of a place
-    count as their sum, on the diagonal too.
+    count as their sum, on the diagonal too.  ``clock`` takes the time of the
+    stages setup (the matrix is written and checked), init (the first residual),
+    product (A p and p.Ap, once an iteration) and update (x, r and z, once an
+    iteration that does not break down).
     """
+    clock = clock or Clock()
+    with clock.running():
+        return _pcg(matrix, b, x0, tau, max_iters, policy, mode, multiply, stored, clock)
+
+
+def _pcg(matrix: DataFrame, b: DataFrame, x0: DataFrame | None, tau: float, max_iters: int, policy: Policy, mode: str, multiply: Callable[[DataFrame, DataFrame], DataFrame] | None, stored: bool, clock: Clock) -> Result:
     if tau <= 0 or max_iters < 0 or not b.limit(1).count():
         if policy.strict_arguments:
             raise ValueError("tau must be positive, max_iters not negative and b not empty")
-        return Result(BREAKDOWN, 0, 0.0, b.select("idx", F.lit(0.0).alias("value")), [])
+        return Result(BREAKDOWN, 0, 0.0, b.select("idx", F.lit(0.0).alias("value")), [], clock=clock)
     buckets = _buckets(b)
-    copied = not stored and multiply is None
-    matrix = materialize_by(matrix.select("row_id", "col_id", "value"), "col_id", "matrix", buckets) if copied else matrix
+    copied = not stored
+    with clock.stage("setup"):
+        entries = matrix.select("row_id", "col_id", "value")
+        if copied:  # another product has its own table, and only the checks read this one
+            matrix = materialize_by(entries, "col_id", "matrix", buckets) if multiply is None else materialize(entries, "matrix")
     multiply = multiply or (lambda x, rows: spmv(matrix, x, rows, mode))
     tables: list[DataFrame] = [matrix] if copied else []
 
@@ -156,17 +170,20 @@ def pcg(
             tables.remove(t)
 
     try:
-        start, n = _checked(matrix, b, policy.least_diagonal)
+        with clock.stage("setup"):
+            start, n = _checked(matrix, b, policy.least_diagonal)
         limit = max(4 * n, 1000) if policy.auto_max and max_iters == 0 else max_iters
         start = start.join(x0.select("idx", F.col("value").alias("x")), "idx", "left") if x0 is not None else start.withColumn("x", F.lit(0.0))
-        start = materialize_by(start.withColumn("x", F.coalesce("x", F.lit(0.0))), "idx", "pcg", buckets)
+        with clock.stage("setup"):
+            start = materialize_by(start.withColumn("x", F.coalesce("x", F.lit(0.0))), "idx", "pcg", buckets)
         tables.append(start)
         precondition = lambda r: F.col(r) / F.col("d") if policy.divide else F.col(r) * (1 / F.col("d"))
         sums = {"rz": F.col("r") * F.col("z"), "rr": F.col("r") * F.col("r")}
         rows = start.select("idx")
         ax = multiply(start.select("idx", F.col("x").alias("value")), rows)
         state = start.join(ax.withColumnRenamed("value", "ax"), "idx").withColumn("r", F.col("b") - F.col("ax")).withColumn("z", precondition("r")).withColumn("p", F.lit(0.0))
-        state, (rz, rr) = _observed(state.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
+        with clock.stage("init"):
+            state, (rz, rr) = _observed(state.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
         tables.append(state)
         trace: list[tuple[int, float, float, float, float, float]] = []
         done, status, rr0, beta = 0, None, rr, None
@@ -177,7 +194,8 @@ def pcg(
             # the direction of the last iteration is brought up to date as it is read
             state_now = state.withColumn("p", F.col("z") if beta is None else F.col("z") + beta * F.col("p"))
             ap = multiply(state_now.select("idx", F.col("p").alias("value")), rows).withColumnRenamed("value", "ap")
-            with_ap, (pap,) = _observed(state_now.join(ap, "idx"), "pcg", buckets, pap=F.col("p") * F.col("ap"))
+            with clock.stage("product"):
+                with_ap, (pap,) = _observed(state_now.join(ap, "idx"), "pcg", buckets, pap=F.col("p") * F.col("ap"))
             tables.append(with_ap)
             forget(state)
             state = with_ap
@@ -188,7 +206,8 @@ def pcg(
                 break
             alpha = _ratio(rz, pap)
             stepped = with_ap.withColumn("x", F.col("x") + alpha * F.col("p")).withColumn("r", F.col("r") - alpha * F.col("ap")).withColumn("z", precondition("r"))
-            state, (new_rz, rr) = _observed(stepped.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
+            with clock.stage("update"):
+                state, (new_rz, rr) = _observed(stepped.select("idx", "d", "x", "r", "z", "p"), "pcg", buckets, **sums)
             tables.append(state)
             forget(with_ap)
             beta = _ratio(new_rz, rz)
@@ -199,7 +218,7 @@ def pcg(
                 status = BREAKDOWN
                 break
         tables.remove(state)  # the solution reads it
-        return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace, rr0)
+        return Result(status or (CONVERGED if rr <= tau else MAX_ITER), done, rr, state.select("idx", F.col("x").alias("value")), trace, rr0, clock)
     finally:
         forget(*list(tables))
 

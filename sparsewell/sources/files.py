@@ -261,6 +261,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def _read_if_there(spark: SparkSession, path: str) -> dict[str, str]:
     return read_metadata(spark, path) if _exists(spark, path) else {}
 

@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_TABLE = "sparsewell_tmp_"
+
+def _prefix(spark: SparkSession) -> str:
+    """Beginning of the names of this application's tables: a metastore may be shared with others."""
+    return "sparsewell_tmp_" + "".join(c if c.isalnum() else "_" for c in spark.sparkContext.applicationId.lower()) + "__"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +52,7 @@ def materialize_by(df: DataFrame, key: str, tag: str, buckets: int) -> DataFrame
     The catalog entry and the files go with ``discard``.
     """
     spark = df.sparkSession
-    path, name = new_path(spark, tag), f"{_TABLE}{uuid.uuid4().hex}"
+    path, name = new_path(spark, tag), f"{_prefix(spark)}{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, key)  # nothing moves if ``df`` lies that way already
     dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     out = spark.table(name)
@@ -78,6 +81,6 @@ def discard_all(spark: SparkSession) -> None:
     Results are lazy and read these tables, so whoever owns the session calls
     this once the results are written.
     """
-    for table in spark.catalog.listTables(pattern=f"{_TABLE}*"):
+    for table in spark.catalog.listTables(pattern=f"{_prefix(spark)}*"):
         spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     _delete(spark, run_folder(spark))
