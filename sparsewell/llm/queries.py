@@ -148,9 +148,10 @@ def _url_sql() -> str:
 WITH s AS (SELECT page_id, url, position('://' IN coalesce(url, '')) AS p FROM pages),
 u AS (SELECT page_id, CASE WHEN p = 0 THEN '' ELSE regexp_extract(substr(url, p + 3), '^[^/?#]*') END AS h, CASE WHEN p = 0 THEN '' ELSE regexp_extract(substr(url, p + 3), '(?s)^[^/?#]*([^?#]*)', 1) END AS path FROM s),
 c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
-k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare FROM c)
+k AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare,
+  array_to_string(list_transform(regexp_extract_all(path, '(?s)%[0-9A-Fa-f][0-9A-Fa-f]|.'), lambda x: CASE WHEN length(x) = 3 AND regexp_full_match(chr(('0x' || substr(x, 2))::INT), '[A-Za-z0-9._~-]') THEN chr(('0x' || substr(x, 2))::INT) ELSE x END), '') AS plain FROM c)
 SELECT page_id, host, path, CASE {names} END AS rule,
-  CASE {verdicts} WHEN regexp_full_match('.' || bare || path, '(?s)({globs})') THEN 'block' ELSE 'allow' END AS verdict FROM k"""
+  CASE {verdicts} WHEN regexp_full_match('.' || bare || plain, '(?s)({globs})') THEN 'block' ELSE 'allow' END AS verdict FROM k"""
 
 _CONTAMINATION_SQL = rf"""
 WITH w AS (SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),

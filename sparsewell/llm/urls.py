@@ -9,8 +9,9 @@ same few array operations whatever the number of rules.
 
 Globs are matched against the canonical form ``.host/path``: ``*`` runs over
 any bytes but ``/`` and ``**`` over any bytes.  The canonical host is in small
-letters, without user, port and final dot; the path is as it stands (nothing is
-percent-decoded).  Explicit rules are matched against host and path as reported.
+letters, without user, port and final dot; in the canonical path unreserved
+characters stand for themselves, not percent-encoded.  Explicit rules are matched
+against host and path as reported.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 ALLOW, BLOCK = "allow", "block"
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 @dataclass(frozen=True)
@@ -73,11 +75,14 @@ _ENDINGS = "7z apk avi bin bmp css dmg exe gif gz ico iso jar jpeg jpg js mov mp
 
 
 def production_globs() -> tuple[str, ...]:
-    """Hosts with a label that is or begins with a listed word and a dash, paths with a listed part, and endings of files without text."""
+    """Hosts below a registered domain with a label that is a listed word or begins with one and a dash, paths with a listed part, and endings of files without text.
+
+    The domain itself is never judged by its name: at least two labels follow.
+    """
     out = []
     for words in _HOST_LABELS.values():
         for w in words.split():
-            out += [f"*.{w}.**", f"*.{w}-*.**"]
+            out += [f"*.{w}.*.**", f"*.{w}-*.*.**"]
     for words in _PATH_PARTS.values():
         for w in words.split():
             out += [f"**/{w}", f"**/{w}/**"]
@@ -86,12 +91,27 @@ def production_globs() -> tuple[str, ...]:
 
 BLOCK_GLOBS = production_globs()
 
+
+def globs_of_list(lines: Sequence[str]) -> tuple[str, ...]:
+    """Globs of a filter list: ``||host^`` and ``||host/path`` fit a host with all below it, other lines are globs; blank lines and those after ``!`` or ``#`` are comments."""
+    out = []
+    for line in (x.strip() for x in lines):
+        if not line or line[0] in "!#":
+            continue
+        if not line.startswith("||"):
+            out.append(line)
+            continue
+        host, slash, path = line[2:].removesuffix("^").partition("/")
+        host = host.translate(_LOWER)
+        out += [f"*.{host}/{path}**"] if slash else [f"*.{host}", f"*.{host}/**"]
+    return tuple(out)
+
 #: Longest strings of a batch that are not stepped together with the others.
 ALONE = 2
 
 _SCHEME_REST = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
+_UNRESERVED = re.compile(r"%(2[DEde]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])")
 _PORT = re.compile(r":[0-9]*\Z")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -105,6 +125,11 @@ def canonical_host(host: str) -> str:
     return _PORT.sub("", host.rpartition("@")[2]).removesuffix(".")
 
 
+def canonical_path(path: str) -> str:
+    """A path with its percent-encoded letters, digits and ``-._~`` decoded, once."""
+    return _UNRESERVED.sub(lambda m: chr(int(m[1], 16)), path) if "%" in path else path
+
+
 class ShiftAnd:
     """Multiword Shift-And machine of glob patterns."""
 
@@ -195,10 +220,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, block_globs: Seq
         for b in batches:
             parts = [split_url(u) for u in b.column(1).to_pylist()]
             hits = machine.run([f".{h}{p}".encode() for h, p in parts])
-            # few hosts have a user, a port or a final dot
-            other = [(i, c) for i, (h, _) in enumerate(parts) if (c := canonical_host(h)) != h]
+            # few hosts have a user, a port or a final dot, and few paths are encoded
+            other = [(i, c) for i, p in enumerate(parts) if (c := (canonical_host(p[0]), canonical_path(p[1]))) != p]
             if other:
-                again = machine.run([f".{c}{parts[i][1]}".encode() for i, c in other])
+                again = machine.run([f".{h}{p}".encode() for _, (h, p) in other])
                 hits[[i for i, _ in other], len(ranked) :] = again[:, len(ranked) :]
             names, verdicts = [], []
             for row in hits:
