@@ -337,6 +337,14 @@ def l14_window_pointers(s, d):
     return layout.window_pointers(layout.bitmap_blocks(fixtures.suppliers(s, d)), n, n)
 
 
+@query(f"""WITH size AS (SELECT ((SELECT max(c_custkey) FROM customer) + 4) // 4 AS nb),
+n AS (SELECT col_id // 512 AS "window", row_id // 4 AS block_row, count(DISTINCT col_id // 4) AS n FROM {BUY} GROUP BY 1, 2), c AS (SELECT *, "window" * nb + block_row AS cell FROM n, size)
+SELECT "window", block_row, (sum(n) OVER o - n)::BIGINT AS "begin", (sum(n) OVER o)::BIGINT AS "end", (cell - lag(cell, 1, -1) OVER o - 1)::BIGINT AS empty_before FROM c WINDOW o AS (ORDER BY cell)""")
+def l14_filled_windows(s, d):
+    n_rows, n_cols = _customers(s, d).agg(F.max("idx") + 1).first()[0], _parts(s, d).agg(F.max("idx") + 1).first()[0]
+    return layout.filled_windows(layout.bitmap_blocks(fixtures.purchases(s, d)), n_rows, n_cols)
+
+
 @query(_AX)
 def k7_spmv_windowed(s, d):
     return layout.windowed_product(layout.bitmap_blocks(fixtures.purchases(s, d)), _parts(s, d), _customers(s, d))

@@ -68,6 +68,26 @@ def window_pointers(blocks: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     return found.select(F.floor(F.col("row_id") / per_window).alias("window"), (F.col("row_id") % per_window).alias("block_row"), "begin", "end")
 
 
+def filled_windows(blocks: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """``window_pointers`` of filled cells only: window, block_row, begin, end, and how many empty cells stand before.
+
+    Its size is that of the filled cells, whatever the grid.  Prefix sums and
+    neighbours run inside ranges of cells and over range totals, of which there
+    are at most 2**20.
+    """
+    per_window, windows = -(-n_rows // BLOCK), -(-n_cols // (WINDOW_BLOCKS * BLOCK))
+    size = max(COLUMN_BLOCK, -(-per_window * windows // (1 << 20)))
+    cell = (F.floor(F.col("block_col") / WINDOW_BLOCKS) * per_window + F.col("block_row")).cast("long")
+    counts = blocks.groupBy(cell.alias("row_id")).agg(F.count("*").alias("n"))
+    placed = prefix(counts, size).withColumn("blk", F.floor(F.col("row_id") / size))
+    last = placed.groupBy("blk").agg(F.max("row_id").alias("last"))
+    before = last.select("blk", F.lag("last").over(Window.orderBy("blk")).alias("earlier"))
+    inside = F.lag("row_id").over(Window.partitionBy("blk").orderBy("row_id"))
+    found = placed.withColumn("inside", inside).join(before, "blk")
+    empty = F.col("row_id") - F.coalesce("inside", "earlier", F.lit(-1)) - 1
+    return found.select(F.floor(F.col("row_id") / per_window).alias("window"), (F.col("row_id") % per_window).alias("block_row"), "begin", "end", empty.alias("empty_before"))
+
+
 def windowed_product(blocks: DataFrame, x: DataFrame, rows: DataFrame) -> DataFrame:
     """A x of bitmap blocks: partial sums by column window, then over windows."""
     entries = unblock(blocks).withColumn("window", F.floor(F.col("col_id") / (WINDOW_BLOCKS * BLOCK)))

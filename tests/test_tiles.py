@@ -119,3 +119,20 @@ def test_blocks_stay_where_they_lie(spark):
         assert "Bucketed: true" in join[: join.index("Exchange")]
         assert not any("places" in m for m in re.findall(r"Exchange [^\n]*", plan))
     assert algebra.spmv(a, vector(spark, x), rows).count() == 95
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_filled_windows_expand_to_the_dense_grid(spark, monkeypatch, block):
+    monkeypatch.setattr(layout, "COLUMN_BLOCK", block)
+    rnd = random.Random(6)
+    a = matrix(spark, [(rnd.randrange(50), rnd.choice([rnd.randrange(600), rnd.randrange(5000)]), 1.0) for _ in range(120)])
+    blocks = layout.bitmap_blocks(a)
+    filled = sorted(tuple(r) for r in layout.filled_windows(blocks, 50, 5000).collect())
+    dense = sorted(tuple(r) for r in layout.window_pointers(blocks, 50, 5000).collect())
+    expanded, end = [], 0
+    for window, row, begin, stop, empty in filled:
+        expanded += [(end, end)] * empty + [(begin, stop)]
+        assert begin == end
+        end = stop
+    expanded += [(end, end)] * (len(dense) - len(expanded))
+    assert expanded == [d[2:] for d in dense] and len(filled) < len(dense)
