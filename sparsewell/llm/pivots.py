@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 For every vector length a bounded sample of vectors, none near another, serves
-as reference points (pivots).  Every vector is described by its nearest pivots
-in order and stands in their inverted lists.  Two vectors of one list are
+as reference points (pivots).  Directions are taken from the sample's mean, since
+embeddings tend to lie in a narrow cone, seen from whose tip all of them are
+alike.  Every vector is described by its nearest pivots in order and stands in
+their inverted lists.  Two vectors of one list are
 candidates if their descriptions share enough pivots; candidates are verified by
 their cosine in double precision.  Each pair is looked at in the list of the
 lowest pivot it shares, so links can be counted without listing pairs, and a
@@ -31,11 +33,12 @@ from .components import connected_components
 
 COSINE = 0.93
 #: Pivots of a description, and how many two descriptions must share.
-NEAREST, SHARED = 8, 2
+NEAREST, SHARED = 12, 2
 #: Pivots of a length grow with the square root of its rows between these bounds.
 LEAST_PIVOTS, MOST_PIVOTS = 64, 4096
 #: Pivots are at most this close to each other: which of several near copies is nearest is noise and tells nothing about a vector.
-SPREAD = 0.8
+#: The first that leaves ``ENOUGH`` pivots counts, as short vectors have little room.
+SPREADS, ENOUGH = (0.8, 0.9, 0.95, 0.98, 0.99, 0.999), 64
 #: Sampled vectors for each pivot wanted, so that large groups of near copies leave enough others.
 SAMPLED = 4
 #: Vectors that one copy of the pivots describes, for each pivot.
@@ -45,7 +48,7 @@ ROUNDING = 1e-9
 #: Rows of one side of a block.
 BLOCK_ROWS = 1024
 
-_LAST = 2**31 - 1
+_MEAN, _LAST = -1, 2**31 - 1
 
 
 def _vectors(table: DataFrame) -> DataFrame:
@@ -81,14 +84,21 @@ def _units(values: list[bytes], dim: int) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def _spread(sample: np.ndarray, size: int) -> np.ndarray:
-    """Places of the first ``size`` rows of the sample that are not within ``SPREAD`` of an earlier one."""
+def _seen_from(mean: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Directions of unit vectors from ``mean``; zero for a vector that is no further from it than rounding."""
+    m = units - mean
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 1e-9)
+
+
+def _spread(sample: np.ndarray, size: int, spread: float) -> np.ndarray:
+    """Places of the first ``size`` rows of the sample that are not within ``spread`` of an earlier one."""
     kept = np.zeros(0, np.int64)
     for at in range(0, len(sample), 256):
         chunk = np.arange(at, min(at + 256, len(sample)))
         if len(kept):
-            chunk = chunk[(sample[chunk] @ sample[kept].T < SPREAD).all(axis=1)]
-        near, chosen = sample[chunk] @ sample[chunk].T >= SPREAD, []
+            chunk = chunk[(sample[chunk] @ sample[kept].T < spread).all(axis=1)]
+        near, chosen = sample[chunk] @ sample[chunk].T >= spread, []
         for i in range(len(chunk)):
             if not near[i, chosen].any():
                 chosen.append(i)
@@ -98,17 +108,22 @@ def _spread(sample: np.ndarray, size: int) -> np.ndarray:
     return kept[:size]
 
 
-def _pivots(reps: DataFrame, counts: DataFrame, nearest: int) -> DataFrame:
-    """(dim, pivot, vec) of each length; none for a length that leaves no more than ``nearest`` spread pivots."""
+def _pivots(reps: DataFrame, counts: DataFrame) -> DataFrame:
+    """(dim, pivot, vec) of each length: its sample's mean (_MEAN, doubles) and the pivots."""
     share = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 30)) / (1 << 30)
     sample = reps.join(counts, "dim").where(share < SAMPLED * F.col("size") / F.col("n")).select("dim", "size", "sid", "rep", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (dim,), t in sorted_groups(batches, 1):  # about SAMPLED * size vectors
-            vec = t.column(4).to_pylist()
-            at = _spread(_units(vec, dim), t.column(1)[0].as_py())
-            if len(at) > nearest:  # otherwise all descriptions are equal and one list does
-                yield pa.record_batch([pa.array(np.full(len(at), dim, np.int32)), pa.array(np.arange(len(at), dtype=np.int32)), pa.array([vec[i] for i in at], pa.binary())], names=["dim", "pivot", "vec"])
+            vec, size = t.column(4).to_pylist(), t.column(1)[0].as_py()
+            units = _units(vec, dim)
+            mean = units.mean(axis=0)
+            seen = _seen_from(mean, units)
+            for spread in SPREADS:
+                at = _spread(seen, size, spread)
+                if len(at) >= min(ENOUGH, len(vec)):
+                    break
+            yield pa.record_batch([pa.array(np.full(len(at) + 1, dim, np.int32)), pa.array(np.arange(_MEAN, len(at), dtype=np.int32)), pa.array([mean.astype("<f8").tobytes(), *(vec[i] for i in at)], pa.binary())], names=["dim", "pivot", "vec"])
 
     return sample.repartition("dim").sortWithinPartitions("dim", F.xxhash64("rep"), "rep").mapInArrow(run, "dim int, pivot int, vec binary")
 
@@ -117,7 +132,7 @@ def _describe(reps: DataFrame, pivots: DataFrame, counts: DataFrame, nearest: in
     """``reps`` with ``nearest`` (pivots by nearness, packed) and ``lists`` (those whose lists the vector stands in).
 
     The vectors of a length are dealt into shares, each with its own copy of the
-    pivots in front.  Without pivots all vectors stand in list 0.
+    mean and the pivots in front.
     """
     none = F.lit(None)
     front = pivots.join(counts, "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), "pivot", none.cast("long").alias("sid"), none.cast("long").alias("rep"), none.cast("string").alias("label"), none.cast("long").alias("m"), "vec")
@@ -137,12 +152,10 @@ def _describe(reps: DataFrame, pivots: DataFrame, counts: DataFrame, nearest: in
                 if pivot[start] != _LAST:
                     packed += part.column(7).to_pylist()
                     continue
-                if packed and points is None:
-                    points = _units(packed, dim)
                 if points is None:
-                    order = np.zeros((end - start, 1), "<u2")
-                else:
-                    order = np.argsort(-(_units(part.column(7).to_pylist(), dim) @ points.T), axis=1, kind="stable")[:, :nearest].astype("<u2")
+                    mean = np.frombuffer(packed[0], "<f8")
+                    points = _seen_from(mean, _units(packed[1:], dim))
+                order = np.argsort(-(_seen_from(mean, _units(part.column(7).to_pylist(), dim)) @ points.T), axis=1, kind="stable")[:, :nearest].astype("<u2")
                 lists = np.sort(order, axis=1)[:, : order.shape[1] + 1 - min(shared, order.shape[1])].astype(np.int32)
                 places = pa.array(np.arange(0, lists.size + 1, lists.shape[1], dtype=np.int32))
                 yield pa.record_batch([*(part.column(c) for c in (3, 4, 5, 0, 6, 7)), pa.array([o.tobytes() for o in order], pa.binary()), pa.ListArray.from_arrays(places, pa.array(lists.ravel()))], names=["sid", "rep", "label", "dim", "m", "vec", "nearest", "lists"])
@@ -215,8 +228,8 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     table gives an empty table.  Links below ``cosine`` are never made; a link is
     found if the descriptions share ``shared`` of ``nearest`` pivots (recall is
     measured in the tests).  Of pivots that are equally near, the one sampled
-    first comes first.  A length whose vectors leave no more than ``nearest``
-    spread pivots has one list, in which all pairs are candidates.
+    first comes first.  A length whose vectors have no more than ``nearest``
+    directions apart has all its pairs as candidates, most of which link.
     """
     vectors = materialize(_vectors(table), "pivot-vectors")
     valid = vectors.where("vec_id is not null and label is not null and vec is not null")
@@ -228,7 +241,7 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, nearest: int = NEARES
     size = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(LEAST_PIVOTS), F.ceil(2 * F.sqrt("n")))).cast("int")
     counts = reps.groupBy("dim").agg(F.count("*").alias("n")).withColumn("size", size)
     counts = materialize(counts.withColumn("shares", F.ceil(F.col("n") / (DESCRIBED * F.col("size"))).cast("long")), "pivot-counts")
-    pivots = materialize(_pivots(reps, counts, nearest), "pivot-points")
+    pivots = materialize(_pivots(reps, counts), "pivot-points")
     described = materialize(_describe(reps, pivots, counts, nearest, shared), "pivot-described")
     place = ["label", "dim", "pivot"]
     index = described.select("sid", "label", "dim", F.explode("lists").alias("pivot"))

@@ -48,9 +48,9 @@ def test_spread_keeps_only_what_is_far_from_earlier_rows():
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     kept = []
     for i in range(len(v)):
-        if len(kept) < 20 and (not kept or (v[kept] @ v[i]).max() < pivots.SPREAD):
+        if len(kept) < 20 and (not kept or (v[kept] @ v[i]).max() < 0.8):
             kept.append(i)
-    assert pivots._spread(v, 20).tolist() == kept
+    assert pivots._spread(v, 20, 0.8).tolist() == kept
 
 
 def test_ids_with_several_vectors_and_equal_pivot_distances(spark):
