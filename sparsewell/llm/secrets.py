@@ -53,6 +53,10 @@ _ESCAPED_SLASH = re.compile(r"\\+/")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++))")  # from every segment on
 _B64 = re.compile(r"(?:(?<![A-Za-z0-9+/])(?!(?<=\\)[nr])|(?<=\\[nr]))[A-Za-z0-9+/]{40,}={0,2}(?![A-Za-z0-9+/=])")
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=_-])MI[A-Za-z0-9+/]{38,}(?=\r?\n[ \t]*[A-Za-z0-9+/])")
+_LINE = re.compile(r"([A-Za-z0-9+/]+)(?:\r?\n[ \t]*(?=[A-Za-z0-9+/=]))?")
+_B64URL = re.compile(r"(?<![A-Za-z0-9_+/-])M[A-Za-z0-9_-]{39,}={0,2}(?![A-Za-z0-9_+/=-])")
+_COLON_HEX = re.compile(r"(?<![0-9A-Fa-f:])30(?::(?:\r?\n[ \t]*)?[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f:])")
 
 #: First bytes of an OpenSSH private-key container (fixed value).
 _OPENSSH_MAGIC = b"openssh-key-v1\x00"
@@ -219,6 +223,36 @@ def _bare_keys(text: str, armoured: list[Span]) -> Iterator[Span]:
             yield Span(m.start(), 5, m.end())
 
 
+def _spread_keys(text: str) -> Iterator[Span]:
+    """Keys in base64 over several lines, whose outer length says where they end, in base64url, and in hex with colons."""
+    end = 0
+    for m in _WRAPPED.finditer(text):
+        head = _tlv(_decode64(m[0][:8]), 0, 1 << 20) if m.start() >= end else None
+        if head is None or head[0] != 0x30:
+            continue
+        wanted, run, at = -(-head[2] * 8 // 6), [], m.start()
+        while wanted > 0 and (line := _LINE.match(text, at)):
+            run.append(line[1])
+            wanted, at = wanted - len(line[1]), line.end()
+        pad = -sum(map(len, run)) % 4
+        stop = at if text[at : at + pad] == "=" * pad and pad < 3 else -1
+        if wanted == 0 and stop >= 0:
+            data = _decode64("".join(run))
+            stop = stop + pad if pad else at - len(line[0]) + len(line[1])
+            if data is not None and is_der_private_key(data):
+                end = stop
+                yield Span(m.start(), 5, end)
+    for m in _B64URL.finditer(text):
+        if "-" in m[0] or "_" in m[0]:
+            data = _decode64(m[0], url=True)
+            if data is not None and is_der_private_key(data):
+                yield Span(m.start(), 5, m.end())
+    if "30:" in text:
+        for m in _COLON_HEX.finditer(text):
+            if is_der_private_key(bytes.fromhex("".join(m[0].replace(":", " ").split()))):
+                yield Span(m.start(), 5, m.end())
+
+
 def _runs_of(chars: str, dot: bool = False) -> bytes:
     """Table that maps ``chars`` to x and all other bytes but, if asked for, the dot to a space."""
     return bytes(ord("x") if chr(b) in chars and b < 128 else ord(".") if dot and b == ord(".") else ord(" ") for b in range(256))
@@ -247,10 +281,15 @@ def find_secrets(text: str) -> list[Span]:
         spans += [Span(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     armoured = list(_armoured(text)) if "-----BEGIN " in text else []
     spans += armoured
-    if b"x" * _HEADER_LEAST + b"." in data.translate(_TOKEN_RUNS):
+    runs = data.translate(_TOKEN_RUNS)
+    if b"x" * _HEADER_LEAST + b"." in runs:
         spans += _tokens(text)
-    if b"x" * 40 in data.translate(_B64_RUNS):
+    bare = b"x" * 40 in data.translate(_B64_RUNS)
+    if bare:
         spans += _bare_keys(text, armoured)
+    if bare or b"x" * 40 in runs or "30:" in text:
+        blocks = [(a.start, a.end) for a in armoured]
+        spans += [k for k in _spread_keys(text) if not any(a <= k.start < b for a, b in blocks)]
     spans.sort()
     return spans
 

@@ -38,6 +38,11 @@ FORMS = {
     "spaced header": ("t ", f'{url64(b"""{ "alg": "HS256" }""")}.{BODY}.sig', " y", "jwt"),
     "header on lines": ("t ", f'{url64(b"""{\n "alg": "HS256" }""")}.{BODY}.sig', " y", "jwt"),
     "leading space": ("t ", f'{url64(b""" {"alg":"HS256"}""")}.{BODY}.sig', " y", "jwt"),
+    "lines of a block": ("key: |\n  ", "\n  ".join(LINES), "\nnext: value", "der"),
+    "lines before text": ("", "\r\n".join(LINES), "\r\nMore words", "der"),
+    "base64url": ("K=", url64(base64.b64decode(KEY)), "\n", "der"),
+    "colons": ("priv: ", ":".join(f"{b:02X}" for b in base64.b64decode(KEY)), ".", "der"),
+    "colons on lines": ("priv:\n    ", ":\n    ".join(":".join(f"{b:02x}" for b in base64.b64decode(KEY)[k : k + 15]) for k in range(0, len(base64.b64decode(KEY)), 15)), "\n", "der"),
     "behind other segments": ("www.example.", f'{url64(b"""{ "alg": "HS256" }""")}.{BODY}.sig', " y", "jwt"),
 }
 
@@ -54,7 +59,7 @@ def test_form_is_found_and_masked(name):
 def test_other_forms_are_not_found():
     unsigned = f'{url64(b"""{ "alg": "none" }""")}.{BODY}.'
     letters = "A" * 64
-    for text in (unsigned, f"{unsigned} y", armoured("\n", [letters], head="note: hello\n\n"), armoured("\n", [letters], head="Proc-Type: 4,ENCRYPTED\n\n"), "www.example.org", f"K={KEY[:-8]}", armoured("\\n", LINES[:-1]), armoured("\\x"), f"{url64(b'[1]')}.{BODY}.sig", f"{url64(b'{ }')}.{BODY}.sig"):
+    for text in (unsigned, f"{unsigned} y", armoured("\n", [letters], head="note: hello\n\n"), armoured("\n", [letters], head="Proc-Type: 4,ENCRYPTED\n\n"), "www.example.org", f"K={KEY[:-8]}", armoured("\\n", LINES[:-1]), armoured("\\x"), f"{url64(b'[1]')}.{BODY}.sig", f"{url64(b'{ }')}.{BODY}.sig", "\n".join(LINES[:-1]), "\n\n".join(LINES), url64(base64.b64decode(KEY))[:-4], ":".join(f"{b:02x}" for b in base64.b64decode(KEY)[:-1]), "30:" * 40 + "30"):
         assert not [s for s in secrets.find_secrets(text) if s.order >= len(secrets.BASE_KINDS)], text
 
 
