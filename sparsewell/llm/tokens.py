@@ -3,25 +3,49 @@
 Texts are cut at single spaces between two characters that are no white space.
 The pre-split of byte-level vocabularies never reaches over such a place, so a
 text's ids are those of its chunks in a row.  Chunks that a worker has seen come
-from its memory, which is bounded; all others go to the library together.
+from its memory, which is bounded; all others go to the library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
-#: Chunks in a worker's memory and their characters (about 250 MB at most), and chunks of one call of the library.
-KNOWN_CHUNKS, KNOWN_CHARACTERS, CALL_CHUNKS = 1 << 19, 1 << 25, 1 << 14
+from .bpe import _byte_alphabet
+
+#: Chunks in each of the two halves of a worker's memory and their characters (about 250 MB at most), and chunks of one call of the library.
+KNOWN_CHUNKS, KNOWN_CHARACTERS, CALL_CHUNKS = 1 << 19, 1 << 24, 1 << 12
+
+_STAND_INS = {b: c for c, b in _byte_alphabet().items()}
+
+#: ASCII marks without the apostrophe, which begins words of its own.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
+def _plain_words(chunk: str) -> list[str] | None:
+    """Words of the pre-split of a chunk that is lines of letters, each perhaps behind one space and before marks; None for others."""
+    out = []
+    for k, line in enumerate(chunk.split("\n")):
+        letters = line.rstrip(_MARKS)
+        if not (letters.isalpha() or letters[:1] == " " and letters[1:].isalpha()):
+            return None
+        if k:
+            out.append("\n")
+        out.append(letters)
+        if len(letters) < len(line):
+            out.append(line[len(letters) :])
+    return out
 
 
 class ChunkEncoder:
     """Encoder of one vocabulary file; ``special``: strings of added tokens in a text are those tokens, else they are plain text."""
 
-    _TIGHT = re.compile(r"\s | \s")
+    # a space beside other white space, on its right and on its left
+    _RIGHT, _LEFT = re.compile(r" \s"), re.compile(r"[^\S ] ")
     _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str, special: bool):
@@ -32,35 +56,55 @@ class ChunkEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._tokenizer.encode_special_tokens = not special
+        # what is still met moves from the old half of the memory to the new one, the rest goes with the old half
         self._known: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._characters = 0
 
     def _chunks(self, text: str) -> list[str]:
         """The chunks of a text; all but the first stand behind a space, which is left out here."""
-        return text.split(" ") if self._TIGHT.search(text) is None else self._SAFE.split(text)
+        return text.split(" ") if self._RIGHT.search(text) is None and self._LEFT.search(text) is None else self._SAFE.split(text)
 
     def _look_up(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(chunks), CALL_CHUNKS):
-            part = chunks[at : at + CALL_CHUNKS]
-            found = self._tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))) * 4
-            starts = [0, *ends[:-1].tolist()]
-            out += [ids[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
+        """Ids of chunks; those whose pre-split is plain to see go to the library's merge model word by word."""
+        out: list[bytes] = [b""] * len(chunks)
+        others = []
+        merge, pack = self._tokenizer.model.tokenize, struct.pack
+        for k, c in enumerate(chunks):
+            if words := _plain_words(c):
+                ids = [t.id for w in words for t in merge(w.encode().decode("latin-1").translate(_STAND_INS))]
+                out[k] = pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(k)
+        for at in range(0, len(others), CALL_CHUNKS):
+            part = others[at : at + CALL_CHUNKS]
+            for k, e in zip(part, self._tokenizer.encode_batch_fast([chunks[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, "<u4").tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; none for null and empty texts."""
         split = [self._chunks(t) if t else [] for t in texts]
         if len(self._known) > KNOWN_CHUNKS or self._characters > KNOWN_CHARACTERS:
-            self._known, self._characters = {}, 0
-        known = self._known
-        new = list({c for chunks in split for c in chunks[1:]}.difference(known))
+            self._old, self._known, self._characters = self._known, {}, 0
+        # one look into the large memory for each distinct chunk, the rest in a small one
+        met = dict.fromkeys(set().union(*split))
+        look, look_back, new = self._known.get, self._old.get, []
+        for c in met:
+            ids = look(c)
+            if ids is None:
+                ids = look_back(c)
+                if ids is None:
+                    new.append(c)
+                    continue
+                self._known[c] = ids
+            met[c] = ids
         self._characters += sum(map(len, new))
-        known.update(zip(new, self._look_up([" " + c for c in new]), strict=True))
+        looked_up = dict(zip(new, self._look_up([" " + c for c in new]), strict=True))
+        met.update(looked_up)
+        self._known.update(looked_up)
         first = iter(self._look_up([chunks[0] for chunks in split if chunks]))
-        return [next(first) + b"".join([known[c] for c in chunks[1:]]) if chunks else b"" for chunks in split]
+        return [next(first) + b"".join(map(met.__getitem__, chunks[1:])) if chunks else b"" for chunks in split]
 
 
 @lru_cache(maxsize=4)
