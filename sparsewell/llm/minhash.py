@@ -7,10 +7,14 @@
    with one leader of each of its buckets, which a hash chooses anew for every
    bucket: first by signature agreement, then on the full sets.
 4. Components come from alternating large-star and small-star.
-5. Buckets that still hold several components are finished exactly, in blocks of
-   bounded size: rows with an agreeing partner in another component are gathered
-   with their texts, and such pairs are compared on their full sets until the
-   block's components no longer change.
+5. Buckets that still hold several components are finished exactly.  Their rows
+   are unsettled: in small buckets those with an agreeing partner in another
+   component, in larger ones all.  Unsettled sets meet by a prefix join: their
+   shingles are ordered by rarity, and two sets can only be similar if they share
+   a shingle among their rarest, at places that leave enough in common.  What a
+   template shares comes last in this order, so texts that differ in a few words of
+   their own never meet.  Such pairs of different components are compared by
+   signature and then on their full sets.
 
 Only connectivity is asked for, so the pairs of a group are never all listed.
 """
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, bounded_batches, discard, materialize, sorted_groups
@@ -34,8 +38,10 @@ PERCENT, PERCENT_DEN = 75, 100
 BANDS, ROWS = 32, 4
 #: Least share of equal minima.  At similarity 0.75 the share of 128 minima falls below it once in ten thousand pairs.
 LEAST_AGREEMENT = 0.60
-#: Rows of one side of a block comparison, and bytes of their texts and sets (more only if one text is larger).
-BLOCK_ROWS, BLOCK_BYTES = 512, 16 << 20
+#: Rows of a bucket whose signatures are compared with each other; sets of larger buckets go to the prefix join.
+SMALL_BUCKET = 64
+#: Bits of a filter of ids for each id, and in all.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 _U = np.uint64
 _random = np.random.default_rng(0x5EED)
@@ -115,25 +121,24 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, weight, n_shingles, set_key (digest of the full set) and sig of every row; the last two null for empty sets.
+    """doc_id, text_key, n_shingles, set_key (digest of the full set) and sig of every row; the last two null for empty sets.
 
-    ``text_key`` tells the texts of one doc_id apart, ``weight`` is the memory that a text and its set take.
+    ``text_key`` tells the texts of one doc_id apart.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, sigs = [], [], []
-            for text in b.column(3).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            weight = b.column(2).to_numpy() + 8 * np.array(n, np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(weight), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "weight", "n_shingles", "set_key", "sig"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, weight long, n_shingles long, set_key binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -167,11 +172,30 @@ def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _among(keys: DataFrame, key: Column) -> Column:
+    """Whether a row's 64-bit hash may be one of ``keys`` (h): a bitmap of two bits each, which is bounded, read by every scan.
+
+    It lets through all of them and, as long as it is not full, few others.
+    """
+    spark = keys.sparkSession
+    words = min(MOST_FILTER_BITS, max(1 << 16, 1 << (FILTER_BITS * max(1, keys.count()) - 1).bit_length())) // 64
+    places = lambda h: (F.shiftrightunsigned(h, 38).bitwiseAND(F.lit(64 * words - 1)), h.bitwiseAND(F.lit(64 * words - 1).cast("long")))
+    word, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    set_bits = keys.select(F.explode(F.array(*places(F.col("h")))).alias("p")).groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("b"))
+    full = spark.range(words).select(F.col("id").cast("int").alias("w")).join(set_bits, "w", "left").select(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("e"))
+    # one array of at most MOST_FILTER_BITS
+    bits = full.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.b).alias("bits")).scalar()
+    one, two = places(key)
+    return (F.get(bits, word(one)).bitwiseAND(bit(one)) != 0) & (F.get(bits, word(two)).bitwiseAND(bit(two)) != 0)
+
+
 def _texts_of(sids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(sid, doc_id, text) once for each of ``sids``, however many rows repeat that text."""
-    needed = sids.distinct().join(reps.select("sid", "doc_id", "text_key"), "sid")
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    """(sid, doc_id, text) once for each of ``sids``, however many rows repeat that text; other texts stay where they are."""
+    needed = materialize(sids.distinct().join(reps.select("sid", "doc_id", "text_key"), "sid"), "minhash-needed")
+    hashed = F.xxhash64("doc_id", "text_key")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").where(_among(needed.select(hashed.alias("h")), hashed))
     found = materialize(texts.join(needed.hint("merge"), ["doc_id", "text_key"]).select("sid", "doc_id", "text"), "minhash-texts")
+    discard(needed)
     once = found.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
     once._sparsewell_path = found._sparsewell_path
     return once
@@ -195,77 +219,69 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _partners(sig: np.ndarray, comp: np.ndarray, band: int, x: int, others: np.ndarray) -> np.ndarray:
-    """Rows of ``others`` in another component whose signatures agree enough with row x and share this band first."""
-    y = others[comp[others] != comp[x]]
-    y = y[(sig[y] == sig[x]).mean(axis=1) >= LEAST_AGREEMENT]
-    if not len(y):
-        return y
-    same = (sig[y].reshape(-1, BANDS, ROWS) == sig[x].reshape(BANDS, ROWS)).all(axis=2)
-    return y[same.any(axis=1) & (same.argmax(axis=1) == band)]
+def _unsettled(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sid, comp) of sets in open buckets that may link another component."""
+    placed = reps.select("sid", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", F.coalesce("component_id", "doc_id").alias("comp"))
+    rows = materialize(members.join(placed.hint("merge"), "sid").select("bucket", "n", "sid", "comp"), "minhash-placed")
+    open_buckets = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    still = rows.join(open_buckets.hint("merge"), "bucket")
+    large = still.where(F.col("n") > SMALL_BUCKET).select("sid", "comp")
+    small = still.where(F.col("n") <= SMALL_BUCKET).join(reps.select("sid", "sig"), "sid").select("bucket", "sid", "comp", "sig")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in sorted_groups(batches, 1):
+            comp, sig = t.column(2).to_numpy(), _matrix(t.column(3))
+            agree = (sig[:, None] == sig[None]).mean(axis=2) >= LEAST_AGREEMENT
+            wanted = (agree & (comp[:, None] != comp[None])).any(axis=1)
+            yield from t.select(["sid", "comp"]).filter(pa.array(wanted)).to_batches()
 
-def _sides(part: np.ndarray, i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of part i with the rows of part j that it is compared with."""
-    second = np.flatnonzero(part == j)
-    for x in np.flatnonzero(part == i):
-        yield x, second[second > x] if i == j else second
+    agreeing = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "sid long, comp long")
+    out = agreeing.unionAll(large).distinct()
+    out._sparsewell_path = rows._sparsewell_path
+    return out
 
 
-def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Rows of blocks that have an agreeing partner in another component: bucket, i, j, part, band, sid, comp, sig."""
-    placed = reps.select("sid", "doc_id", "weight").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sid", "weight", F.coalesce("component_id", "doc_id").alias("comp"))
-    rows = members.join(placed.hint("merge"), "sid").select("bucket", "band", "n", "sid", "weight", "comp")
-    open_buckets = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("weight").alias("total")).where("low < high").select("bucket", "total")
-    rows = rows.join(open_buckets.hint("merge"), "bucket").join(reps.select("sid", "sig"), "sid")
-    # a bucket is cut into parts of about BLOCK_ROWS rows and BLOCK_BYTES of texts and sets; each pair of parts is one block
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("total") / BLOCK_BYTES)).cast("long")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "sid", "comp", "sig")
+def _shingles(unsettled: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, comp, n, shingle): the full sets of the unsettled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in sorted_groups(batches, 3):
-            part, band, comp = (t.column(c).to_numpy() for c in (3, 4, 6))
-            if comp.min() == comp.max():
-                continue
-            sig = _matrix(t.column(7))
-            wanted = np.zeros(len(part), bool)
-            for x, others in _sides(part, i, j):
-                y = _partners(sig, comp, band[0], x, others)
-                wanted[y] = True
-                wanted[x] |= len(y) > 0
-            yield from t.filter(pa.array(wanted)).to_batches()
-
-    keys = ("bucket", "i", "j")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "bucket long, i long, j long, part long, band int, sid long, comp long, sig binary")
-
-
-def _finished(crossing: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (u, v) between the components of each block, confirmed on full sets."""
-    rows = crossing.join(texts.hint("merge"), "sid").select("bucket", "i", "j", "part", "band", "sid", "doc_id", "comp", "sig", "text")
+        for b in batches:
+            for sid, comp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingle_set(text)
+                yield pa.record_batch([pa.array(np.full(len(s), x, np.int64)) for x in (sid, comp, len(s))] + [pa.array(s.view(np.int64))], names=["sid", "comp", "n", "shingle"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in sorted_groups(batches, 3):
-            part, band, doc, comp = (t.column(c).to_numpy() for c in (3, 4, 6, 7))
-            sig, text = _matrix(t.column(8)), t.column(9)
-            comp, sets, u, v = comp.copy(), {}, [], []
+    return unsettled.join(texts, "sid").select("sid", "comp", "text").mapInArrow(run, "sid long, comp long, n long, shingle long")
 
-            def full(k: int) -> np.ndarray:
-                if k not in sets:
-                    sets[k] = shingle_set(text[k].as_py())
-                return sets[k]
 
-            for x, others in _sides(part, i, j):
-                for y in _partners(sig, comp, band[0], x, others):
-                    if comp[x] != comp[y] and similar(full(x), full(y)):
-                        u.append(doc[x])
-                        v.append(doc[y])
-                        comp[comp == comp[y]] = comp[x]
-            if u:
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _rare(sets: DataFrame) -> DataFrame:
+    """(sid, comp, n, shingle, at): the rarest shingles of each set by which a similar set can be met, ``at`` their places from 1 on.
+
+    In a common order of all shingles, two sets with c in common share one that
+    leaves c - 1 behind it in both.
+    """
+    stats = sets.groupBy("shingle").agg(F.count("*").alias("c"), (F.min("comp") < F.max("comp")).alias("open"))
+    place = F.row_number().over(Window.partitionBy("sid").orderBy("c", "shingle"))
+    rows = sets.join(stats.hint("merge"), "shingle").select("sid", "comp", "n", "shingle", "open", place.alias("at"))
+    return rows.where(F.col("open") & (PERCENT * F.col("n") <= PERCENT_DEN * (F.col("n") - F.col("at") + 1))).drop("open")
 
-    keys = ("bucket", "i", "j")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "sid").mapInArrow(run, "u long, v long")
+
+def _meeting(rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a rare shingle and can be similar enough by size and place.
+
+    Pairs within the largest component of a shingle are not looked at.
+    """
+    main = rare.groupBy("shingle", "comp").agg(F.count("*").alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    rows = materialize(rare.join(main.hint("merge"), "shingle"), "minhash-meeting")
+    x = rows.where("comp <> main").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("sid", "comp", "n", "at")))
+    y = rows.select("shingle", "main", *(F.col(c).alias(f"{c}_y") for c in ("sid", "comp", "n", "at")))
+    once = (F.col("comp_y") == F.col("main")) | (F.col("sid_x") < F.col("sid_y"))
+    sizes = PERCENT_DEN * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")
+    behind = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    enough = (PERCENT_DEN + PERCENT) * (behind + 1) >= PERCENT * (F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y.hint("merge"), "shingle").where((F.col("comp_x") != F.col("comp_y")) & once & sizes & enough)
+    out = pairs.select(F.least("sid_x", "sid_y").alias("a"), F.greatest("sid_x", "sid_y").alias("b")).distinct()
+    out._sparsewell_path = rows._sparsewell_path
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,7 +300,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = materialize(signatures(docs), "minhash-signatures")
     named = sigs.where("doc_id is not null and set_key is not null")
-    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key", "weight")).alias("r"), F.first("sig").alias("sig"))
+    first = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("sig").alias("sig"))
     # sid numbers the distinct sets; it is fixed once the table is written
     reps = materialize(first.select(F.monotonically_increasing_id().alias("sid"), "set_key", "r.*", "sig"), "minhash-reps")
     bands = materialize(_band_rows(reps), "minhash-bands")
@@ -301,16 +317,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = named.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select(F.col("doc_id").alias("u"))
     same = named.select(F.col("doc_id").alias("u"), "set_key").join(again, "u").join(reps.select("set_key", F.col("doc_id").alias("v")), "set_key").select("u", "v")
     labels = connected_components(edges.unionAll(same), "minhash-components")
-    crossing = materialize(_crossing(members, labels, reps), "minhash-crossing")
+    found = _unsettled(members, labels, reps)
+    unsettled = materialize(found, "minhash-unsettled")
+    discard(found)
     discard(members)
-    if crossing.limit(1).count():
-        texts = _texts_of(crossing.select("sid"), docs, reps)
-        more = materialize(_finished(crossing, texts), "minhash-edges")
-        discard(texts)
+    if unsettled.limit(1).count():
+        texts = _texts_of(unsettled.select("sid"), docs, reps)
+        sets = materialize(_shingles(unsettled, texts), "minhash-sets")
+        rare = materialize(_rare(sets), "minhash-rare")
+        discard(sets)
+        met = _meeting(rare)
+        pairs = materialize(met, "minhash-pairs")
+        discard(met)
+        more = materialize(_confirmed(pairs, texts), "minhash-edges")
         # what is known already is one edge from each node to its component
         labels = connected_components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more), "minhash-components")
+        discard(pairs)
         discard(more)
-    discard(crossing)
+        discard(texts)
+        discard(rare)
+    discard(unsettled)
     discard(edges)
     rep_of = reps.select("set_key", F.col("doc_id").alias("id")).join(labels, "id", "left").select("set_key", F.coalesce("component_id", "id").alias("component"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(rep_of, "set_key", "left")

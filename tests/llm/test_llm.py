@@ -269,7 +269,7 @@ def test_globs_equal_regex():
 
 
 def test_url_verdicts(spark):
-    rows = [(1, "http://A.Example.ORG/es/1"), (2, "https://example.org/en/12?x"), (3, "http://example.org"), (4, None), (5, "no scheme"), (6, "http://x.com/fr/"), (7, "http://badexample.org/es/"), (8, "http://ads-x.net/p#://y"), (None, "http://e.com/x.example.org/es/")]
+    rows = [(1, "http://A.Example.ORG/es/1"), (2, "https://example.org/en/12?x"), (3, "http://example.org"), (4, None), (5, "no scheme"), (6, "http://x.com/fr/"), (7, "http://badexample.org/es/"), (8, "http://ads-x.shop.net/p#://y"), (None, "http://e.com/x.example.org/es/")]
     df = spark.createDataFrame([(i, u, "c") for i, u in rows], "page_id long, url string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df).collect()}
     assert got == {
@@ -280,7 +280,7 @@ def test_url_verdicts(spark):
         5: ("", "", None, "allow"),
         6: ("x.com", "/fr/", "com/fr/", "allow"),
         7: ("badexample.org", "/es/", "org/", "allow"),
-        8: ("ads-x.net", "/p", None, "block"),
+        8: ("ads-x.shop.net", "/p", None, "block"),
         None: ("e.com", "/x.example.org/es/", None, "allow"),
     }
     assert urls.judge_urls(df.limit(0)).count() == 0
