@@ -20,27 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW_BATCH_ROWS, bounded_batches, materialize, tokenizer_path
+from .common import bounded_batches, materialize, tokenizer_path
 from .tokens import encoder
 
 WINDOW = 1024
 END_ID = 0
-#: Bytes of batches that are encoded together: the more, the fewer chunks are distinct in each.
-TOGETHER_BYTES = 8 << 20
-
-
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to ``TOGETHER_BYTES``; larger ones stay alone."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        if held and size + b.nbytes > TOGETHER_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-        held.append(b)
-        size += b.nbytes
-    if held:
-        yield pa.concat_batches(held)
 
 
 def encode_shares(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> DataFrame:
@@ -51,13 +35,11 @@ def encode_shares(docs: DataFrame, vocab_path: str, end_id: int = END_ID) -> Dat
         encode = encoder(vocab_path, True).encode_column
         share, before = TaskContext.get().partitionId(), 0
         end = pa.scalar(np.array([end_id], "<u4").tobytes(), pa.binary())
-        for b in _together(batches):
+        for b in batches:
             ids = pc.binary_join_element_wise(encode(b.column(1)), end, pa.scalar(b"", pa.binary()))
             bounds = before + np.cumsum([0, *(pc.binary_length(ids).to_numpy() // 4)], dtype=np.int64)
             before = int(bounds[-1])
-            out = pa.record_batch([b.column(0), ids, pa.array(np.full(len(ids), share, np.int64)), pa.array(bounds[:-1])], names=["doc_id", "ids", "share", "before"])
-            for at in range(0, len(ids), ARROW_BATCH_ROWS):
-                yield out.slice(at, ARROW_BATCH_ROWS)
+            yield pa.record_batch([b.column(0), ids, pa.array(np.full(len(ids), share, np.int64)), pa.array(bounds[:-1])], names=["doc_id", "ids", "share", "before"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, ids binary, share long, before long")

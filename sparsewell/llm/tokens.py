@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from .bpe import _byte_alphabet
 
-#: Words and chunks in each of the two halves of a worker's memory and their characters (about 250 MB at most), and chunks of one call of the library.
-KNOWN_CHUNKS, KNOWN_CHARACTERS, CALL_CHUNKS = 1 << 19, 1 << 24, 1 << 12
+#: Words and chunks in each of the two halves of a worker's memory and their characters (about 200 MB of a worker as measured), and chunks of one call of the library.
+KNOWN_CHUNKS, KNOWN_CHARACTERS, CALL_CHUNKS = 1 << 18, 1 << 24, 1 << 12
 
 _STAND_INS = {b: c for c, b in _byte_alphabet().items()}
 _SPACE, _LINE = _STAND_INS[0x20], _STAND_INS[0x0A]
