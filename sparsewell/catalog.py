@@ -713,11 +713,11 @@ def s14_read_through(s, d):
 def _data_folders(s: SparkSession, d: str) -> str:
     """Five folders: one without metadata, two with sizes in either form, one without values, one with a bad size."""
     root = new_path(s, "data")
-    suppliers, rows = fixtures.suppliers(s, d), _suppliers_idx(s, d)
-    bought = fixtures.purchases(s, d).where("row_id < 40 and col_id < 40")
+    suppliers, rows = materialize(fixtures.suppliers(s, d), "matrix"), _suppliers_idx(s, d)
+    bought = materialize(fixtures.purchases(s, d).where("row_id < 40 and col_id < 40"), "matrix")
     few = _customers(s, d).where("idx < 40")
     for name, matrix, over in (("plain", suppliers, rows), ("stated", suppliers, rows), ("deep/er", bought, few), ("broken", bought, few), ("odd", bought, few)):
-        files.write_csr_folder(matrix, over, f"{root}/{name}")
+        files.write_csr_folder(matrix, over, f"{root}/{name}", stored=True)
     files.write_metadata(s, {"name": "suppliers", "n": rows.count(), "nnz": suppliers.count(), "source": "supplier"}, f"{root}/stated/meta.txt")
     s.createDataFrame([(f'{{"name": "bought", "shape": "[40, 40]", "nnz_csr": {bought.count()}}}',)], "value string").coalesce(1).write.text(f"{root}/deep/er/meta.json")
     files.write_metadata(s, {"n": "many", "nnz": 3}, f"{root}/odd/meta.txt")

@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, spmv, with_positions
@@ -82,31 +83,39 @@ def write_matrix_market(matrix: DataFrame, path: str, n_rows: int, n_cols: int)
     matrix.select(F.format_string("%d %d %.17g", F.col("row_id") + 1, F.col("col_id") + 1, "value").alias("value")).write.mode("append").text(path)
 
 
+def words_of(line: str) -> Column:
+    """Array of the words of a line; most lines are one word, which needs no splitting."""
+    many = F.filter(F.split(line, r"\s+"), lambda x: x != "")
+    return F.when(F.col(line).rlike(r"\s"), many).when(F.col(line) != "", F.array(line)).otherwise(F.array().cast("array<string>"))
+
+
 def read_numbers(spark: SparkSession, path: str, kind: str = "double", comment: str | None = None) -> DataFrame:
     """(pos, value) of a whitespace-separated number file or folder of parts; an empty one is an error.
 
-    Positions are prefix sums over file splits and inside each split, so files
-    with many lines are read by many tasks.
+    The words are written once, numbered as their task reads them; the position
+    of a word is its number inside its file split behind the words of the splits
+    before.  No words are shuffled or sorted.
     """
-    words = F.filter(F.split("value", r"\s+"), lambda x: x != "")
-    lines = spark.read.text(path).select(words.alias("a"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(words_of("value").alias("a"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.where(~F.coalesce(F.get("a", F.lit(0)), F.lit("")).startswith(comment)) if comment else lines
-    lines = lines.withColumn("n", F.size("a"))
-    totals = lines.groupBy("file", "block").agg(F.sum("n").alias("total"))
+    each = lines.select("file", "block", F.explode("a").alias("value"))
+    numbers = materialize(each.select("file", "block", F.monotonically_increasing_id().alias("at"), F.col("value").cast(kind).alias("value")), "numbers")
+    totals = numbers.groupBy("file", "block").agg(F.count("*").alias("total"), F.min("at").alias("first"))
     # one row per file split
-    before = totals.select("file", "block", (F.sum("total").over(Window.orderBy("file", "block")) - F.col("total")).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("file", "block").orderBy("line")) - F.col("n")
-    placed = lines.withColumn("inside", inside).join(before, ["file", "block"])
-    out = placed.select((F.col("before") + F.col("inside")).alias("at"), F.posexplode("a").alias("k", "value")).select((F.col("at") + F.col("k")).cast("long").alias("pos"), F.col("value").cast(kind).alias("value"))
-    if out.limit(1).count() == 0:
+    before = totals.select("file", "block", (F.sum("total").over(Window.orderBy("file", "block")) - F.col("total") - F.col("first")).alias("before"))
+    if numbers.limit(1).count() == 0:
         raise ValueError(f"empty number file {path}")
-    return out
+    return numbers.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("at")).cast("long").alias("pos"), "value")
+
+
+def _word(value: str, kind: str) -> Column:
+    """A number as text: the shortest that reads back as the same."""
+    return F.coalesce(F.col(value).cast("string" if kind in ("int", "bigint", "double") else "double").cast("string"), F.lit("null"))
 
 
 def write_numbers(numbers: DataFrame, path: str) -> None:
-    """Write (pos, value) as ordered text parts, one number per line with 17 digits."""
-    integer = dict(numbers.dtypes)["value"] in ("int", "bigint")
-    numbers.orderBy("pos").select((F.col("value").cast("string") if integer else F.format_string("%.17g", "value")).alias("value")).write.text(path)
+    """Write (pos, value) as ordered text parts, one number per line."""
+    numbers.orderBy("pos").select(_word("value", dict(numbers.dtypes)["value"]).alias("value")).write.text(path)
 
 
 def read_csr_folder(spark: SparkSession, folder: str, n_cols: int | None = None) -> DataFrame:
@@ -167,15 +176,30 @@ def read_csr_system(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return read_csr_folder(spark, folder), read_csr_vector(spark, folder, "b"), read_csr_vector(spark, folder, "x0")
 
 
-def write_csr_folder(matrix: DataFrame, rows: DataFrame, folder: str) -> None:
-    """Write the three number files in CSR order, each as a folder of ordered parts."""
-    ptr = pointers(matrix, rows)
+def write_csr_folder(matrix: DataFrame, rows: DataFrame, folder: str, stored: bool = False) -> None:
+    """Write the three number files in CSR order, each as a folder of ordered parts.
+
+    The matrix is computed once, unless it is ``stored`` already, and sorted once;
+    both files of its entries are written from the sorted copy on disk.
+    """
+    entries = matrix.select("row_id", "col_id", "value")
+    copied = None if stored else materialize(entries, "csr-entries")
+    entries = entries if stored else copied
+    ptr = materialize(pointers(entries, rows), "csr-pointers")
     last = ptr.agg((F.max("row_id") + 1).alias("pos"), F.max("end").alias("value"))
     write_numbers(ptr.select(F.col("row_id").alias("pos"), F.col("begin").alias("value")).unionAll(last), f"{folder}/row_ptr.txt")
-    inside = with_positions(matrix, ["row_id"], F.floor(F.col("col_id") / COLUMN_BLOCK), ["col_id", "value"], "inside")
-    placed = inside.join(ptr, "row_id").withColumn("pos", F.col("begin") + F.col("inside"))
-    write_numbers(placed.select("pos", F.col("col_id").alias("value")), f"{folder}/col_idx.txt")
-    write_numbers(placed.select("pos", "value"), f"{folder}/values.txt")
+    known = entries
+    if (last.first().value or 0) != entries.count():  # rows that are not asked for
+        known = entries.join(ptr.select("row_id"), "row_id", "left_semi")
+    kinds = dict(entries.dtypes)
+    ordered = known.orderBy("row_id", "col_id", "value").select("col_id", "value").persist(StorageLevel.DISK_ONLY)
+    try:
+        for name, column in (("col_idx", "col_id"), ("values", "value")):
+            ordered.select(_word(column, kinds[column]).alias("value")).write.text(f"{folder}/{name}.txt")
+    finally:
+        ordered.unpersist(True)
+        discard(copied)
+        discard(ptr)
 
 
 def encode_binary_csr(ptr: np.ndarray, cols: np.ndarray, values: np.ndarray, n_cols: int) -> bytes:
