@@ -136,7 +136,8 @@ def read_csr_folder(spark: SparkSession, folder: str, n_cols: int | None = None)
     broken = pointer_violations(ptr, cols, n).crossJoin(cols.agg(F.count_if(F.col("col_id").isNull()).alias("null_columns"), F.count("*").alias("_n")))
     sizes = values.agg(F.count_if(F.col("value").isNull()).alias("null_values"), F.count("*").alias("_m"))
     require_clean(broken.crossJoin(sizes).withColumn("unequal_lengths", F.abs(F.col("_n") - F.col("_m"))).drop("_n", "_m"))
-    return rows.join(cols, "pos").join(values, "pos").select("row_id", "col_id", "value")
+    # rows are as many as entries, which their estimate before they are cut does not show: never broadcast
+    return rows.hint("merge").join(cols.hint("merge"), "pos").join(values.hint("merge"), "pos").select("row_id", "col_id", "value")
 
 
 def read_csr_vector(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
