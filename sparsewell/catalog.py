@@ -11,7 +11,7 @@ from .functions import measures, packing
 from .operators import algebra, layout, tiles, validate
 from .plans import report, solvers
 from .sources import discovery, files, fixtures, generator, ranges
-from .storage import materialize, new_path
+from .storage import discard, materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -630,7 +630,7 @@ def p8_first_diagonal(s, d):
 
 @query(f"SELECT row_number() OVER (ORDER BY line, col_id, value, row_id) AS nth, row_id, col_id, value FROM {FAULTY}")
 def s8_file_order(s, d):
-    entries = ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 16)
+    entries = materialize(ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 16), "entries")  # read twice
     block = F.floor(F.col("place") / (1 << 14))
     placed = algebra.with_positions(entries, [], block, ["place"], "before")
     return placed.select((F.col("before") + 1).alias("nth"), "row_id", "col_id", "value")
@@ -675,7 +675,7 @@ def k13_product_with_metrics(s, d):
 @query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
 def s9_matrix_market(s, d):
     path = new_path(s, "matrix") + ".mtx"
-    files.write_matrix_market(fixtures.suppliers(s, d), path, 1 << 20, 1 << 20)
+    _written_suppliers(s, d, path)
     return files.load_matrix(s, path)
 
 
@@ -705,11 +705,17 @@ def s10_coordinate_vector(s, d):
 @query(f"WITH {_SUP} SELECT row_id, col_id, value FROM sup")
 def s14_read_through(s, d):
     path, cache = new_path(s, "matrix") + ".mtx", new_path(s, "cache")
-    files.write_matrix_market(fixtures.suppliers(s, d), path, 1 << 20, 1 << 20)
+    _written_suppliers(s, d, path)
     files.read_through(s, path, cache)
     return files.read_through(s, path, cache)
 
 
+def _written_suppliers(s: SparkSession, d: str, path: str) -> None:
+    a = materialize(fixtures.suppliers(s, d), "matrix")
+    files.write_matrix_market(a, path, 1 << 20, 1 << 20)
+    discard(a)
+
+
 def _data_folders(s: SparkSession, d: str) -> str:
     """Five folders: one without metadata, two with sizes in either form, one without values, one with a bad size."""
     root = new_path(s, "data")

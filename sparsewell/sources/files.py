@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.algebra import COLUMN_BLOCK, expand_symmetric, merge_duplicates, pointers, spmv, with_positions
 from ..operators.validate import pointer_violations, require_clean, row_steps
-from ..storage import discard, materialize
+from ..storage import discard, materialize, shuffles_go
 from .ranges import BINARY, MARKET, PARQUET, matrix_entries, sniff, write_bytes
 
 #: Numbers of one part of a binary file.
@@ -77,10 +77,11 @@ def write_matrix_market_vector(vector: DataFrame, path: str) -> None:
 
 
 def write_matrix_market(matrix: DataFrame, path: str, n_rows: int, n_cols: int) -> None:
-    """Parts of a coordinate file: the banner in its own part, then the entries."""
+    """Parts of a coordinate file: the banner in its own part, then the entries.  The matrix is read twice, to count and to write it."""
     head = matrix.agg(F.count("*").alias("n")).select(F.concat(F.lit(f"%%MatrixMarket matrix coordinate real general\n{n_rows} {n_cols} "), F.col("n").cast("string")).alias("value"))
     head.write.text(path)
-    matrix.select(F.format_string("%d %d %.17g", F.col("row_id") + 1, F.col("col_id") + 1, "value").alias("value")).write.mode("append").text(path)
+    places = matrix.select((F.col("row_id") + 1).alias("r"), (F.col("col_id") + 1).alias("c"), "value")
+    places.select(F.concat_ws(" ", _word("r", "bigint"), _word("c", "bigint"), _word("value", "double")).alias("value")).write.mode("append").text(path)
 
 
 def words_of(line: str) -> Column:
@@ -342,7 +343,8 @@ def load_matrix(spark: SparkSession, path: str) -> DataFrame:
 def read_through(spark: SparkSession, path: str, cache: str) -> DataFrame:
     """The matrix of ``path`` from its Parquet copy ``cache``, which the first call writes."""
     if not _exists(spark, f"{cache}/_SUCCESS"):
-        load_matrix(spark, path).write.mode("overwrite").parquet(cache)
+        with shuffles_go(spark):
+            load_matrix(spark, path).write.mode("overwrite").parquet(cache)
     return spark.read.parquet(cache)
 
 

@@ -45,14 +45,20 @@ def write_bytes(path: str, data: bytes) -> None:
 class Joined:
     """One file, or the parts of a folder in order of their names, as one run of bytes."""
 
-    def __init__(self, path: str, first: bytes = b""):
+    def __init__(self, path: str, first: bytes = b"", files: list[tuple[str, int]] | None = None):
+        """``files``: the (path, size) of its parts in order, where they are known; else they are looked for, that which begins with ``first`` in front."""
         self.fs, at = _opened(path)
+        if files is not None:
+            self._place(files)
+            return
         info = self.fs.get_file_info(at)
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(path)
         found = [info] if info.is_file else [f for f in self.fs.get_file_info(pafs.FileSelector(at)) if f.is_file and f.base_name[0] not in "._"]
-        self.files = sorted(((f.path, f.size) for f in found if f.size), key=lambda f: (not self._begins(f[0], first), f[0]) if first else f[0])
-        self.starts = [0]
+        self._place(sorted(((f.path, f.size) for f in found if f.size), key=lambda f: (not self._begins(f[0], first), f[0]) if first else f[0]))
+
+    def _place(self, files: list[tuple[str, int]]) -> None:
+        self.files, self.starts = files, [0]
         for _, size in self.files:
             self.starts.append(self.starts[-1] + size)
         self.size = self.starts[-1]
@@ -152,7 +158,7 @@ class MarketReader(_Reader):
             raise ValueError(f"unsupported banner {lines[0]!r}")
         if len(lines[-1].split()) != 3:
             raise ValueError("no size line")
-        self.body, self.size = at, whole.size
+        self.body, self.size, self.files = at, whole.size, whole.files  # tasks need not look for the parts again
         self.words = {b"pattern": 2, b"complex": 4}.get(banner[3], 3)
         self.mirrored = banner[4] in (b"symmetric", b"hermitian")
 
@@ -167,7 +173,7 @@ class MarketReader(_Reader):
         return self._ranges(self.body, self.size, self.split)
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        whole, at = Joined(self.path, _BANNER), part.start
+        whole, at = Joined(self.path, files=self.files), part.start
         if at > self.body:  # the line under way belongs to the range before
             at += len(self._line(whole, at - 1)) - 1
         rest = b""
@@ -206,7 +212,8 @@ class BinaryReader(_Reader):
 
     def __init__(self, path: str, split: int):
         super().__init__(path, split)
-        sizes = _binary_sizes(Joined(path))
+        whole = Joined(path)
+        self.files, sizes = whole.files, _binary_sizes(whole)
         if sizes is None:
             raise ValueError(f"no binary CSR in {path}")
         self.rows, self.columns, self.nnz = sizes
@@ -216,12 +223,12 @@ class BinaryReader(_Reader):
 
     def partitions(self) -> list[InputPartition]:
         low, high = (min(max(x, 0), self.rows) for x in (self.bounds["row_id"][0], self.bounds["row_id"][1] + 1))
-        whole = Joined(self.path)
+        whole = Joined(self.path, files=self.files)
         first, last = self._pointer(whole, low), self._pointer(whole, high) if high > low else 0
         return self._ranges(first, max(first, last), max(1, self.split // (_COL + _VAL)))
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        whole = Joined(self.path)
+        whole = Joined(self.path, files=self.files)
         cols_at = _HEAD + _PTR * (self.rows + 1)
         low, high = 0, self.rows
         while high - low > 1 and part.end > part.start:  # the last row that begins no later

@@ -37,7 +37,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is written meanwhile go with it; else they stay until the driver happens to collect its garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
@@ -57,7 +57,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Any executor can read the files again, so a lost executor costs its running tasks only.
     """
     path = new_path(df.sparkSession, tag)
-    with _shuffles_go(df.sparkSession):
+    with shuffles_go(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sparsewell_path = path
@@ -72,7 +72,7 @@ def materialize_by(df: DataFrame, key: str, tag: str, buckets: int) -> DataFrame
     spark = df.sparkSession
     path, name = new_path(spark, tag), f"{_prefix(spark)}{uuid.uuid4().hex}"
     dealt = df.repartition(buckets, key)  # nothing moves if ``df`` lies that way already
-    with _shuffles_go(spark):
+    with shuffles_go(spark):
         dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     out = spark.table(name)
     out._sparsewell_path, out._sparsewell_table = path, name
