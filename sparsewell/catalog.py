@@ -11,7 +11,7 @@ from .functions import measures, packing
 from .operators import algebra, layout, tiles, validate
 from .plans import report, solvers
 from .sources import discovery, files, fixtures, generator, ranges
-from .storage import discard, materialize, new_path
+from .storage import discard, materialize, materialize_by, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -630,9 +630,10 @@ def p8_first_diagonal(s, d):
 
 @query(f"SELECT row_number() OVER (ORDER BY line, col_id, value, row_id) AS nth, row_id, col_id, value FROM {FAULTY}")
 def s8_file_order(s, d):
-    entries = materialize(ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 16), "entries")  # read twice
-    block = F.floor(F.col("place") / (1 << 14))
-    placed = algebra.with_positions(entries, [], block, ["place"], "before")
+    entries = ranges.matrix_entries(s, _lines_in_order(s, d, new_path(s, "raw")), split=1 << 16)
+    # the file is read once; its entries lie by blocks of places, where they are counted
+    entries = materialize_by(entries.withColumn("blk", F.floor(F.col("place") / (1 << 14))), "blk", "entries", int(s.conf.get("spark.sql.shuffle.partitions")))
+    placed = algebra.with_positions(entries, [], F.col("blk"), ["place"], "before")
     return placed.select((F.col("before") + 1).alias("nth"), "row_id", "col_id", "value")
 
 
